@@ -15,7 +15,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +69,16 @@ def _powers(n: int) -> np.ndarray:
 _COMPOSE = re.compile("[̀-ͯ]")
 
 
-def hash_strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_strings(items: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit hashes and the number of kept characters of each string (0: NULL or nothing kept)."""
     fold, value, many = tables()
-    col = pc.fill_null(col, "").combine_chunks() if isinstance(col, pa.ChunkedArray) else pc.fill_null(col, "")
-    lens = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-    joined = pc.binary_join(pa.scalar(col.to_pylist(), pa.list_(pa.string())), "").as_py() if len(col) else ""
+    parts = ["" if x is None else x for x in items]
+    joined = "".join(parts)
     if not joined.isascii() and (_COMPOSE.search(joined) or any(chr(c) in joined for c in many)):
-        parts = ["".join(many.get(ord(x), x) for x in unicodedata.normalize("NFC", s)) if not s.isascii() else s for s in col.to_pylist()]  # rare: one character made of two, or folding into two
-        joined, lens = "".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        # rare: one character written as two, or one that folds into several
+        parts = [s if s.isascii() else "".join(many.get(ord(x), x) for x in unicodedata.normalize("NFC", s)) for s in parts]
+        joined = "".join(parts)
+    lens = np.fromiter(map(len, parts), np.int64, len(parts))
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     f = fold[np.minimum(code, len(fold) - 1)]
     keep = f > 0
@@ -179,7 +179,7 @@ def hash_lists(df: DataFrame, key: str, items: str) -> DataFrame:
         for b in batches:
             ids, lists = b.column(0).to_pylist(), b.column(1).to_pylist()
             flat = [x for v in lists if v for x in v]
-            h1, h2, n = hash_strings(pa.array(flat, pa.string()))
+            h1, h2, n = hash_strings(flat)
             out, at = ([], [], []), 0
             for i, v in zip(ids, lists):
                 m = len(v or ())
@@ -207,7 +207,7 @@ def hash_triples(df: DataFrame, key: str, parts: list[str], raw: str) -> DataFra
                 if r is not None and cols[0][k] is None and cols[1][k] is None and cols[2][k] is None:
                     for c, v in zip(cols, parse_triple(r)):
                         c[k] = v
-            hs = [hash_strings(pa.array(c, pa.string())) for c in cols]
+            hs = [hash_strings(c) for c in cols]
             ok = [k for k in np.flatnonzero((hs[0][2] > 0) & (hs[1][2] > 0) & (hs[2][2] > 0)) if ids[k] is not None]
             yield _emit([ids[k] for k in ok], [_combine((h[0][k], h[1][k]) for h in hs) for k in ok], [[c[k] for c in cols] for k in ok])
 
