@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 # Frequent function words of the four Latin-script languages of the data.
 FUNCTION_WORDS = {
     "en": "the of and to in a is was were for with by from that it at on which who what how when where before after not be been had has are no".split(),
@@ -14,15 +16,15 @@ FUNCTION_WORDS = {
 LANGS = tuple(FUNCTION_WORDS)
 _WEIGHT = {w: {k: 1.0 / sum(w in v for v in FUNCTION_WORDS.values()) for k, v in FUNCTION_WORDS.items() if w in v} for ws in FUNCTION_WORDS.values() for w in ws}
 _WORD = re.compile(r"[^\W\d_]+")
-_SCRIPT = [
-    ("th", re.compile("[฀-๿]")),
-    ("ja", re.compile("[぀-ヿ]")),
-    ("zh", re.compile("[一-鿿]")),
-    ("hi", re.compile("[ऀ-ॿ]")),
-    ("ar", re.compile("[؀-ۿ]")),
-    ("ru", re.compile("[Ѐ-ӿ]")),
-]
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+#: Code blocks of 128 code points that belong to a script (fixed values): first and last block.
+_BLOCKS = {"th": ((0x0E00, 0x0E7F),), "ja": ((0x3000, 0x30FF),), "zh": ((0x4E00, 0x9FFF),), "hi": ((0x0900, 0x097F),), "ar": ((0x0600, 0x06FF),), "ru": ((0x0400, 0x04FF),), "latin": ((0x0080, 0x027F),)}
+_NAMES = (*_BLOCKS, "none")
+_TABLE = np.full(0x110000 >> 7, len(_NAMES) - 1, np.uint8)
+for _i, _n in enumerate(_BLOCKS):
+    for _a, _z in _BLOCKS[_n]:
+        _TABLE[_a >> 7 : (_z >> 7) + 1] = _i
+_ASCII = re.compile("[A-Za-z]")
+_KANA = re.compile("[\u3041-\u30ff]")
 
 
 def script(text: str) -> str | None:
@@ -30,17 +32,22 @@ def script(text: str) -> str | None:
 
     Names in Latin letters occur in every script, so a fifth of the letters is enough.
     """
-    best, n = None, 0
-    for lang, rx in _SCRIPT:
-        k = len(rx.findall(text))
-        if lang == "ja" and k:  # kana beside Chinese characters is Japanese
-            k += len(_SCRIPT[2][1].findall(text))
-        if k > n:
-            best, n = lang, k
-    latin = len(_LATIN.findall(text))
-    if not n and not latin:
-        return None
-    return best if n * 4 >= latin and n else "latin"
+    if text.isascii():
+        return "latin" if _ASCII.search(text) else None
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.bincount(_TABLE[code >> 7], minlength=len(_NAMES))
+    n[_NAMES.index("latin")] += np.count_nonzero((code < 128) & ((code | 32) >= 97) & ((code | 32) <= 122))
+    got = dict(zip(_NAMES, n.tolist()))
+    latin = got.pop("latin")
+    got.pop("none")
+    if got["ja"] and _KANA.search(text):
+        got["ja"] += got["zh"]
+    else:
+        got["ja"] = 0
+    best = max(got, key=got.get)
+    if not got[best]:
+        return "latin" if latin else None
+    return best if got[best] * 4 >= latin else "latin"
 
 
 def scores(text: str) -> dict[str, float]:

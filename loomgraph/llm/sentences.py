@@ -28,7 +28,7 @@ STARTER_LLR, COLLOCATION_LLR, ABBREVIATION_SCORE = 10.0, 8.0, 0.3
 STARTER_SHARE = 0.35
 
 _TOKEN = re.compile(r"""[^\s.,;:!?()\[\]"“”„«»।؟،؛…]+(?:\.[^\s.,;:!?()\[\]"“”„«»।؟،؛…]+)*\.?""")
-_PAIR = re.compile(r"""([^\s,;:!?()\[\]"“”„«»।؟]+)\.[”"»)]*(?=\s+["“„«(¿¡]*([^\s.,;:!?()\[\]"“”„«»।؟،؛…]+))""")
+_NEXT = re.compile(r"""\.[”"»)]*\s+["“„«(¿¡]*([^\s.,;:!?()\[\]"“”„«»।؟،؛…]+)""")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _EVENT = re.compile(r"""[.!?。！？।؟…‼⁇⁈⁉]+|["“”„«»「」『』()（）\[\]]""")
 _CLOSE_OF = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
@@ -54,7 +54,10 @@ def language(text: str, lang: str | None) -> str:
 def count_text(text: str, tok: Counter, pairs: Counter) -> None:
     """Add one text's tokens and period contexts."""
     tok.update(_TOKEN.findall(text))
-    for a, b in _PAIR.findall(text):
+    for x in _NEXT.finditer(text):
+        a, b = _left(text, max(0, x.start() - 40), x.start()), x.group(1)
+        if not a:
+            continue
         if b[0].isdigit():
             b = "##"
         if _NUMBER.match(a):
