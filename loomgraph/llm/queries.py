@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import foldcopies, pieces, sentences
+from loomgraph.llm import foldcopies, pairs, pieces, sentences, truncation, vectors
 from loomgraph.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(chunks, sentences.learn(chunks))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "eval_dump"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "graph_embeddings"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunked_output")
     return pieces.cut_levels(chunks, sentences.learn(chunks))
@@ -41,13 +49,33 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_found(spark, sf_dir).groupBy("tbl", "keep_id").agg(F.count("*").alias("copies"))
 
 
+def _abbreviations(docs: DataFrame) -> frozenset:
+    """Abbreviations that hardly ever end a sentence, learned from all documents."""
+    model = sentences.learn(docs)
+    return frozenset(a for m in model.values() for a, p in m["ends"].items() if p < 0.3 and len(a) > 1)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation.cut_documents(docs, _abbreviations(docs)).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation.truncation_rates(docs, _abbreviations(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
         "p6_copies": p6_copies,
+        "p10_found": p10_found,
+        "p10_rates": p10_rates,
     }
 
 
