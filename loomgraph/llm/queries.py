@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import foldcopies, pairs, pieces, sentences, truncation, vectors
+from loomgraph.llm import foldcopies, pairs, pieces, scans, sentences, truncation, vectors
 from loomgraph.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "graph_embeddings"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, sf_dir, "chunked_output"), table(spark, sf_dir, "books"))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "chunked_output"), table(spark, sf_dir, "books"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunked_output")
     return pieces.cut_levels(chunks, sentences.learn(chunks))
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,

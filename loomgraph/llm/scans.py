@@ -43,7 +43,7 @@ _PAGE = re.compile(
 )
 _STYLES = ("dash", "brack", "of", "word", "dot", "bare")
 _CHAPTER = re.compile(r"^(?:c?hap(?:ter|itre)|kapitel|cap[íi]tulo|part|teil|section)\s*\S{1,4}\s*[:.]", re.I)
-_TITLE_NUMBER = re.compile(r"^\s*(\S{1,5})\s{2,}(?=\S)|(?:\s{2,}|\s*\|\s*)(\S{1,5})\s*$")
+_EDGE_NUMBER = re.compile(r"^\s*[\[(]?[\dlI|!OoSsBZ]{1,5}[\])]?(?:\s{2,}|\s*\|\s*)(?=\S)|(?:\s{2,}|\s*\|\s*)[\[(]?[\dlI|!OoSsBZ]{1,5}[\])]?\s*$")
 
 
 def fold(s: str) -> str:
@@ -73,12 +73,14 @@ def close(a: str, b: str, most: int) -> bool:
     return row[len(b)] <= most
 
 
+def bare(line: str) -> str:
+    """A line without a page number set off at its edge."""
+    return _EDGE_NUMBER.sub("", line.strip(), count=1)
+
+
 def title_match(line: str, title: str, author: str) -> float:
     """How much the line, without a page number at its edge, is the beginning of the title, or author and title: 0 to 1."""
-    s = line.strip()
-    m = _TITLE_NUMBER.search(s)
-    if m and re.fullmatch(r"[\dlI|!OoSsBZ\[\]().—–-]{1,6}", m.group(1) or m.group(2) or ""):
-        s = (s[: m.start()] + s[m.end() :]).strip() if m.start() else s[m.end() :]
+    s = bare(line)
     a = letters(s)
     if len(a) < 6:
         return 0.0
@@ -114,7 +116,7 @@ def line_features(lines: list[str], k: int, tit: list[float], pages: int) -> lis
     gap_b, gap_a = k > 0 and not lines[k - 1].strip(), k + 1 < len(lines) and not lines[k + 1].strip()
     near = max([tit[x] for x in (k - 1, k + 1) if 0 <= x < len(lines)] + [0.0])
     pn = any(0 <= x < len(lines) and page_value(lines[x])[0] >= 0 for x in (k - 1, k + 1))
-    chapter = bool(_CHAPTER.match(s))
+    chapter = bool(_CHAPTER.match(bare(s)))
     n = len(s.split())
     return [
         tit[k], float(chapter), float(style), float(v), float(style >= 0 and 0 < v <= max(pages, 1)), float(style >= 0 and 1500 <= v <= 2100),
@@ -126,7 +128,7 @@ def line_features(lines: list[str], k: int, tit: list[float], pages: int) -> lis
 
 def candidate(s: str, t: float) -> bool:
     """A line that may be furniture; all others are running text."""
-    return bool(s) and (t > 0 or page_value(s)[0] >= 0 or bool(_CHAPTER.match(s)))
+    return bool(s) and (t > 0 or page_value(s)[0] >= 0 or bool(_CHAPTER.match(bare(s))))
 
 
 @dataclass
@@ -360,7 +362,7 @@ def read_scans(scans: DataFrame, books: DataFrame, models: Models) -> DataFrame:
                         s = s[: len(s) - len(cut_left[k])]
                     if k in cut_right:
                         s = s.lstrip()[len(cut_right[k]) :]
-                    out += [(i, k, "word", w, None, None, None) for w in set(WORD.findall(s)) if w not in models.frequent and not w.isdigit()]
+                    out += [(i, k, "word", w, None, None, None) for w in set(WORD.findall(s)) if w not in models.frequent and not w.isdigit() and not (len(w) < 4 and w.isupper())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)] if out else [pa.array([], f.type) for f in _FOUND], schema=_FOUND)
 
     return spread(rows).mapInArrow(run, _FOUND_DDL)
@@ -383,6 +385,10 @@ def judge_joins(found: DataFrame, vocab: DataFrame, models: Models) -> DataFrame
     return j.mapInArrow(run, "id string, line_no bigint, line2 bigint, a string, b string, divided boolean")
 
 
+#: Characters that no sound word has within it.
+_ODD = r"\p{L}[!@|$]\p{L}|^[!@|$]\p{L}|\p{Ll}{2}[015]|[015]\p{Ll}{2}|\p{Ll}[015]\p{Ll}|\d[OolIS]\d|^[lI|]\d{2,}$|^\d{2,}[OolI]$"
+
+
 def _grams(s: str) -> list[str]:
     s = f"\x02{s}\x03"
     return [s[i : i + Q] for i in range(max(1, len(s) - Q + 1))]
@@ -410,7 +416,9 @@ def correct_words(words: DataFrame, vocab: DataFrame, models: Models) -> DataFra
     types = words.groupBy("word").agg(F.count("*").alias("n"))
     lower = clean.select(F.lower("word").alias("lw")).distinct()
     unseen = types.join(clean.select("word"), "word", "left_anti").withColumn("lw", F.lower("word")).join(lower, "lw", "left_anti").select("word", "n").where(F.length("word") <= 64).persist()
-    trusted = clean.where("n >= 2 and length(word) between 2 and 64").unionByName(unseen.where("n >= 3")).groupBy("word").agg(F.sum("n").alias("n"))
+    is_odd = F.col("word").rlike(_ODD)
+    trusted = clean.where("n >= 2 and length(word) between 2 and 64").unionByName(unseen.where("n >= 3").where(~is_odd))
+    good = clean.select(F.col("word").alias("v"), F.lit(True).alias("clean"))
 
     def count_grams(batches):
         c: Counter = Counter()
@@ -439,8 +447,9 @@ def correct_words(words: DataFrame, vocab: DataFrame, models: Models) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([c[0][k] for k in keep], pa.string()), pa.array([c[2][k] for k in keep], pa.string()), pa.array(p)], schema=schema)
 
     ranked = pairs.select("w", "n_w", "v", "n_v").mapInArrow(rank, "w string, v string, p double").where("p >= 0.5")
-    best = ranked.groupBy(F.col("w").alias("word")).agg(F.max_by("v", F.struct("p", "v")).alias("fix"))
-    odd = unseen.where(F.col("word").rlike(r"\p{L}[!@|$]\p{L}|^[!@|$]\p{L}|\p{Ll}{2}[015]|[015]\p{Ll}{2}|\p{Ll}[015]\p{Ll}")).select("word")
+    ranked = ranked.join(good, "v", "left").withColumn("clean", F.coalesce("clean", F.lit(False)))
+    best = ranked.groupBy(F.col("w").alias("word")).agg(F.max_by("v", F.struct("clean", "p", "v")).alias("fix"))
+    odd = unseen.where(is_odd).select("word")
     return best.join(odd, "word", "full_outer")
 
 
