@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import foldcopies, pairs, pieces, scans, sentences, truncation, vectors
+from loomgraph.llm import foldcopies, mixing, packing, pairs, pieces, scans, sentences, truncation, vectors
 from loomgraph.sources.tables import table
 
 
@@ -57,6 +57,22 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_found(spark, sf_dir).groupBy("tbl", "keep_id").agg(F.count("*").alias("copies"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(p8_packed(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def _abbreviations(docs: DataFrame) -> frozenset:
     """Abbreviations that hardly ever end a sentence, learned from all documents."""
     model = sentences.learn(docs)
@@ -84,6 +100,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
         "p6_copies": p6_copies,
+        "p8_packed": p8_packed,
+        "p8_containers": p8_containers,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_rates": p10_rates,
     }

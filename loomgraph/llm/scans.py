@@ -42,7 +42,7 @@ _PAGE = re.compile(
     re.I,
 )
 _STYLES = ("dash", "brack", "of", "word", "dot", "bare")
-_CHAPTER = re.compile(r"^(?:c?hap(?:ter|itre)|kapitel|cap[íi]tulo|part|teil|section)\s*\S{1,4}\s*[:.]", re.I)
+_CHAPTER = re.compile(r"^(\S{4,9})\s+\S{1,4}\s*[:.]")
 _EDGE_NUMBER = re.compile(r"^\s*[\[(]?[\dlI|!OoSsBZ]{1,5}[\])]?(?:\s{2,}|\s*\|\s*)(?=\S)|(?:\s{2,}|\s*\|\s*)[\[(]?[\dlI|!OoSsBZ]{1,5}[\])]?\s*$")
 
 
@@ -78,6 +78,16 @@ def bare(line: str) -> str:
     return _EDGE_NUMBER.sub("", line.strip(), count=1)
 
 
+# The word for a chapter in the four languages of the books, folded.
+_CHAPTER_WORDS = {fold(w) for w in ("chapter", "chapitre", "kapitel", "capítulo")}
+
+
+def is_chapter(line: str) -> bool:
+    """A chapter line, its word perhaps misread."""
+    m = _CHAPTER.match(bare(line))
+    return bool(m) and fold(m.group(1)) in _CHAPTER_WORDS
+
+
 def title_match(line: str, title: str, author: str) -> float:
     """How much the line, without a page number at its edge, is the beginning of the title, or author and title: 0 to 1."""
     s = bare(line)
@@ -116,7 +126,7 @@ def line_features(lines: list[str], k: int, tit: list[float], pages: int) -> lis
     gap_b, gap_a = k > 0 and not lines[k - 1].strip(), k + 1 < len(lines) and not lines[k + 1].strip()
     near = max([tit[x] for x in (k - 1, k + 1) if 0 <= x < len(lines)] + [0.0])
     pn = any(0 <= x < len(lines) and page_value(lines[x])[0] >= 0 for x in (k - 1, k + 1))
-    chapter = bool(_CHAPTER.match(bare(s)))
+    chapter = is_chapter(s)
     n = len(s.split())
     return [
         tit[k], float(chapter), float(style), float(v), float(style >= 0 and 0 < v <= max(pages, 1)), float(style >= 0 and 1500 <= v <= 2100),
@@ -128,7 +138,7 @@ def line_features(lines: list[str], k: int, tit: list[float], pages: int) -> lis
 
 def candidate(s: str, t: float) -> bool:
     """A line that may be furniture; all others are running text."""
-    return bool(s) and (t > 0 or page_value(s)[0] >= 0 or bool(_CHAPTER.match(bare(s))))
+    return bool(s) and (t > 0 or page_value(s)[0] >= 0 or is_chapter(s))
 
 
 @dataclass
@@ -362,7 +372,7 @@ def read_scans(scans: DataFrame, books: DataFrame, models: Models) -> DataFrame:
                         s = s[: len(s) - len(cut_left[k])]
                     if k in cut_right:
                         s = s.lstrip()[len(cut_right[k]) :]
-                    out += [(i, k, "word", w, None, None, None) for w in set(WORD.findall(s)) if w not in models.frequent and not w.isdigit() and not (len(w) < 4 and w.isupper())]
+                    out += [(i, k, "word", w, None, None, None) for w in set(WORD.findall(s)) if w not in models.frequent and not w.isdigit() and not (len(w) < 4 and w.isupper()) and not (len(w) < 3 and w.isalpha())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)] if out else [pa.array([], f.type) for f in _FOUND], schema=_FOUND)
 
     return spread(rows).mapInArrow(run, _FOUND_DDL)
