@@ -1,30 +1,209 @@
-"""Queries of the core engine: ``name -> f(spark, sf_dir)`` and their SQL."""
+"""Queries of the core engine: ``name -> f(spark, sf_dir)``, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.operators import nested
+from loomgraph.functions.text import parse_entities, parse_relations, words
+from loomgraph.functions.tokens import token_counts
+from loomgraph.operators import community, documents, evaluation, graph, knn, nested, retrieval
 from loomgraph.sources.tables import table
+from loomgraph.sql import ORACLE
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.found(table(spark, sf_dir, "musique"), table(spark, sf_dir, "eval_dump"))
 
+class _Tables:
+    """The tables and the stages that several queries share, for one data folder."""
 
-def p7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.node_table(nested.graph_children(table(spark, sf_dir, "eval_dump")))
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
+    def t(self, name: str) -> DataFrame:
+        return table(self.spark, self.dir, name)
 
-def p7_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.edge_table(nested.graph_children(table(spark, sf_dir, "eval_dump")))
+    @property
+    def chunks(self) -> DataFrame:
+        return graph.unique_chunks(self.t("chunked_output"))
 
+    @property
+    def nodes(self) -> DataFrame:
+        return graph.nodes_g1(self.t("chunked_output"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found, "p7_nodes": p7_nodes, "p7_edges": p7_edges}
+    @property
+    def edges(self) -> DataFrame:
+        return graph.edges_g1(self.t("chunked_output"))
+
+    def snr(self) -> tuple[DataFrame, DataFrame]:
+        nodes = self.nodes.persist()
+        return nodes.where(F.col("type").isin("S", "N", "R")), graph.snr_subgraph(nodes, self.edges)
+
+    def communities(self) -> DataFrame:
+        nodes, edges = self.snr()
+        return community.label_propagation(nodes, edges, rounds=2)
+
+    def questions(self) -> DataFrame:
+        """The stated query set: questions whose number is divisible by 100."""
+        q = self.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"])
+        return q.where("cast(nullif(regexp_extract(uid, '([0-9]+)$', 1), '') as bigint) % 100 = 0")
+
+    def entry(self) -> DataFrame:
+        nodes, q = self.nodes.persist(), self.questions()
+        data = knn.sparse_embed(nodes.where("type in ('T', 'S', 'H')"), "id", "text")
+        near = knn.top_k(knn.sparse_embed(q, "uid", "question"), "uid", "vec", data, "id", "vec", 10, 384)
+        return retrieval.entry_points(retrieval.lexical_hits(q, nodes), near.select(F.col("query_id").alias("uid"), "id")).persist()
+
+    def retrieved(self) -> dict[str, DataFrame]:
+        nodes, entry = self.nodes.persist(), self.entry()
+        edges = self.edges.persist()
+        scores = retrieval.shallow_ppr(entry, retrieval.transitions(edges)).persist()
+        top = retrieval.top_per_type(scores, nodes)
+        ev = retrieval.evidence(entry, top, nodes).persist()
+        return {"entry": entry, "scores": scores, "top": top, "ev": ev, "ev_edges": retrieval.evidence_edges(ev, edges).persist()}
+
+    def vectors(self) -> DataFrame:
+        v = self.t("graph_embeddings").where("id is not null and vec_id is not null").select("vec_id", "id", "embedding")
+        return v.dropDuplicates(["vec_id"])
+
+
+def _q(f: Callable[[_Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_Tables(spark, sf_dir))
+
+
+def _doc_concat(t: _Tables) -> DataFrame:
+    d = t.t("documents").select("doc_id", F.coalesce("book_id", F.lit(-1)).alias("book_id"), "text")
+    return graph.offsets(d, "book_id", "doc_id", F.length(F.coalesce("text", F.lit("")))).select("book_id", "doc_id", "start_pos")
+
+
+def _embeddings_knn(t: _Tables, k: int, skip: bool) -> DataFrame:
+    e = t.t("embeddings").select(F.col("vec_id"), "embedding")
+    r = knn.top_k(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", k, 64, skip)
+    return r.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), "rank", "score")
+
+
+def _graph_near(t: _Tables) -> DataFrame:
+    v = t.vectors().persist()
+    q = v.where("vec_id % 100 = 0")
+    n = knn.top_k(q, "vec_id", "embedding", v, "vec_id", "embedding", 10, 64, True)
+    ids = v.select(F.col("vec_id").cast("string").alias("v"), F.col("id").alias("node"))
+    return n.join(ids.select(F.col("v").alias("query_id"), F.col("node").alias("src")), "query_id").join(ids.select(F.col("v").alias("id"), F.col("node").alias("dst")), "id").select("src", "dst", "rank", "score")
+
+
+def _g5(t: _Tables) -> DataFrame:
+    nodes = t.nodes.persist()
+    edges = t.edges.unionByName(graph.g4_edges(t.t("chunked_output"), nodes))
+    return graph.g5_edges(edges, _graph_near(t), t.communities())
+
+
+def _context(t: _Tables) -> DataFrame:
+    return community.community_context(t.nodes, t.edges, t.communities())
+
+
+def _kmeans(t: _Tables) -> DataFrame:
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    e = t.t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    k = max(1, math.ceil(math.sqrt(e.count())))
+    return KMeans(k=k, seed=42).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+def _chains(t: _Tables, ev: DataFrame) -> DataFrame:
+    """Stand-in for the reasoning: each question's evidence texts of type S in order."""
+    s = ev.where("type = 'S'").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("x"))
+    return s.select("uid", F.array_join(F.transform("x", lambda r: r["text"]), " ").alias("chain"))
+
+
+def _scores(t: _Tables) -> DataFrame:
+    return evaluation.score(evaluation.predictions(t.t("eval_dump")))
+
+
+def _align(t: _Tables) -> DataFrame:
+    r = t.retrieved()
+    return retrieval.align(r["ev"], r["ev_edges"], _chains(t, r["ev"])).select("uid", "id", "p_reason")
+
+
+def _text(t: _Tables, what: str) -> DataFrame:
+    r = t.retrieved()
+    if what == "reasoning":
+        return retrieval.reasoning_prompt(t.questions(), r["ev"])
+    g = retrieval.textualize(r["ev"], r["ev_edges"])
+    return g if what == "graph" else retrieval.prompt(t.questions(), g)
+
+
+def _token_count(t: _Tables) -> DataFrame:
+    d = t.t("eval_dump").where("id is not null").select("id", F.concat_ws("", "prompt", F.lit("\n"), "answer").alias("x")).dropDuplicates(["id"])
+    return token_counts(d, "id", "x")
+
+
+_QUERIES: dict[str, Query] = {
+    "p7_found": _q(lambda t: nested.found(t.t("musique"), t.t("eval_dump"))),
+    "p7_nodes": _q(lambda t: nested.node_table(nested.graph_children(t.t("eval_dump")))),
+    "p7_edges": _q(lambda t: nested.edge_table(nested.graph_children(t.t("eval_dump")))),
+    "doc_concat": _q(_doc_concat),
+    "sentence_split": _q(lambda t: documents.sentence_rows(t.t("documents")).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")),
+    "word_tokens": _q(lambda t: documents.word_counts(t.t("documents"))),
+    "chunk": _q(lambda t: documents.chunk_rows(t.t("documents"))),
+    "chunk_stats": _q(lambda t: documents.chunk_rows(t.t("documents")).select("doc_id", "chunk_no", "n_words")),
+    "enrich": _q(lambda t: documents.enrich(documents.chunk_rows(t.t("documents"))).select("chunk_id", "summary", F.size("entities").alias("entities"), F.size("relations").alias("relations"))),
+    "parse_entities": _q(lambda t: t.t("relations").where("raw is not null").select("rel_id", F.explode(parse_entities(F.col("raw"))).alias("entity")).distinct()),
+    "parse_relations": _q(lambda t: t.t("relations").where("raw is not null").select("rel_id", F.explode(parse_relations(F.col("raw"))).alias("x")).select("rel_id", "x.*").distinct()),
+    "entity_normalize": _q(lambda t: t.t("relations").where("source is not null").select("source", graph.normalize_name(F.col("source")).alias("key")).distinct()),
+    "completeness": _q(lambda t: graph.incomplete(t.chunks).select("doc_id", F.array_join("missing_fields", ",").alias("missing"))),
+    "retry_pending": _q(lambda t: documents.pending(graph.incomplete(t.chunks), t.t("relations").where("source is not null").select(F.col("chunk_id").alias("doc_id"))).select("doc_id")),
+    "progress": _q(lambda t: documents.progress(t.chunks)),
+    "nodes_g1": _q(lambda t: t.nodes.select("id", "type", "text")),
+    "nodes_g1_promote": _q(lambda t: graph.nodes_g1(t.t("chunked_output"), "promote").select("id", "type", "text")),
+    "edges_g1": _q(lambda t: t.edges.select("src", "dst", "label")),
+    "simple_graph": _q(lambda t: graph.simple_graph(t.edges)),
+    "snr_subgraph": _q(lambda t: t.snr()[1].select("src", "dst", "label")),
+    "out_degree": _q(lambda t: graph.out_degree(t.edges)),
+    "g4_edges": _q(lambda t: graph.g4_edges(t.t("chunked_output"), t.nodes).select("src", "dst", "label")),
+    "upsert_edges": _q(lambda t: graph.upsert_edges(t.edges, graph.g4_edges(t.t("chunked_output"), t.nodes))),
+    "collapse_parallel": _q(lambda t: graph.collapse_parallel(t.edges).select("src", "dst", "label")),
+    "graph_json": _q(lambda t: graph.to_json(t.nodes, t.edges)),
+    "components": _q(lambda t: community.components(*t.snr())),
+    "label_propagation": _q(lambda t: t.communities()),
+    "modularity": _q(lambda t: community.modularity(t.snr()[1], t.communities())),
+    "community_context": _q(lambda t: _context(t).select("community", "kind", "text")),
+    "ho_nodes": _q(lambda t: community.ho_nodes(community.titles(_context(t)))),
+    "ho_edges": _q(lambda t: community.ho_edges(community.titles(_context(t)), t.nodes, t.communities())),
+    "kmeans": _q(_kmeans),
+    "semantic_groups": _q(lambda t: graph.semantic_groups(t.t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), (F.col("vec_id") % 7).alias("community")))),
+    "knn": _q(lambda t: _embeddings_knn(t, 10, False)),
+    "vector_topk": _q(lambda t: _embeddings_knn(t, 30, True)),
+    "graph_knn": _q(lambda t: _graph_near(t).select("src", "dst", "score")),
+    "g5_edges": _q(_g5),
+    "mean_pool": _q(lambda t: knn.mean_pool(t.t("embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), "mean")),
+    "token_jaccard": _q(lambda t: retrieval.lexical_hits(t.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"]), t.nodes)),
+    "entry_points": _q(lambda t: t.entry().select("uid", "id", F.round("weight", 6).alias("weight"))),
+    "ppr": _q(lambda t: t.retrieved()["scores"].select("uid", "id", F.round("score", 6).alias("score"))),
+    "topm_per_type": _q(lambda t: t.retrieved()["top"].select("uid", "id", "type", "rank")),
+    "induced_subgraph": _q(lambda t: t.retrieved()["ev_edges"].select("uid", "src", "dst", "label")),
+    "align": _q(_align),
+    "textualize": _q(lambda t: _text(t, "graph")),
+    "prompt": _q(lambda t: _text(t, "prompt")),
+    "reasoning_prompt": _q(lambda t: _text(t, "reasoning")),
+    "qa_load": _q(lambda t: evaluation.load_questions(t.t("musique")).select("id", "question", F.array_join("answers", "|").alias("answers"), "context")),
+    "normalize_answer": _q(lambda t: t.t("eval_dump").where("answer is not null").select("id", evaluation.normalize_answer(F.col("answer")).alias("normal")).distinct()),
+    "qa_f1": _q(lambda t: _scores(t).select("uid", "gold", "f1", "precision", "recall").distinct()),
+    "qa_exact": _q(lambda t: _scores(t).select("uid", "gold", "exact_match").distinct()),
+    "qa_substring": _q(lambda t: _scores(t).select("uid", "gold", "accuracy").distinct()),
+    "qa_best": _q(lambda t: evaluation.best(_scores(t))),
+    "qa_summary": _q(lambda t: evaluation.summary(evaluation.best(_scores(t)))),
+    "qa_text_metrics": _q(lambda t: evaluation.text_scores(evaluation.predictions(t.t("eval_dump")))),
+    "token_count": _q(_token_count),
+    "answer_words": _q(lambda t: t.t("eval_dump").where("answer is not null").select("id", F.size(words(F.col("answer"))).alias("n")).distinct()),
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
