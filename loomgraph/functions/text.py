@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Patterns of the two parsers of model output.
 ENTITY_PATTERN = r'"([a-zA-Z][^"]*[a-zA-Z])"'
 TRIPLE_PATTERN = r"""['"]?Source['"]?\s*:\s*['"]?([^,'"}]+)['"]?\s*,\s*['"]?Relationship['"]?\s*:\s*['"]?([^,'"}]+)['"]?\s*,\s*['"]?Destination['"]?\s*:\s*['"]?([^,'"}]+)['"]?"""
-# White space of a plain split.
-SPACE = r"[ \t\n\r\f\x0B]+"
+# White space of a plain split, Unicode's included.
+SPACE = r"[\s\x0B\x85\p{Z}]+"
 
 
 def words(c: Column) -> Column:
@@ -103,13 +105,20 @@ def chunk_fold(sents: Column, size: int = 400, overlap: int = 40, order: str = "
     return F.aggregate(sents, init, step, end)
 
 
+_SPACES = re.compile("[\\s\x0b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _words(s: str) -> list[str]:
+    return [w for w in _SPACES.split(s) if w]
+
+
 def chunk_list(sents: list[str], size: int = 400, overlap: int = 40, order: str = "natural") -> list[tuple[int, str]]:
     """The same fold over a Python list, for Arrow batches."""
     out: list[tuple[int, str]] = []
     cur: list[tuple[int, str]] = []
     n = 0
     for s in sents:
-        w = len(s.split())
+        w = len(_words(s))
         if cur and n + w > size:
             out.append((n, " ".join(t for _, t in cur)))
             tail: list[tuple[int, str]] = []
@@ -118,7 +127,7 @@ def chunk_list(sents: list[str], size: int = 400, overlap: int = 40, order: str
                 x = cur.pop()
                 tail.append(x)
                 kept += x[0]
-            text = " ".join(t for _, t in reversed(tail)) if order == "natural" else " ".join([v for _, t in tail for v in t.split()][::-1])
+            text = " ".join(t for _, t in reversed(tail)) if order == "natural" else " ".join([v for _, t in tail for v in _words(t)][::-1])
             cur, n = ([(kept, text)] if kept else []), kept
         cur.append((w, s))
         n += w

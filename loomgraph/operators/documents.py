@@ -23,8 +23,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-_EDGE = re.compile(r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$")
-_BREAK = re.compile(r"(?<=[.!?])[ \t\n\r\f\x0B]+")
+_SPACE = "[\\s\x0b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_EDGE = re.compile(f"^{_SPACE}|{_SPACE}$")
+_BREAK = re.compile(f"(?<=[.!?]){_SPACE}")
 
 
 def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 400, overlap: int = 40, order: str = "natural") -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import parse_entities, parse_relations, words
 from loomgraph.functions.tokens import token_counts
-from loomgraph.operators import community, documents, evaluation, graph, knn, nested, retrieval
+from loomgraph.operators import community, documents, evaluation, gnn, graph, knn, nested, retrieval
+from loomgraph.plans.runtime import cut
 from loomgraph.sources.tables import table
 from loomgraph.sql import ORACLE
 
@@ -18,7 +20,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class _Tables:
-    """The tables and the stages that several queries share, for one data folder."""
+    """The tables and the stages that several queries share, for one data folder.
+
+    A stage that others read more than once is written to the shared folder first, so
+    that it is computed once and its lineage ends there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -26,45 +32,63 @@ class _Tables:
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
-    @property
+    @cached_property
     def chunks(self) -> DataFrame:
         return graph.unique_chunks(self.t("chunked_output"))
 
-    @property
+    @cached_property
     def nodes(self) -> DataFrame:
         return graph.nodes_g1(self.t("chunked_output"))
 
-    @property
+    @cached_property
     def edges(self) -> DataFrame:
         return graph.edges_g1(self.t("chunked_output"))
 
+    @cached_property
+    def kept(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges, written once."""
+        self.nodes, self.edges = cut(self.nodes), cut(self.edges)
+        return self.nodes, self.edges
+
+    @cached_property
     def snr(self) -> tuple[DataFrame, DataFrame]:
-        nodes = self.nodes.persist()
-        return nodes.where(F.col("type").isin("S", "N", "R")), graph.snr_subgraph(nodes, self.edges)
+        nodes, edges = self.kept
+        return nodes.where(F.col("type").isin("S", "N", "R")), cut(graph.snr_subgraph(nodes, edges))
 
+    @cached_property
     def communities(self) -> DataFrame:
-        nodes, edges = self.snr()
-        return community.label_propagation(nodes, edges, rounds=2)
+        return community.label_propagation(*self.snr, rounds=2)
 
+    @cached_property
     def questions(self) -> DataFrame:
         """The stated query set: questions whose number is divisible by 100."""
         q = self.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"])
         return q.where("cast(nullif(regexp_extract(uid, '([0-9]+)$', 1), '') as bigint) % 100 = 0")
 
+    @cached_property
     def entry(self) -> DataFrame:
-        nodes, q = self.nodes.persist(), self.questions()
+        nodes, q = self.kept[0], self.questions
         data = knn.sparse_embed(nodes.where("type in ('T', 'S', 'H')"), "id", "text")
         near = knn.top_k(knn.sparse_embed(q, "uid", "question"), "uid", "vec", data, "id", "vec", 10, 384)
-        return retrieval.entry_points(retrieval.lexical_hits(q, nodes), near.select(F.col("query_id").alias("uid"), "id")).persist()
+        return cut(retrieval.entry_points(retrieval.lexical_hits(q, nodes), near.select(F.col("query_id").alias("uid"), "id")))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return cut(retrieval.shallow_ppr(self.entry, retrieval.transitions(self.kept[1])))
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return retrieval.top_per_type(self.scores, self.kept[0])
 
-    def retrieved(self) -> dict[str, DataFrame]:
-        nodes, entry = self.nodes.persist(), self.entry()
-        edges = self.edges.persist()
-        scores = retrieval.shallow_ppr(entry, retrieval.transitions(edges)).persist()
-        top = retrieval.top_per_type(scores, nodes)
-        ev = retrieval.evidence(entry, top, nodes).persist()
-        return {"entry": entry, "scores": scores, "top": top, "ev": ev, "ev_edges": retrieval.evidence_edges(ev, edges).persist()}
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return cut(retrieval.evidence(self.entry, self.top, self.kept[0]))
 
+    @cached_property
+    def evidence_edges(self) -> DataFrame:
+        return cut(retrieval.evidence_edges(self.evidence, self.kept[1]))
+
+    @cached_property
     def vectors(self) -> DataFrame:
         v = self.t("graph_embeddings").where("id is not null and vec_id is not null").select("vec_id", "id", "embedding")
         return v.dropDuplicates(["vec_id"])
@@ -86,7 +110,7 @@ def _embeddings_knn(t: _Tables, k: int, skip: bool) -> DataFrame:
 
 
 def _graph_near(t: _Tables) -> DataFrame:
-    v = t.vectors().persist()
+    v = cut(t.vectors)
     q = v.where("vec_id % 100 = 0")
     n = knn.top_k(q, "vec_id", "embedding", v, "vec_id", "embedding", 10, 64, True)
     ids = v.select(F.col("vec_id").cast("string").alias("v"), F.col("id").alias("node"))
@@ -94,13 +118,13 @@ def _graph_near(t: _Tables) -> DataFrame:
 
 
 def _g5(t: _Tables) -> DataFrame:
-    nodes = t.nodes.persist()
-    edges = t.edges.unionByName(graph.g4_edges(t.t("chunked_output"), nodes))
-    return graph.g5_edges(edges, _graph_near(t), t.communities())
+    nodes, g1 = t.kept
+    edges = g1.unionByName(graph.g4_edges(t.t("chunked_output"), nodes))
+    return graph.g5_edges(edges, _graph_near(t), t.communities)
 
 
 def _context(t: _Tables) -> DataFrame:
-    return community.community_context(t.nodes, t.edges, t.communities())
+    return cut(community.community_context(*t.kept, t.communities))
 
 
 def _kmeans(t: _Tables) -> DataFrame:
@@ -123,16 +147,18 @@ def _scores(t: _Tables) -> DataFrame:
 
 
 def _align(t: _Tables) -> DataFrame:
-    r = t.retrieved()
-    return retrieval.align(r["ev"], r["ev_edges"], _chains(t, r["ev"])).select("uid", "id", "p_reason")
+    return retrieval.align(t.evidence, t.evidence_edges, _chains(t, t.evidence)).select("uid", "id", "p_reason")
+
+
+def _graph_text(t: _Tables) -> DataFrame:
+    return retrieval.textualize(t.evidence, t.evidence_edges)
 
 
-def _text(t: _Tables, what: str) -> DataFrame:
-    r = t.retrieved()
-    if what == "reasoning":
-        return retrieval.reasoning_prompt(t.questions(), r["ev"])
-    g = retrieval.textualize(r["ev"], r["ev_edges"])
-    return g if what == "graph" else retrieval.prompt(t.questions(), g)
+def _gnn(t: _Tables) -> DataFrame:
+    ev = t.evidence
+    vec = knn.sparse_embed(ev.where("text is not null").select("id", "text").distinct(), "id", "text")
+    x = ev.join(vec, "id").select("uid", "id", F.concat("vec", gnn.one_hot(F.col("type"))).alias("x"))
+    return gnn.gnn_scores(x, t.evidence_edges, knn.sparse_embed(t.questions, "uid", "question").withColumnRenamed("vec", "q"))
 
 
 def _token_count(t: _Tables) -> DataFrame:
@@ -160,18 +186,18 @@ _QUERIES: dict[str, Query] = {
     "nodes_g1_promote": _q(lambda t: graph.nodes_g1(t.t("chunked_output"), "promote").select("id", "type", "text")),
     "edges_g1": _q(lambda t: t.edges.select("src", "dst", "label")),
     "simple_graph": _q(lambda t: graph.simple_graph(t.edges)),
-    "snr_subgraph": _q(lambda t: t.snr()[1].select("src", "dst", "label")),
+    "snr_subgraph": _q(lambda t: t.snr[1].select("src", "dst", "label")),
     "out_degree": _q(lambda t: graph.out_degree(t.edges)),
-    "g4_edges": _q(lambda t: graph.g4_edges(t.t("chunked_output"), t.nodes).select("src", "dst", "label")),
-    "upsert_edges": _q(lambda t: graph.upsert_edges(t.edges, graph.g4_edges(t.t("chunked_output"), t.nodes))),
+    "g4_edges": _q(lambda t: graph.g4_edges(t.t("chunked_output"), t.kept[0]).select("src", "dst", "label")),
+    "upsert_edges": _q(lambda t: graph.upsert_edges(t.kept[1], graph.g4_edges(t.t("chunked_output"), t.kept[0]))),
     "collapse_parallel": _q(lambda t: graph.collapse_parallel(t.edges).select("src", "dst", "label")),
     "graph_json": _q(lambda t: graph.to_json(t.nodes, t.edges)),
-    "components": _q(lambda t: community.components(*t.snr())),
-    "label_propagation": _q(lambda t: t.communities()),
-    "modularity": _q(lambda t: community.modularity(t.snr()[1], t.communities())),
+    "components": _q(lambda t: community.components(*t.snr)),
+    "label_propagation": _q(lambda t: t.communities),
+    "modularity": _q(lambda t: community.modularity(t.snr[1], t.communities)),
     "community_context": _q(lambda t: _context(t).select("community", "kind", "text")),
     "ho_nodes": _q(lambda t: community.ho_nodes(community.titles(_context(t)))),
-    "ho_edges": _q(lambda t: community.ho_edges(community.titles(_context(t)), t.nodes, t.communities())),
+    "ho_edges": _q(lambda t: community.ho_edges(community.titles(_context(t)), t.kept[0], t.communities)),
     "kmeans": _q(_kmeans),
     "semantic_groups": _q(lambda t: graph.semantic_groups(t.t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), (F.col("vec_id") % 7).alias("community")))),
     "knn": _q(lambda t: _embeddings_knn(t, 10, False)),
@@ -180,14 +206,15 @@ _QUERIES: dict[str, Query] = {
     "g5_edges": _q(_g5),
     "mean_pool": _q(lambda t: knn.mean_pool(t.t("embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), "mean")),
     "token_jaccard": _q(lambda t: retrieval.lexical_hits(t.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"]), t.nodes)),
-    "entry_points": _q(lambda t: t.entry().select("uid", "id", F.round("weight", 6).alias("weight"))),
-    "ppr": _q(lambda t: t.retrieved()["scores"].select("uid", "id", F.round("score", 6).alias("score"))),
-    "topm_per_type": _q(lambda t: t.retrieved()["top"].select("uid", "id", "type", "rank")),
-    "induced_subgraph": _q(lambda t: t.retrieved()["ev_edges"].select("uid", "src", "dst", "label")),
+    "entry_points": _q(lambda t: t.entry.select("uid", "id", F.round("weight", 6).alias("weight"))),
+    "ppr": _q(lambda t: t.scores.select("uid", "id", F.round("score", 6).alias("score"))),
+    "topm_per_type": _q(lambda t: t.top.select("uid", "id", "type", "rank")),
+    "induced_subgraph": _q(lambda t: t.evidence_edges.select("uid", "src", "dst", "label")),
     "align": _q(_align),
-    "textualize": _q(lambda t: _text(t, "graph")),
-    "prompt": _q(lambda t: _text(t, "prompt")),
-    "reasoning_prompt": _q(lambda t: _text(t, "reasoning")),
+    "gnn_align": _q(_gnn),
+    "textualize": _q(_graph_text),
+    "prompt": _q(lambda t: retrieval.prompt(t.questions, _graph_text(t))),
+    "reasoning_prompt": _q(lambda t: retrieval.reasoning_prompt(t.questions, t.evidence)),
     "qa_load": _q(lambda t: evaluation.load_questions(t.t("musique")).select("id", "question", F.array_join("answers", "|").alias("answers"), "context")),
     "normalize_answer": _q(lambda t: t.t("eval_dump").where("answer is not null").select("id", evaluation.normalize_answer(F.col("answer")).alias("normal")).distinct()),
     "qa_f1": _q(lambda t: _scores(t).select("uid", "gold", "f1", "precision", "recall").distinct()),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-_W = r"'[ \t\n\r\f\x0B]+'"
-_TRIM = r"regexp_replace({c}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
+_W = r"'[\s\x0B\x85\p{Z}]+'"
+_TRIM = r"regexp_replace({c}, '^[\s\x0B\x85\p{{Z}}]+|[\s\x0B\x85\p{{Z}}]+$', '', 'g')"
 
 
 def _words(c: str) -> str:
@@ -128,7 +128,7 @@ sc AS (SELECT uid, gold, CASE WHEN same = 0 THEN 0.0::DOUBLE ELSE round((2.0 * s
     (p = g)::INT AS exact_match, contains(p, g)::INT AS accuracy FROM sm),
 bst AS (SELECT uid, max(f1) AS f1, max(precision) AS precision, max(recall) AS recall, max(exact_match) AS exact_match, max(accuracy) AS accuracy FROM sc GROUP BY uid)"""
 
-_SENT = rf"""s0 AS (SELECT doc_id, list_filter(string_split(regexp_replace({_TRIM.format(c="text")}, '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM documents),
+_SENT = rf"""s0 AS (SELECT doc_id, list_filter(string_split(regexp_replace({_TRIM.format(c="text")}, '([.!?])[\s\x0B\x85\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM documents),
 s AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS sent_no, unnest(a) AS sentence FROM s0)"""
 
 
@@ -176,9 +176,9 @@ SELECT x.task AS task, sum(x.ok)::BIGINT AS processed, sum(1 - x.ok)::BIGINT AS
     "upsert_edges": f"WITH {_NODES} SELECT DISTINCT src, dst, label FROM (SELECT src, dst, label FROM edges UNION ALL SELECT src, dst, label FROM g4)",
     "collapse_parallel": f"WITH {_NODES} SELECT src, dst, label FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS r FROM edges) WHERE r = 1",
     "label_propagation": f"WITH {_COMM} SELECT id, community FROM l2",
-    "modularity": f"""WITH {_COMM}, e AS (SELECT a.community AS ca, b.community AS cb FROM snr_edges JOIN l2 a ON a.id = src JOIN l2 b ON b.id = dst), m AS (SELECT count(*)::DOUBLE AS m FROM e),
+    "modularity": f"""WITH {_COMM}, e AS (SELECT a.community AS ca, b.community AS cb FROM snr_edges JOIN l2 a ON a.id = src JOIN l2 b ON b.id = dst), tot AS (SELECT count(*)::DOUBLE AS m FROM e),
 x AS (SELECT c, sum(l) AS l, sum(d) AS d FROM (SELECT ca AS c, (ca = cb)::INT AS l, 1 AS d FROM e UNION ALL SELECT cb, 0, 1 FROM e) GROUP BY c)
-SELECT round(sum(l / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM x, m""",
+SELECT round(sum(l / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM x, tot""",
     "community_context": f"WITH {_CONTEXT} SELECT community, kind, text FROM ctx",
     "ho_nodes": f"WITH {_HO} SELECT 'H_' || community AS id, 'H' AS type, hl_summary AS text FROM ho UNION ALL SELECT 'O_' || community, 'O', title FROM ho",
     "ho_edges": f"WITH {_HO} SELECT 'O_' || community AS src, 'H_' || community AS dst, 'overview_of' AS label FROM ho UNION ALL SELECT 'H_' || ho.community, nodes.id, 'summarizes' FROM nodes JOIN l2 USING (id) JOIN ho ON ho.community = l2.community WHERE nodes.type = 'S'",
