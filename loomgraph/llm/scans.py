@@ -31,7 +31,7 @@ Q, TAU = 3, 1
 
 HYPHENS = "-‐­¬"
 WORD = re.compile(r"[^\W_]+(?:[!@|$][^\W_]+)*")
-_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+_COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:-[^\W\d_]++)+")  # looked for at word starts only: long strings of letters stay linear
 # Shapes that recognition confuses; each character's fold, so that confused spellings fold alike.
 _FOLD = str.maketrans({"@": "a", "b": "h", "8": "h", "c": "e", "d": "ei", "f": "t", "q": "g", "9": "g", "l": "i", "1": "i", "!": "i", "|": "i", "m": "rri", "n": "ri", "u": "ii", "w": "vv", "0": "o", "5": "s", "$": "s", "í": "i", "ı": "i"})
 # The confusions themselves, true shape to misread shape, for training errors.
@@ -51,9 +51,12 @@ def fold(s: str) -> str:
     return s.lower().translate(_FOLD)
 
 
+_MARKS = re.compile(r"[^\w@!|$]+|_")
+
+
 def letters(s: str) -> str:
     """Folded letters of a line, without spaces, marks and digits that stand alone."""
-    return fold("".join(c for c in s if c.isalnum() or c in "@!|$"))
+    return fold(_MARKS.sub("", s))
 
 
 def close(a: str, b: str, most: int) -> bool:
@@ -97,7 +100,9 @@ def title_match(line: str, title: str, author: str) -> float:
     best = 0.0
     for full in (title, author + title):
         b = full[: len(a)]
-        if len(b) >= 0.9 * len(a) and (a == b or len(a) >= 8 and close(a, b, max(1, len(a) // 10))):
+        if len(b) < 0.9 * len(a):
+            continue
+        if a == b or len(a) >= 8 and sum(map(str.__eq__, a[:6], b[:6])) >= 3 and close(a, b, max(1, len(a) // 10)):
             best = max(best, 0.5 + 0.5 * min(1.0, len(a) / max(len(full), 1)))
     return best
 
@@ -152,21 +157,36 @@ class Models:
 # --- reading a scanned text -----------------------------------------------------------------
 
 
-def read_page(text: str, title: str | None, author: str | None, pages: int | None, model: Boosted) -> list[str]:
-    """The kind of each line: '' blank, 'text', 'header' or 'page_number'."""
+def page_candidates(text: str, title: str | None, author: str | None, pages: int | None) -> tuple[list[str], list[int], list[list[float]]]:
+    """(lines, numbers of the lines that may be furniture, their features)."""
     lines = text.split("\n")
     t, a = letters(title or ""), letters(author or "")
     tit = [title_match(x, t, a) if t and x.strip() else 0.0 for x in lines]
-    kinds = ["text" if x.strip() else "" for x in lines]
     at = [k for k, x in enumerate(lines) if candidate(x.strip(), tit[k])]
-    if at:
-        p = model.predict(np.array([line_features(lines, k, tit, pages or 0) for k in at]))
-        for k, q in zip(at, p):
-            if q >= 0.5:
-                kinds[k] = "page_number" if page_value(lines[k])[0] >= 0 else "header"
+    return lines, at, [line_features(lines, k, tit, pages or 0) for k in at]
+
+
+def line_kinds(lines: list[str], at: list[int], p: np.ndarray) -> list[str]:
+    """The kind of each line: '' blank, 'text', 'header' or 'page_number'."""
+    kinds = ["text" if x.strip() else "" for x in lines]
+    for k, q in zip(at, p):
+        if q >= 0.5:
+            kinds[k] = "page_number" if page_value(lines[k])[0] >= 0 else "header"
     return kinds
 
 
+def read_pages(rows: list[tuple], model: Boosted) -> list[tuple[list[str], list[str]]]:
+    """(lines, kinds) of each (text, title, author, pages); the lines of all are classified at once."""
+    got = [page_candidates(*r) for r in rows]
+    feats = [f for _, _, fs in got for f in fs]
+    p = model.predict(np.array(feats)) if feats else np.empty(0)
+    out, i = [], 0
+    for lines, at, fs in got:
+        out.append((lines, line_kinds(lines, at, p[i : i + len(fs)])))
+        i += len(fs)
+    return out
+
+
 def split_word(a: str, b: str) -> tuple[str, str, str] | None:
     """(left, mark, right) if line ``a`` ends inside a word with a hyphen that ``b`` may continue."""
     s = a.rstrip()
@@ -353,11 +373,8 @@ def read_scans(scans: DataFrame, books: DataFrame, models: Models) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for i, t, title, author, pages in zip(*(c.to_pylist() for c in b.columns)):
-                if not t or i is None:
-                    continue
-                lines = t.split("\n")
-                kinds = read_page(t, title, author, pages, models.furniture)
+            rows_ = [r for r in zip(*(c.to_pylist() for c in b.columns)) if r[1] and r[0] is not None]
+            for (i, *_), (lines, kinds) in zip(rows_, read_pages([r[1:] for r in rows_], models.furniture)):
                 out += [(i, k, x, None, None, None, None) for k, x in enumerate(kinds) if x in ("header", "page_number")]
                 cut_left, cut_right = {}, {}
                 for k, n, left, mark, right in joins(lines, kinds):
