@@ -27,9 +27,9 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     p = t.join(supply, "src", "left").fillna({"supply": 0.0, "documents": 0})
     live = (F.col("supply") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     one = Window.partitionBy(F.lit(0))  # one row per target source
-    p = p.withColumn("share", F.when(live, F.col("target_share")).otherwise(0.0)).withColumn("share", F.col("share") / F.sum("share").over(one))
-    p = p.withColumn("total", F.min(F.when(live, F.col("supply") * F.col("max_repeats") / F.col("share"))).over(one))
-    e = F.when(live, F.least(F.col("share") * F.col("total") / F.col("supply"), F.col("max_repeats"))).otherwise(0.0)
+    p = p.withColumn("share", F.when(live, F.col("target_share")).otherwise(0.0)).withColumn("share", F.coalesce(F.try_divide(F.col("share"), F.sum("share").over(one)), F.lit(0.0)))
+    p = p.withColumn("total", F.min(F.when(live, F.try_divide(F.col("supply") * F.col("max_repeats"), F.col("share")))).over(one))
+    e = F.when(live, F.least(F.try_divide(F.col("share") * F.col("total"), F.col("supply")), F.col("max_repeats"))).otherwise(0.0)
     return p.withColumn("e", e).withColumn("whole", F.floor(F.col("e") + 1e-9)).withColumn("part", F.greatest(F.col("e") - F.col("whole"), F.lit(0.0)))
 
 
@@ -72,4 +72,4 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     r = t.join(got, "source", "left").fillna({"documents": 0, "tokens": 0, "most_copies": 0})
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per target source
-    return r.withColumn("share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0)).select("source", "target_share", "max_repeats", "documents", "tokens", "share", "most_copies")
+    return r.withColumn("share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), total.cast("double")), F.lit(0.0))).select("source", "target_share", "max_repeats", "documents", "tokens", "share", "most_copies")

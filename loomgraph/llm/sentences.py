@@ -120,17 +120,17 @@ def learn(texts: DataFrame) -> Model:
     n_all = c.where("kind in ('t','p')").groupBy("lang").agg(F.sum("n").alias("tot"), F.sum(F.when(d("kind") == "p", d("n")).otherwise(0.0)).alias("NP"))
     types = (
         c.where("kind in ('t','p')").groupBy("lang", F.lower("a").alias("a"))
-        .agg(F.sum(F.when(d("kind") == "p", d("n")).otherwise(0.0)).alias("cp"), F.sum(F.when(d("kind") == "t", d("n")).otherwise(0.0)).alias("ct"))
+        .agg(F.sum(F.when(d("kind") == "p", d("n")).otherwise(0.0)).alias("cp"), F.sum(F.when(d("kind") == "t", d("n")).otherwise(0.0)).alias("ct"), F.sum(F.when((d("kind") == "p") & (d("a") == F.lower("a")), d("n")).otherwise(0.0)).alias("cl"))
         .where(d("cp") >= MIN_COUNT).join(F.broadcast(n_all), "lang")
     )
-    p0, k, n = d("NP") / d("tot"), d("cp"), d("cp") + d("ct")
+    p0, k, n = F.least(F.greatest(d("NP") / d("tot"), F.lit(1e-9)), F.lit(1 - 1e-9)), d("cp"), d("cp") + d("ct")
     lam = 2 * (k * F.log(F.lit(0.99) / p0) + d("ct") * F.log(F.lit(0.01) / (1 - p0)))
     bare = F.length(F.translate("a", ".", ""))
     score = lam * F.exp(-bare.cast("double")) * (F.length("a") - bare + 1) * F.pow(bare.cast("double") + 0.001, -d("ct"))
-    flagged = types.where((score >= ABBREVIATION_SCORE) & (n > 0)).select("lang", "a").persist()
+    flagged = types.where((score >= ABBREVIATION_SCORE) & (n > 0)).select("lang", "a", (d("cl") >= 0.9 * d("cp")).alias("small")).persist()
     # a period behind any other type is a certain end ('*' stands for types too long for an abbreviation)
     pairs = c.where("kind = 'pair'").select("lang", "a", "b", "n")
-    sure = pairs.where("a <> '##' and (a = '*' or length(a) > 1)").join(flagged, ["lang", "a"], "left_anti")
+    sure = pairs.where("a <> '##' and (a = '*' or length(a) > 1)").join(flagged.select("lang", "a"), ["lang", "a"], "left_anti")
     n_sure = sure.groupBy("lang").agg(F.sum("n").alias("n1"))
     total = c.where("kind in ('t','p')").groupBy("lang", d("a").alias("b")).agg(F.sum("n").alias("k"))
     starters = (
@@ -143,10 +143,13 @@ def learn(texts: DataFrame) -> Model:
     # how often a starter follows each flagged type's period, against the same behind certain ends
     s = starters.withColumn("s", F.lit(1.0))
     hit = F.sum(F.coalesce(d("s"), F.lit(0.0)) * d("n"))
+    # a longer word in small letters before capitals only is a common word that happens to end sentences
+    word = d("small") & (F.length("a") >= 4) & ~F.contains("a", F.lit(".")) & (d("up") >= 0.9)
     base = sure.join(s, ["lang", "b"], "left").groupBy("lang").agg((hit / F.sum("n")).alias("r0"))
     ends = (
-        pairs.join(flagged, ["lang", "a"]).join(s, ["lang", "b"], "left").groupBy("lang", "a").agg((hit / F.sum("n")).alias("r"))
-        .join(F.broadcast(base), "lang", "left").select("lang", "a", F.least(F.lit(1.0), d("r") / F.greatest(F.coalesce(d("r0"), F.lit(0.5)), F.lit(0.05))).alias("p"))
+        pairs.join(flagged, ["lang", "a"]).join(s, ["lang", "b"], "left").groupBy("lang", "a", "small")
+        .agg((hit / F.sum("n")).alias("r"), (F.sum(F.when(d("b").rlike(r"^\p{Lu}"), d("n")).otherwise(0.0)) / F.sum("n")).alias("up"))
+        .join(F.broadcast(base), "lang", "left").select("lang", "a", F.when(word, F.lit(1.0)).otherwise(F.least(F.lit(1.0), d("r") / F.greatest(F.coalesce(d("r0"), F.lit(0.5)), F.lit(0.05)))).alias("p"))
     )
     # types bound to a number behind their period, such as "No. 7"
     digit = F.sum(F.when(d("b") == "##", d("n")).otherwise(0.0))
