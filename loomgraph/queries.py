@@ -203,7 +203,7 @@ _QUERIES: dict[str, Query] = {
     "knn": _q(lambda t: _embeddings_knn(t, 10, False)),
     "vector_topk": _q(lambda t: _embeddings_knn(t, 30, True)),
     "graph_knn": _q(lambda t: _graph_near(t).select("src", "dst", "score")),
-    "g5_edges": _q(_g5),
+    "g5_edges": _q(lambda t: _g5(t).withColumn("weight", F.coalesce("weight", F.lit(1)))),
     "mean_pool": _q(lambda t: knn.mean_pool(t.t("embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), "mean")),
     "token_jaccard": _q(lambda t: retrieval.lexical_hits(t.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"]), t.nodes)),
     "entry_points": _q(lambda t: t.entry.select("uid", "id", F.round("weight", 6).alias("weight"))),

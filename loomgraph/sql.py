@@ -189,7 +189,7 @@ SELECT round(sum(l / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM x
     "g5_edges": f"""WITH {_COMM}, {_VEC}, {_GNEAR},
 pr AS (SELECT DISTINCT gn.src, gn.dst FROM gn LEFT JOIN l2 a ON a.id = gn.src LEFT JOIN l2 b ON b.id = gn.dst WHERE gn.src <> gn.dst AND a.community IS NOT DISTINCT FROM b.community),
 alle AS (SELECT src, dst, label FROM edges UNION ALL SELECT src, dst, label FROM g4)
-SELECT src, dst, label, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM pr) THEN 2 END::INT AS weight FROM alle
+SELECT src, dst, label, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM pr) THEN 2 ELSE 1 END::INT AS weight FROM alle
 UNION ALL SELECT src, dst, 'semantic_hnsw', 1 FROM pr WHERE (src, dst) NOT IN (SELECT (src, dst) FROM alle)""",
     "mean_pool": "SELECT label, pos::BIGINT AS pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY label, pos",
     "token_jaccard": f"WITH {_NODES}, {_QUESTIONS}, {_jaccard('q')} SELECT uid, id, round(score, 6) AS score FROM lex WHERE score > 0.3",
