@@ -295,7 +295,7 @@ def _breaks(s, lo, hi, start, pos, ch, e, k, n, opener, lang, m) -> bool:
         if nxt.isdigit() or not word or word[-1].isdigit():
             return False
         if nxt.isupper() and n + 1 < hi and (s[n + 1].islower() or s[n + 1] in " .") or nxt in _OPEN - {"(", "["}:
-            return len(word) > 2 and word[-1].islower() and "." not in word and word.lower() not in m["ends"]
+            return len(word) > 2 and word[-1].islower() and "." not in word and m["ends"].get(word.lower(), 1.0) >= 0.4
         return False
     if not word:
         return False
