@@ -109,5 +109,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _field(name: str) -> str:
+    """SQL of one field of raw model output: quoted, or up to a separator."""
+    at = f"(?i)\\b{name}[\"'']?\\s*[:=]\\s*"
+    part = lambda body: f"nullif(regexp_extract(raw, '{at}{body}', 1), '')"
+    return f"coalesce({part(chr(34) + '([^' + chr(34) + ']*)' + chr(34))}, {part(chr(39) * 2 + '([^' + chr(39) * 2 + ']*)' + chr(39) * 2)}, {part('([^;,}' + chr(34) + chr(39) * 2 + chr(92) + 'n]+)')})"
+
+
+def _same(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
+
+
+_P6 = f"""WITH r AS (SELECT rel_id, any_value(raw) AS raw, any_value(source) AS s0, any_value(relationship) AS p0, any_value(destination) AS d0 FROM relations WHERE rel_id IS NOT NULL GROUP BY rel_id),
+t AS (SELECT rel_id, CASE WHEN u THEN {_field("source")} ELSE s0 END AS s, CASE WHEN u THEN {_field("relationship")} ELSE p0 END AS p, CASE WHEN u THEN {_field("destination")} ELSE d0 END AS d
+    FROM (SELECT *, s0 IS NULL AND p0 IS NULL AND d0 IS NULL AS u FROM r)),
+k AS (SELECT rel_id, {_same("s")} AS a, {_same("p")} AS b, {_same("d")} AS c FROM t),
+kr AS (SELECT rel_id::VARCHAR AS rec_id, min(rel_id) OVER w AS keep, count(*) OVER w AS n FROM k WHERE a <> '' AND b <> '' AND c <> '' WINDOW w AS (PARTITION BY a, b, c)),
+e AS (SELECT id, list_sort(list_distinct(list_filter(list_transform(any_value(entities), lambda x: {_same("x")}), lambda x: coalesce(x, '') <> ''))) AS a FROM chunked_output WHERE id IS NOT NULL GROUP BY id),
+ke AS (SELECT id AS rec_id, min(id) OVER w AS keep, count(*) OVER w AS n FROM e WHERE len(a) > 0 WINDOW w AS (PARTITION BY a)),
+f AS (SELECT 'relations' AS tbl, rec_id, keep::VARCHAR AS keep_id FROM kr WHERE n > 1 UNION ALL SELECT 'chunked_output', rec_id, keep FROM ke WHERE n > 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": _P6 + "SELECT tbl, rec_id, keep_id FROM f",
+        "p6_copies": _P6 + "SELECT tbl, keep_id, count(*) AS copies FROM f GROUP BY tbl, keep_id",
+    }
