@@ -261,6 +261,8 @@ def unfinished(content: str, query: str = "") -> bool:
     said = {(a, b) for a, b in zip(q, q[1:]) if a.islower() and b.islower()}
     if len(w) > 3 and any((a, b) in said for a, b in zip(w, w[1:])):
         return True
+    if len(w) > 3 and any(a not in ("fever", "chronic") for a, _ in re.findall(r"(?<!\w)([^\W\d_A-Z]+) (?=([^\W\d_A-Z]+)(?!\w))", core)):
+        return True  # two words in small letters in a row: more than a name
     if re.search(r"[.!?]\s", core) and not re.fullmatch(r"(?:(?:[A-ZÀ-Ý]|St|Dr)\.\s*)+\S+(?:\s\S+)*", core):
         return True
     return bool(small) and len(w) >= 4 and name_like < len(w) - 1 and (len(small) > 1 or len(w) > 5) or bool(small) and w[0].lower() in _STARTS and len(w) >= 3
