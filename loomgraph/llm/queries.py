@@ -75,7 +75,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _abbreviations(docs: DataFrame) -> frozenset:
     """Abbreviations that hardly ever end a sentence, learned from all documents."""
-    model = sentences.learn(docs)
+    model = sentences.learn(docs, ends_only=True)
     return frozenset(a for m in model.values() for a, p in m["ends"].items() if p < 0.3 and len(a) > 1)
 
 

@@ -111,8 +111,34 @@ class Model(dict):
         return self.get(lang) or {"starters": frozenset(), "ends": {}, "ordinal": frozenset(), "numbered": frozenset()}
 
 
-def learn(texts: DataFrame) -> Model:
-    """Learn from all rows of ``texts`` (text, lang); only lists that pass the tests reach the driver."""
+def _numbers(c: DataFrame, pairs: DataFrame, starters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words bound to a number before them, types bound to a number behind them)."""
+    d = F.col
+    # types bound to a number behind their period, such as "No. 7"
+    digit = F.sum(F.when(d("b") == "##", d("n")).otherwise(0.0))
+    by_type = pairs.groupBy("lang", "a").agg(digit.alias("k"), F.sum("n").alias("m"))
+    share = by_type.where("a <> '##'").groupBy("lang").agg(F.sum("k").alias("kt"), F.sum("m").alias("mt"))
+    numbered = (
+        by_type.where((d("a") != "*") & (d("k") >= MIN_COUNT) & (d("k") >= 0.8 * d("m"))).join(F.broadcast(share), "lang")
+        .where(llr(d("k"), d("m"), d("kt"), d("mt")) >= COLLOCATION_LLR).select("lang", "a")
+    )
+    nums = c.where("kind = 'pair' and a = '##'").select("lang", "b", "n")
+    n_num = nums.groupBy("lang").agg(F.sum("n").alias("nn"))
+    after = c.where("kind = 'pair'").groupBy("lang", "b").agg(F.sum("n").alias("k"))
+    n_pair = c.where("kind = 'pair'").groupBy("lang").agg(F.sum("n").alias("tot"))
+    ordinal = (
+        nums.where((d("n") >= MIN_COUNT) & (d("b") != "##")).join(after, ["lang", "b"]).join(F.broadcast(n_num), "lang").join(F.broadcast(n_pair), "lang")
+        .where((d("n") / d("nn") > d("k") / d("tot")) & (d("n") >= 0.7 * d("k")) & (llr(d("n"), d("nn"), d("k"), d("tot")) >= COLLOCATION_LLR))
+        .join(starters, ["lang", "b"], "left_anti").select("lang", "b")
+    )
+    return ordinal, numbered
+
+
+def learn(texts: DataFrame, ends_only: bool = False) -> Model:
+    """Learn from all rows of ``texts`` (text, lang); only lists that pass the tests reach the driver.
+
+    ``ends_only`` leaves out what only the classification of numbers needs.
+    """
     ship(texts.sparkSession)
     c = spread(texts.select("text", "lang")).mapInArrow(_count, "lang string, kind string, a string, b string, n bigint")
     c = c.groupBy("lang", "kind", "a", "b").agg(F.sum("n").cast("double").alias("n")).persist()
@@ -151,25 +177,12 @@ def learn(texts: DataFrame) -> Model:
         .agg((hit / F.sum("n")).alias("r"), (F.sum(F.when(d("b").rlike(r"^\p{Lu}"), d("n")).otherwise(0.0)) / F.sum("n")).alias("up"))
         .join(F.broadcast(base), "lang", "left").select("lang", "a", F.when(word, F.lit(1.0)).otherwise(F.least(F.lit(1.0), d("r") / F.greatest(F.coalesce(d("r0"), F.lit(0.5)), F.lit(0.05)))).alias("p"))
     )
-    # types bound to a number behind their period, such as "No. 7"
-    digit = F.sum(F.when(d("b") == "##", d("n")).otherwise(0.0))
-    by_type = pairs.groupBy("lang", "a").agg(digit.alias("k"), F.sum("n").alias("m"))
-    share = by_type.where("a <> '##'").groupBy("lang").agg(F.sum("k").alias("kt"), F.sum("m").alias("mt"))
-    numbered = (
-        by_type.where((d("a") != "*") & (d("k") >= MIN_COUNT) & (d("k") >= 0.8 * d("m"))).join(F.broadcast(share), "lang")
-        .where(llr(d("k"), d("m"), d("kt"), d("mt")) >= COLLOCATION_LLR).select("lang", "a")
-    )
-    nums = c.where("kind = 'pair' and a = '##'").select("lang", "b", "n")
-    n_num = nums.groupBy("lang").agg(F.sum("n").alias("nn"))
-    after = c.where("kind = 'pair'").groupBy("lang", "b").agg(F.sum("n").alias("k"))
-    n_pair = c.where("kind = 'pair'").groupBy("lang").agg(F.sum("n").alias("tot"))
-    ordinal = (
-        nums.where((d("n") >= MIN_COUNT) & (d("b") != "##")).join(after, ["lang", "b"]).join(F.broadcast(n_num), "lang").join(F.broadcast(n_pair), "lang")
-        .where((d("n") / d("nn") > d("k") / d("tot")) & (d("n") >= 0.7 * d("k")) & (llr(d("n"), d("nn"), d("k"), d("tot")) >= COLLOCATION_LLR))
-        .join(starters, ["lang", "b"], "left_anti").select("lang", "b")
-    )
+    lists = starters.selectExpr("lang", "'s'", "b", "1.0D").union(ends.selectExpr("lang", "'e'", "a", "p"))
+    if not ends_only:
+        ordinal, numbered = _numbers(c, pairs, starters)
+        lists = lists.union(ordinal.selectExpr("lang", "'o'", "b", "1.0D")).union(numbered.selectExpr("lang", "'n'", "a", "1.0D"))
     out = Model()
-    for lang, kind, a, p in starters.selectExpr("lang", "'s'", "b", "1.0D").union(ends.selectExpr("lang", "'e'", "a", "p")).union(ordinal.selectExpr("lang", "'o'", "b", "1.0D")).union(numbered.selectExpr("lang", "'n'", "a", "1.0D")).collect():
+    for lang, kind, a, p in lists.collect():
         m = out.setdefault(lang, {"starters": set(), "ends": {}, "ordinal": set(), "numbered": set()})
         if kind == "e":
             m["ends"][a] = p
