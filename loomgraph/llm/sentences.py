@@ -153,7 +153,9 @@ def learn(texts: DataFrame, ends_only: bool = False) -> Model:
     lam = 2 * (k * F.log(F.lit(0.99) / p0) + d("ct") * F.log(F.lit(0.01) / (1 - p0)))
     bare = F.length(F.translate("a", ".", ""))
     score = lam * F.exp(-bare.cast("double")) * (F.length("a") - bare + 1) * F.pow(bare.cast("double") + 0.001, -d("ct"))
-    flagged = types.where((score >= ABBREVIATION_SCORE) & (n > 0)).select("lang", "a", (d("cl") >= 0.9 * d("cp")).alias("small")).persist()
+    # in a script without case, a word of four letters or more is none: it may end every sentence it is in
+    uncased = (F.lower("a") == F.upper("a")) & (F.length("a") >= 4)
+    flagged = types.where((score >= ABBREVIATION_SCORE) & (n > 0) & ~uncased).select("lang", "a", (d("cl") >= 0.9 * d("cp")).alias("small")).persist()
     # a period behind any other type is a certain end ('*' stands for types too long for an abbreviation)
     pairs = c.where("kind = 'pair'").select("lang", "a", "b", "n")
     sure = pairs.where("a <> '##' and (a = '*' or length(a) > 1)").join(flagged.select("lang", "a"), ["lang", "a"], "left_anti")

@@ -38,6 +38,8 @@ _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _ROW = re.compile(r"^[^|\t\n]+(?:[|\t][^|\t\n]+){2,}$")  # a table row: three fields at least
 _ITEM = "\x01"  # marks the last word of a list item among the skeletons
 _THAI = re.compile("[฀-๿]")
+_CJK = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
+_CJK_MARK = re.compile("[。，、！？；：,.]")
 _INITIAL = re.compile(r"(?:^|[\s(“„«\"])[A-ZÀ-Ý]\.$")
 _PAIRED = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
 
@@ -83,6 +85,8 @@ def skeleton(line: str, frequent: frozenset) -> str:
     """The line with rare words and numbers masked and runs of masks joined."""
     if _THAI.search(line):
         return re.sub(r"\d[\d.,]*", "#", re.sub(r"[A-Za-zÀ-ɏ]+", "@", line))
+    if _CJK.search(line):  # no spaces: the end of the line stands for it, apart from lines with marks inside
+        return ("cjk? " if _CJK_MARK.search(line) else "cjk ") + line[-3:]
     out: list[str] = []
     for x in _TOKEN.findall(line):
         y = "#" if x[0].isdigit() else x.lower() if x.lower() in frequent or not x[0].isalnum() else "@"
@@ -155,7 +159,7 @@ def ending(t: str, frequent: frozenset, abbreviations: frozenset) -> tuple[str,
     line = last_line(t)
     words = _WORD.findall(line)
     word = words[-1] if words and line.endswith(words[-1]) or words and not _THAI.search(line) else None
-    if _THAI.search(line) and word and _THAI.search(word):
+    if word and (_THAI.search(word) or _CJK.search(word)):
         word = None
     if _ROW.match(line):
         return "open", "|", word
