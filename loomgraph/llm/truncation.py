@@ -5,7 +5,9 @@ are tested against the hazards of neighbouring lengths, with false-discovery con
 the significant lengths are field limits. Incomplete endings are flagged, at the limits
 and, for transfers broken elsewhere, at any length. What a complete ending without a
 final mark looks like (headings, titles, table rows, lists, records) is learned from
-the places where such lines stand in mid-document.
+the places where such lines stand in mid-document. Away from the limits the shape of
+such a line is enough; at a limit, where nearly all texts are cut, the line itself must
+stand whole in some document, or be one word that ends a clause or line in some.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ _FIELD = re.compile(r"\s*[^\W\d_]+:\s+\S")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _ROW = re.compile(r"^[^|\t\n]+(?:[|\t][^|\t\n]+){2,}$")  # a table row: three fields at least
 _ITEM = "\x01"  # marks the last word of a list item among the skeletons
+_EXACT = "\x02"  # marks a line as written among the skeletons
+_CLOSING = re.compile(r"([A-Za-zÀ-ɏ0-9]+|[^\W_A-Za-zÀ-ɏ]+)[^\S\n]*[\n.,;:!?)”»؟،]")  # a word and the end of its clause or line
+_MARK = re.compile(r"^(?:[-*•]|\d{1,3}[.)])\s+")
 _THAI = re.compile("[฀-๿]")
 _CJK = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
 _CJK_MARK = re.compile("[。，、！？；：,.]")
@@ -118,28 +123,41 @@ def complete_lines(text: str) -> list[str]:
     return out + items_end
 
 
-def _skeleton(x: str, frequent: frozenset) -> str:
-    return x if x.startswith(_ITEM) else skeleton(x, frequent)
+def exact(line: str) -> str:
+    """The line as written, marked: of a list item without its mark, of a table row the last field."""
+    x = line.strip()
+    return _EXACT + (re.split(r"[|\t]", x)[-1].strip() if _ROW.match(x) else _MARK.sub("", x)).lower()
+
+
+def _evidence(text: str, frequent: frozenset) -> list[str]:
+    """Skeletons of the complete lines, and the lines themselves, table rows included."""
+    whole = complete_lines(text)
+    lines = [x for x in whole if not x.startswith(_ITEM)]
+    rows = [x for x in text.rstrip().split("\n")[:-1] if _ROW.match(x.strip())]
+    return [x if x.startswith(_ITEM) else skeleton(x, frequent) for x in whole] + [exact(x) for x in lines + rows]
 
 
 _DOC = pa.schema(
     [("doc_id", pa.int64()), ("src", pa.string()), ("n", pa.int64()), ("n_own", pa.int64()), ("b", pa.int64()), ("b_own", pa.int64())]
-    + [("state", pa.string()), ("skel", pa.string()), ("word", pa.string())]
+    + [("state", pa.string()), ("skel", pa.string()), ("word", pa.string()), ("line", pa.string())]
 )
-_DDL = "doc_id bigint, src string, n bigint, n_own bigint, b bigint, b_own bigint, state string, skel string, word string"
+_DDL = "doc_id bigint, src string, n bigint, n_own bigint, b bigint, b_own bigint, state string, skel string, word string, line string"
 
 
 def _vocabulary(batches):
+    """(word, n, closing): how often a word stands in the texts, and whether it ends a clause or line; each text's last word left out."""
     words: Counter = Counter()
+    closing: set = set()
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
                 w = _WORD.findall(t)
                 words.update(w[:-1])
+                closing.update(_CLOSING.findall(t[: t.rindex(w[-1])]) if w else ())
     items = list(words.items())
     for i in range(0, len(items), 50_000):
         w, n = zip(*items[i : i + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64()), pa.array([x in closing for x in w])], names=["word", "n", "closing"])
 
 
 def ending(t: str, frequent: frozenset, abbreviations: frozenset) -> tuple[str, str | None, str | None]:
@@ -177,7 +195,7 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
     """
     ship(docs.sparkSession)
     docs = spread(docs.select("doc_id", source_key(F.col("source")).alias("src"), "text"))
-    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word string, n bigint, closing boolean").groupBy("word").agg(F.sum("n").alias("n"), F.max("closing").alias("closing")).persist()
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     # at most 1 / FREQUENT words can have this share, which bounds what is collected
     frequent = frozenset(r.w for r in vocabulary.groupBy(F.lower("word").alias("w")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(total * FREQUENT, 3)).select("w").collect())
@@ -187,7 +205,7 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    got.update(_skeleton(x, frequent) for x in complete_lines(t))
+                    got.update(_evidence(t, frequent))
         items = list(got.items()) or [("", 0)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in items]), pa.array([x[1] for x in items], pa.int64())], names=["skel", "k"])
 
@@ -198,18 +216,21 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
                 t = t or ""
                 u = body(t)
                 own = _APPENDED.sub("", t)
-                out.append((i, s, len(t), len(own), len(t.encode()), len(own.encode()), *ending(u, frequent, abbreviations)))
+                state, skel, word = ending(u, frequent, abbreviations)
+                line = exact(last_line(u)) if state == "open" else None
+                out.append((i, s, len(t), len(own), len(t.encode()), len(own.encode()), state, skel, word, line))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _DOC)] if out else [pa.array([], f.type) for f in _DOC], schema=_DOC)
 
-    known = docs.select("text").mapInArrow(lines, "skel string, k bigint").groupBy("skel").agg(F.sum("k").alias("k")).where(F.col("k") >= KNOWN)
+    known = docs.select("text").mapInArrow(lines, "skel string, k bigint").groupBy("skel").agg(F.sum("k").alias("k")).where((F.col("k") >= KNOWN) | F.col("skel").startswith(_EXACT))
     looked = docs.mapInArrow(look, _DDL).dropDuplicates(["doc_id"]).persist()
     limits = significant_lengths(looked)
     judged = looked.where("state <> 'open'").select("doc_id", "src", "n", "n_own", "b", "b_own", "state")
     # a source most of whose texts end without a mark holds titles or records
     titles = looked.groupBy("src").agg(F.avg((F.col("state") == "open").cast("double")).alias("p")).where(F.col("p") >= 0.9).select(F.col("src").alias("tsrc"), F.lit(True).alias("titled"))
-    open_ = looked.where("state = 'open'").join(known, "skel", "left").join(vocabulary.withColumnRenamed("n", "wn"), "word", "left").join(titles, F.col("src").eqNullSafe(F.col("tsrc")), "left")
+    open_ = at_limit(looked.where("state = 'open'"), limits).join(known, "skel", "left").join(known.select(F.col("skel").alias("line"), F.lit(True).alias("proven")), "line", "left").join(vocabulary.withColumnRenamed("n", "wn"), "word", "left").join(titles, F.col("src").eqNullSafe(F.col("tsrc")), "left")
     seen = F.col("word").isNull() | (F.coalesce("wn", F.lit(0)) > 0)
-    whole = seen & (F.col("k").isNotNull() | (F.col("skel") == "|") | F.coalesce("titled", F.lit(False)))
+    shaped = F.col("k").isNotNull() | (F.col("skel") == "|") | F.coalesce("titled", F.lit(False))
+    whole = seen & shaped & (~F.col("limited") | F.coalesce("proven", F.lit(False)) | F.coalesce("closing", F.lit(False)) & ~F.col("line").rlike(r"\s"))
     judged = judged.unionByName(open_.select("doc_id", "src", "n", "n_own", "b", "b_own", F.when(whole, "whole").otherwise("cut").alias("state")))
     return judged, limits
 

@@ -92,6 +92,19 @@ def test_truncation(spark):
     assert truncation.cut_documents(df.limit(0)).count() == 0
 
 
+def test_limit_takes_part_in_the_verdict(spark):
+    """At a significant length a known shape is no proof: the item itself must stand whole somewhere."""
+    rnd = random.Random(5)
+    pad = lambda n: ("".join(rnd.choice("abdegiknorstu") if rnd.random() < 0.85 else " " for _ in range(n - 1)) + ".").replace(" .", "o.")
+    name = lambda i: "K" + "".join("aeioudgkmn"[int(c)] for c in f"{i:03}") + "vo"
+    tail = lambda last: f"\n\n- Tissue sample\n- Numbness\n- {last}"
+    whole = [(i, pad(rnd.randint(60, 400)) + tail(f"{name(i)} Heights") + "\n- Numbness\n\nThe end came.", "feed") for i in range(300)]
+    at = lambda i, last: (i, pad(200 - len(tail(last))) + tail(last), "feed")
+    docs = whole + [at(1000 + i, name(i)) for i in range(30)] + [at(2000, "Numbness"), at(2001, f"{name(90)} Heights"), (3000, pad(120) + tail(name(99)), "feed")]
+    got = {r.doc_id: r.limited for r in truncation.cut_documents(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert got == {1000 + i: True for i in range(30)}
+
+
 @pytest.mark.parametrize(
     ("q", "a", "lang", "want"),
     [
