@@ -71,21 +71,47 @@ def state(v, up: tuple[str, ...] = ()) -> tuple:
     return "leaf", (type(v).__name__,)
 
 
-def walk(v) -> Iterator[tuple[str, str, str, str, str, str | None, str]]:
-    """(child, variant, path, key, a, b, label) of every node and edge, at any depth.
+def _node(own: dict) -> tuple[str, str | None, str, str | None]:
+    """(type, text, label, community) of a node's attributes."""
+    return _text(own.get("type")) or "", _text(own.get("text")), "", _text(own.get("community"))
 
-    For a node: key = id, a = type, b = text. For an edge: a = source, b = target.
+
+def _held(own: dict) -> dict:
+    return {k: _text(own.get(k)) for k in ("type", "text", "community")}
+
+
+def _rest(x: dict, *typed: str) -> str | None:
+    """The fields of ``x`` that no typed column holds as they are, as a JSON object; None where there are none."""
+    r = {k: y for k, y in x.items() if k not in typed}
+    return json.dumps(r, ensure_ascii=False, sort_keys=True) if r else None
+
+
+def _typed(x: dict, **columns) -> str | None:
+    """`_rest` without the fields whose value the column of the same name holds unchanged."""
+    return _rest(x, *(k for k, y in columns.items() if isinstance(x.get(k), str) and x[k] == y))
+
+
+def _number(v) -> str | None:
+    return str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+
+def walk(v) -> Iterator[tuple[str, str, str, str, str, str | None, str, str | None, str | None, str | None, str | None]]:
+    """(child, variant, path, key, a, b, label, community, grp, weight, rest) of every node and edge, at any depth.
+
+    For a node: key = id, a = type, b = text, grp = the group it is listed in. For an
+    edge: a = source, b = target. rest holds all fields that have no column, and those
+    whose value a column cannot hold as it is (a number, an object, NULL).
     """
-    todo: list[tuple[object, str, str, str]] = [(v, "$", "", "")]  # value, path, role, label given by an enclosing map
+    todo: list[tuple[object, str, str, str, str | None]] = [(v, "$", "", "", None)]  # value, path, role, label given by an enclosing map, group
     while todo:
-        x, path, role, given = todo.pop()
+        x, path, role, given, group = todo.pop()
         if isinstance(x, list):
-            todo += [(y, f"{path}[{i}]", role, given) for i, y in reversed(list(enumerate(x)))]
+            todo += [(y, f"{path}[{i}]", role, given, group) for i, y in reversed(list(enumerate(x)))]
             continue
         if isinstance(x, str) and role == "" and x[:1] in "{[":
             y = read_json(x)  # a graph stored as text within the record
             if isinstance(y, (dict, list)):
-                todo.append((y, path, role, given))
+                todo.append((y, path, role, given, group))
             continue
         if not isinstance(x, dict):
             continue
@@ -94,30 +120,32 @@ def walk(v) -> Iterator[tuple[str, str, str, str, str, str | None, str]]:
             if a is not None and b is not None:
                 label = _text(x.get("label"))
                 label = given if label is None else label
-                yield "edge", _variant(x), path, f"{a}>{b}>{label}", a, b, label
+                weight = _number(x.get("weight"))
+                rest = _rest(x, *(k for k, y in (("source", a), ("target", b), ("label", label)) if isinstance(x.get(k), str) and x[k] == y), *(["weight"] if weight is not None else []))
+                yield "edge", _variant(x), path, f"{a}>{b}>{label}", a, b, label, _text(x.get("community")), None, weight, rest
             continue
         inner = [k for k in (*_NODE_LISTS, *_EDGE_LISTS) if isinstance(x.get(k), (dict, list))]
         if inner:
             for k in x:
                 if k in inner:
-                    todo.append((x[k], f"{path}.{k}", "nodes" if k in _NODE_LISTS else "edges", ""))
+                    todo.append((x[k], f"{path}.{k}", "nodes" if k in _NODE_LISTS else "edges", "", _text(x.get("group")) if role == "nodes" else group))
                 elif isinstance(x[k], (dict, list)) or role == "" and isinstance(x[k], str):
-                    todo.append((x[k], f"{path}.{k}", "", ""))
+                    todo.append((x[k], f"{path}.{k}", "", "", None))
             continue
         if role == "nodes":
             key = _text(x.get("id"))
             if key is not None:
                 own = x["data"] if isinstance(x.get("data"), dict) else x
-                yield "node", _variant(x), path, key, _text(own.get("type")) or "", _text(own.get("text")), ""
+                yield "node", _variant(x), path, key, *_node(own), group, None, _typed(x, id=key, **({} if own is not x else _held(own)))
             elif x and all(isinstance(y, dict) for y in x.values()) and "id" not in x:  # a map id -> attributes
                 for k, y in x.items():
-                    yield "node", "map:" + _variant(y), f"{path}.{k}", k, _text(y.get("type")) or "", _text(y.get("text")), ""
+                    yield "node", "map:" + _variant(y), f"{path}.{k}", k, *_node(y), group, None, _typed(y, **_held(y))
             continue
         if role == "edges":
             if "id" not in x:  # a map label -> edges
-                todo += [(y, f"{path}.{k}", "edges", k) for k, y in x.items()]
+                todo += [(y, f"{path}.{k}", "edges", k, None) for k, y in x.items()]
             continue
-        todo += [(y, f"{path}.{k}", "", "") for k, y in x.items() if isinstance(y, (dict, list, str))]
+        todo += [(y, f"{path}.{k}", "", "", None) for k, y in x.items() if isinstance(y, (dict, list, str))]
 
 
 def _variant(x) -> str:
@@ -125,7 +153,7 @@ def _variant(x) -> str:
     return ",".join(f"{k}:{state(y)[0] if isinstance(y, (dict, list)) else type(y).__name__}" for k, y in sorted(x.items())) if isinstance(x, dict) else type(x).__name__
 
 
-_SCHEMA = pa.schema([(c, pa.string()) for c in ("record_id", "child", "child_key", "variant", "path", "a", "b", "label")])
+_SCHEMA = pa.schema([(c, pa.string()) for c in ("record_id", "child", "child_key", "variant", "path", "a", "b", "label", "community", "grp", "weight", "rest")])
 _DDL = ", ".join(f"{c} string" for c in _SCHEMA.names)
 
 
@@ -146,10 +174,10 @@ def graph_children(df: DataFrame, key: str = "id", raw: str = "g_raw") -> DataFr
                 if v is None or i is None:
                     continue
                 seen = set()
-                for child, variant, path, k, a, c, label in walk(v):
+                for child, variant, path, k, *fields in walk(v):
                     if (child, k) not in seen:
                         seen.add((child, k))
-                        for col, x in zip(cols, (i, child, k, variant, path, a, c, label)):
+                        for col, x in zip(cols, (i, child, k, variant, path, *fields)):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=_SCHEMA)
 
@@ -157,27 +185,39 @@ def graph_children(df: DataFrame, key: str = "id", raw: str = "g_raw") -> DataFr
 
 
 def node_table(children: DataFrame) -> DataFrame:
-    """Subtype table of the nodes: supertype key, parent link, type and text."""
-    return children.where("child = 'node'").selectExpr("record_id", "child_key", "path AS parent_path", "variant", "a AS node_type", "b AS text")
+    """Subtype table of the nodes: supertype key, parent link, type, text, community, group, and all other fields as JSON."""
+    return children.where("child = 'node'").selectExpr("record_id", "child_key", "path AS parent_path", "variant", "a AS node_type", "b AS text", "community", "grp AS node_group", "rest")
 
 
 def edge_table(children: DataFrame) -> DataFrame:
-    """Subtype table of the edges: supertype key, parent link, ends and label."""
-    return children.where("child = 'edge'").selectExpr("record_id", "child_key", "path AS parent_path", "variant", "a AS source", "b AS target", "label")
+    """Subtype table of the edges: supertype key, parent link, ends, label, weight, and all other fields as JSON."""
+    return children.where("child = 'edge'").selectExpr("record_id", "child_key", "path AS parent_path", "variant", "a AS source", "b AS target", "label", "cast(weight AS double) AS weight", "community", "rest")
 
 
-def list_children(df: DataFrame, key: str = "id") -> DataFrame:
-    """Paragraph and alias rows of a question table (all built-in operators).
+def _blank(c):
+    return F.coalesce(F.regexp_replace(c, r"[\s\p{Z}\x{200B}\x{FEFF}]+", ""), F.lit("")) == ""
+
+
+def paragraph_table(df: DataFrame, key: str = "id") -> DataFrame:
+    """(record_id, child_key, idx, title, paragraph_text, is_supporting): the paragraphs of a question table.
 
     NULL lists, NULL elements and blank texts give no row; the position in the
     stored list is the key. A record delivered twice counts once.
     """
-    blank = lambda c: F.coalesce(F.regexp_replace(c, r"[\s\p{Z}\x{200B}\x{FEFF}]+", ""), F.lit("")) == ""
-    p = df.select(F.col(key).cast("string").alias("record_id"), F.posexplode("paragraphs").alias("pos", "x"))
-    p = p.where(~blank(F.col("x.paragraph_text"))).select("record_id", F.lit("paragraph").alias("child"), F.col("pos").cast("string").alias("child_key"))
-    a = df.select(F.col(key).cast("string").alias("record_id"), F.posexplode("answer_aliases").alias("pos", "x"))
-    a = a.where(~blank(F.col("x"))).select("record_id", F.lit("alias").alias("child"), F.col("pos").cast("string").alias("child_key"))
-    return p.unionByName(a).where("record_id is not null").distinct()
+    p = df.select(F.col(key).cast("string").alias("record_id"), F.posexplode("paragraphs").alias("pos", "x")).where("record_id is not null")
+    return p.where(~_blank(F.col("x.paragraph_text"))).select("record_id", F.col("pos").cast("string").alias("child_key"), "x.idx", "x.title", "x.paragraph_text", "x.is_supporting").dropDuplicates(["record_id", "child_key"])
+
+
+def alias_table(df: DataFrame, key: str = "id") -> DataFrame:
+    """(record_id, child_key, alias): the answer aliases of a question table, by the rules of `paragraph_table`."""
+    a = df.select(F.col(key).cast("string").alias("record_id"), F.posexplode("answer_aliases").alias("pos", "x")).where("record_id is not null")
+    return a.where(~_blank(F.col("x"))).select("record_id", F.col("pos").cast("string").alias("child_key"), F.col("x").alias("alias")).dropDuplicates(["record_id", "child_key"])
+
+
+def list_children(df: DataFrame, key: str = "id") -> DataFrame:
+    """(record_id, child, child_key) of the paragraph and alias rows (all built-in operators)."""
+    one = lambda t, child: t.select("record_id", F.lit(child).alias("child"), "child_key")
+    return one(paragraph_table(df, key), "paragraph").unionByName(one(alias_table(df, key), "alias"))
 
 
 def found(musique: DataFrame, eval_dump: DataFrame) -> DataFrame:

@@ -170,6 +170,8 @@ _QUERIES: dict[str, Query] = {
     "p7_found": _q(lambda t: nested.found(t.t("musique"), t.t("eval_dump"))),
     "p7_nodes": _q(lambda t: nested.node_table(nested.graph_children(t.t("eval_dump")))),
     "p7_edges": _q(lambda t: nested.edge_table(nested.graph_children(t.t("eval_dump")))),
+    "p7_paragraphs": _q(lambda t: nested.paragraph_table(t.t("musique"))),
+    "p7_aliases": _q(lambda t: nested.alias_table(t.t("musique"))),
     "doc_concat": _q(_doc_concat),
     "sentence_split": _q(lambda t: documents.sentence_rows(t.t("documents")).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")),
     "word_tokens": _q(lambda t: documents.word_counts(t.t("documents"))),

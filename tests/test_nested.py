@@ -40,3 +40,18 @@ def test_tables(spark):
     kids = nested.graph_children(ev)
     assert nested.node_table(kids).count() == 2 and nested.edge_table(kids).count() == 2
     assert nested.found(mu.limit(0), ev.limit(0)).count() == 0
+
+
+def test_tables_hold_all_fields(spark):
+    g = {"nodes": [{"group": "T", "nodes": [{"id": "a", "type": "T", "text": "x", "community": 3, "extra": [1]}]}, {"id": "b", "data": {"type": "S", "community": "c"}}],
+         "edges": [{"source": "a", "target": "b", "label": "l", "weight": 2, "since": None}]}
+    kids = nested.graph_children(spark.createDataFrame([("1", json.dumps(g))], "id string, g_raw string"))
+    nodes = {r.child_key: r for r in nested.node_table(kids).collect()}
+    assert (nodes["a"].community, nodes["a"].node_group, json.loads(nodes["a"].rest)) == ("3", "T", {"community": 3, "extra": [1]})
+    assert (nodes["b"].community, nodes["b"].node_group, json.loads(nodes["b"].rest)) == ("c", None, {"data": {"type": "S", "community": "c"}})
+    e = nested.edge_table(kids).first()
+    assert e.weight == 2.0 and json.loads(e.rest) == {"since": None}
+    p = "array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>"
+    mu = spark.createDataFrame([("m", [(4, "t", "x", True), None], ["a", " ", "b"])] * 2, f"id string, paragraphs {p}, answer_aliases array<string>")
+    assert [tuple(r) for r in nested.paragraph_table(mu).collect()] == [("m", "0", 4, "t", "x", True)]
+    assert {tuple(r) for r in nested.alias_table(mu).collect()} == {("m", "0", "a"), ("m", "2", "b")}
