@@ -27,6 +27,8 @@ NEIGHBOURS, FDR, FLOOR = 40, 0.01, 0.25
 FREQUENT = 1e-4
 #: A line's skeleton is that of a complete line if it stands in mid-document this often.
 KNOWN = 3
+#: A title is one line of at most so many characters; a source of titles has at least so many texts.
+TITLE, TITLES = 120, 20
 
 _FINAL = re.compile(r"""[.!?。！？।؟][\s"'”’»“)\]）」』›*_]*$""")
 _APPENDED = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\(…\)|\[\.\.\.\])+$")
@@ -123,6 +125,14 @@ def complete_lines(text: str) -> list[str]:
     return out + items_end
 
 
+def title_shaped(t: str, abbreviations: frozenset) -> bool:
+    """Whether a body is one short line without a sentence end inside."""
+    if not t or len(t) > TITLE or "\n" in t.strip():
+        return False
+    inner = re.findall(r"(\w+)(?:[.!?؟।]\s|[。！？])", t)
+    return all(len(w) < 3 or w.lower() in abbreviations for w in inner)
+
+
 def exact(line: str) -> str:
     """The line as written, marked: of a list item without its mark, of a table row the last field."""
     x = line.strip()
@@ -139,9 +149,9 @@ def _evidence(text: str, frequent: frozenset) -> list[str]:
 
 _DOC = pa.schema(
     [("doc_id", pa.int64()), ("src", pa.string()), ("n", pa.int64()), ("n_own", pa.int64()), ("b", pa.int64()), ("b_own", pa.int64())]
-    + [("state", pa.string()), ("skel", pa.string()), ("word", pa.string()), ("line", pa.string())]
+    + [("state", pa.string()), ("skel", pa.string()), ("word", pa.string()), ("line", pa.string()), ("title", pa.bool_())]
 )
-_DDL = "doc_id bigint, src string, n bigint, n_own bigint, b bigint, b_own bigint, state string, skel string, word string, line string"
+_DDL = "doc_id bigint, src string, n bigint, n_own bigint, b bigint, b_own bigint, state string, skel string, word string, line string, title boolean"
 
 
 def _vocabulary(batches):
@@ -218,19 +228,23 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
                 own = _APPENDED.sub("", t)
                 state, skel, word = ending(u, frequent, abbreviations)
                 line = exact(last_line(u)) if state == "open" else None
-                out.append((i, s, len(t), len(own), len(t.encode()), len(own.encode()), state, skel, word, line))
+                out.append((i, s, len(t), len(own), len(t.encode()), len(own.encode()), state, skel, word, line, title_shaped(u, abbreviations)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _DOC)] if out else [pa.array([], f.type) for f in _DOC], schema=_DOC)
 
     known = docs.select("text").mapInArrow(lines, "skel string, k bigint").groupBy("skel").agg(F.sum("k").alias("k")).where((F.col("k") >= KNOWN) | F.col("skel").startswith(_EXACT))
     looked = docs.mapInArrow(look, _DDL).dropDuplicates(["doc_id"]).persist()
     limits = significant_lengths(looked)
     judged = looked.where("state <> 'open'").select("doc_id", "src", "n", "n_own", "b", "b_own", "state")
-    # a source most of whose texts end without a mark holds titles or records
-    titles = looked.groupBy("src").agg(F.avg((F.col("state") == "open").cast("double")).alias("p")).where(F.col("p") >= 0.9).select(F.col("src").alias("tsrc"), F.lit(True).alias("titled"))
+    # a source holds titles if nearly all its texts are short single lines without a mark and no limit holds half of them;
+    # titles that recur make their length significant, so lesser ones tell nothing
+    top = limits.groupBy(F.col("src").alias("lsrc")).agg(F.max("n").alias("most"))
+    titles = looked.groupBy("src").agg(F.avg(((F.col("state") == "open") & F.col("title")).cast("double")).alias("p"), F.count("*").alias("texts")).where((F.col("p") >= 0.9) & (F.col("texts") >= TITLES))
+    titles = titles.join(top, F.col("src").eqNullSafe(F.col("lsrc")), "left").where("coalesce(most, 0) * 2 < texts").select(F.col("src").alias("tsrc"), F.lit(True).alias("titled"))
     open_ = at_limit(looked.where("state = 'open'"), limits).join(known, "skel", "left").join(known.select(F.col("skel").alias("line"), F.lit(True).alias("proven")), "line", "left").join(vocabulary.withColumnRenamed("n", "wn"), "word", "left").join(titles, F.col("src").eqNullSafe(F.col("tsrc")), "left")
     seen = F.col("word").isNull() | (F.coalesce("wn", F.lit(0)) > 0)
-    shaped = F.col("k").isNotNull() | (F.col("skel") == "|") | F.coalesce("titled", F.lit(False))
-    whole = seen & shaped & (~F.col("limited") | F.coalesce("proven", F.lit(False)) | F.coalesce("closing", F.lit(False)) & ~F.col("line").rlike(r"\s"))
+    titled = F.coalesce("titled", F.lit(False)) & F.col("title")
+    shaped = F.col("k").isNotNull() | (F.col("skel") == "|")
+    whole = seen & (titled | shaped & (~F.col("limited") | F.coalesce("proven", F.lit(False)) | F.coalesce("closing", F.lit(False)) & ~F.col("line").rlike(r"\s")))
     judged = judged.unionByName(open_.select("doc_id", "src", "n", "n_own", "b", "b_own", F.when(whole, "whole").otherwise("cut").alias("state")))
     return judged, limits
 

@@ -92,6 +92,16 @@ def test_truncation(spark):
     assert truncation.cut_documents(df.limit(0)).count() == 0
 
 
+def test_only_titles_are_titles(spark):
+    """Long texts that nearly all stop in mid-sentence, and a source of few texts, are no titles."""
+    words = ["river", "ward", "midwife", "board", "letter", "visit"]
+    title = lambda i: f"Use of {words[i % 6]} in {words[i // 6]}"
+    long = lambda i: f"The {words[i % 6]} saw the {words[i // 6]}. " * (i + 4) + "The nurse went to the river"
+    docs = [(i, title(i), "titles") for i in range(36)] + [(1000 + i, long(i), "broken") for i in range(30)] + [(2000 + i, f"The {words[i]} went to the river", "tiny") for i in range(3)]
+    got = {r.doc_id for r in truncation.cut_documents(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert got == {*range(1000, 1030), *range(2000, 2003)}
+
+
 def test_limit_takes_part_in_the_verdict(spark):
     """At a significant length a known shape is no proof: the item itself must stand whole somewhere."""
     rnd = random.Random(5)
