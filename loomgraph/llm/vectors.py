@@ -1,17 +1,18 @@
 """Problem 3: the k most similar vectors of every vector, by multi-index hashing.
 
 Codes of one bit per dimension are learned by iterative quantisation (a rotation of
-the principal axes that moves the data towards the corners of a cube). A code is split
-into disjoint substrings; each indexes every vector under its value. Two vectors whose
-codes differ in fewer bits than there are substrings share a bucket (pigeonhole), and
-the number of substrings is set so that nearly all pairs within the larger radius that
-the similarity calls for do. In a bucket codes are compared first (XOR, bit count), and
-only pairs within the radius have their vectors compared.
+the principal axes that moves the data towards the corners of a cube); several starts
+give several codes. The codes are split into disjoint substrings; each substring is a
+table that holds every vector under its value and, probing within Hamming radius 1,
+under the values with one of its least certain bits flipped. How long a substring is,
+how many tables and how many flips there are is chosen from the number of rows by a
+cost estimate, under the condition that pairs at the least similarity meet at the
+target rate, measured on pairs made at that similarity. In a bucket codes are compared
+first (XOR, bit count), and only pairs within the radius have their vectors compared.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
@@ -26,53 +27,126 @@ from loomgraph.plans.skew import skew_join
 DIM, K, MIN_SIM = 64, 5, 0.85
 #: Rows of the sample on which the rotation is fitted (the index itself holds every row).
 FIT_ROWS = 20_000
-#: A bucket is one task's work up to this many vectors; a larger one is split into pairs of blocks.
-BLOCK = 32_768
-#: Aimed size of a bucket, and of the share of pairs at the least similarity that meet in one.
-BUCKET, MEET = 5000, 0.9
+#: A bucket is one group's work up to this many vectors; a larger one is split into pairs of blocks.
+BLOCK = 16_384
+#: Least share of pairs at the least similarity that share a bucket, and of those within the radius.
+MEET, WITHIN = 0.96, 0.995
+#: Costs that the choice of an index weighs (microseconds): a copy of a vector in a table, a comparison of two codes.
+COPY_COST, PAIR_COST = 8.0, 0.0025
+#: Most tables, flips of a table and bits of a substring that are tried; pairs on which a choice is measured.
+TABLES, FLIPS, BITS, TRIALS = 128, 3, 24, 4000
+#: Rows of buckets over ``BLOCK`` that may be broadcast; more are joined by shuffle.
+HOT_ROWS = 1_000_000
 #: Vectors are stored in buckets as 16-bit fixed point of this scale.
 SCALE = 32767.0
 
 
 @dataclass
 class Index:
-    rotation: np.ndarray  # DIM x DIM
+    rotations: list[np.ndarray]  # of DIM x DIM; the first gives the code that is compared
     bits: int  # of a substring
-    parts: int  # substrings in use
+    tables: int
+    flips: int  # probes of a table besides the own value
     radius: int
+    meet: float  # measured share of pairs at the least similarity that share a bucket
 
 
-def fit(sample: np.ndarray, rows: int, min_sim: float = MIN_SIM, seed: int = 7) -> Index:
-    """Rotation from a sample of unit vectors; substring length and number from the number of rows."""
-    d = sample.shape[1]
-    x = sample  # not centred: planes through the origin keep the number of differing bits in proportion to the angle
-    axes = np.linalg.eigh(x.T @ x)[1].T[::-1]
-    v = x @ axes.T
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))[0]
-    for _ in range(30):
+def rotation(axes: np.ndarray, v: np.ndarray, seed: int) -> np.ndarray:
+    """One learned rotation: iterative quantisation of the sample ``v`` (in the principal axes) from a random start."""
+    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1], v.shape[1])))[0]
+    for _ in range(20):
         b = np.where(v @ r >= 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(b.T @ v)
         r = (u @ w).T
-    # bits that differ between unit vectors of the least similarity: mean and one deviation
-    p = math.acos(min_sim) / math.pi
-    radius = round(d * p + math.sqrt(d * p * (1 - p)))
-    bits = int(min(16, max(4, math.floor(math.log2(max(rows, 1) / BUCKET + 1)))))
-    clean = (1 - bits / d) ** (d * p)  # a substring without a differing bit, at the expected distance
-    parts = min(d // bits, math.ceil(math.log(1 - MEET) / math.log(1 - clean)))
-    return Index(axes.T @ r, bits, max(parts, 1), radius)
+    return axes.T @ r
+
+
+def table_values(y: np.ndarray, table: int, bits: int, flips: int) -> np.ndarray:
+    """Values under which rows go into one table: their own, then with the least certain bits flipped, one at a time.
+
+    ``y`` are the rotated vectors of the table's code.
+    """
+    per = y.shape[1] // bits
+    part = y[:, (table % per) * bits : (table % per + 1) * bits]
+    own = (part >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+    if not flips:
+        return own[:, None]
+    weak = np.argsort(np.abs(part), axis=1)[:, :flips]
+    return np.concatenate([own[:, None], own[:, None] ^ (1 << weak.astype(np.int64))], axis=1)
+
+
+def fit(sample: np.ndarray, rows: int, min_sim: float = MIN_SIM, seed: int = 7, meet: float = MEET) -> Index:
+    """Index for ``rows`` vectors from a sample of unit vectors.
+
+    Of all substring lengths and numbers of flips, each with the fewest tables that
+    reach ``meet`` on made pairs, the one with the least estimated cost is taken;
+    raises where none reaches it.
+    """
+    d = sample.shape[1]
+    rnd = np.random.default_rng(seed)
+    axes = np.linalg.eigh(sample.T @ sample)[1].T[::-1]  # not centred: planes through the origin keep the number of differing bits in proportion to the angle
+    few = sample[:5000] @ axes.T
+    rotations = [rotation(axes, few, seed)]
+    x = sample[rnd.integers(0, len(sample), TRIALS)]
+    z = rnd.normal(size=x.shape)
+    z -= (x * z).sum(1, keepdims=True) * x
+    y = min_sim * x + math.sqrt(1 - min_sim**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    turned: list[tuple[np.ndarray, ...]] = []
+
+    def turn(code: int) -> tuple[np.ndarray, ...]:
+        while len(turned) <= code:
+            if len(turned) == len(rotations):
+                rotations.append(rotation(axes, few, seed + len(rotations)))
+            r = rotations[len(turned)]
+            turned.append((x @ r, y @ r, sample[:5000] @ r))
+        return turned[code]
+
+    a, b, _ = turn(0)
+    radius = int(np.quantile(((a >= 0) != (b >= 0)).sum(1), WITHIN))
+    best: tuple[float, Index] | None = None
+    if rows <= BLOCK:
+        best = COPY_COST + rows / 2 * PAIR_COST, Index(rotations, 0, 1, 0, radius, 1.0)
+    for bits in range(2, min(BITS, d) + 1):
+        if best and best[0] < COPY_COST * bits / 2:  # longer substrings need more tables still
+            break
+        for flips in range(min(FLIPS, bits) + 1):
+            met, cost = np.zeros(len(x), bool), 0.0
+            for t in range(TABLES):
+                a, b, s = turn(t // (d // bits))
+                va, vb = table_values(a, t, bits, flips), table_values(b, t, bits, flips)
+                met |= (va[:, :, None] == vb[:, None, :]).any((1, 2))
+                n = np.unique(table_values(s, t, bits, flips), return_counts=True)[1]
+                cost += COPY_COST * (1 + flips) + (n * (n - 1.0)).sum() / max(len(s) * (len(s) - 1.0), 1.0) * rows / 2 * PAIR_COST
+                if best and cost >= best[0]:
+                    break
+                if met.mean() >= meet:
+                    best = cost, Index(rotations, bits, t + 1, flips, radius, float(met.mean()))
+                    break
+    if best is None:
+        raise ValueError(f"no index within {TABLES} tables lets {meet:.0%} of pairs at {min_sim} meet")
+    ix = best[1]
+    ix.rotations = rotations[: -(-ix.tables // (d // ix.bits)) if ix.bits else 1]
+    return ix
 
 
 def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(usable row numbers, unit vectors): NULL, wrong length, NULL or NaN elements and zero vectors are left out."""
-    ok, rows = [], []
-    for i, v in enumerate(lists.to_pylist()):
-        if v is not None and len(v) == DIM and None not in v:
-            ok.append(i)
-            rows.append(v)
-    x = np.array(rows, np.float64).reshape(-1, DIM)
+    """(usable row numbers, unit vectors) of lists of ``DIM``: those with NULL or NaN elements and zero vectors are left out."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, DIM)
     n = np.sqrt((x * x).sum(1))
-    good = np.isfinite(n) & (n > 0)
-    return np.array(ok, np.int64)[good], x[good] / n[good, None]
+    good = np.flatnonzero(np.isfinite(n) & (n > 0))
+    return good, x[good] / n[good, None]
+
+
+def _digest(x: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each row of integers."""
+    out = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        k = np.random.default_rng(seed).integers(1, 2**63, x.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+        h = x.astype(np.int64).view(np.uint64) * k
+        h ^= h >> np.uint64(31)
+        h = (h * np.uint64(0xBF58476D1CE4E5B9)).sum(1, dtype=np.uint64)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return np.stack(out, axis=1)
 
 
 _UNIT = pa.schema([("vec_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("q", pa.binary())])
@@ -86,8 +160,7 @@ def unit_vectors(df: DataFrame) -> DataFrame:
         for b in batches:
             at, x = _unit(b.column(1))
             q = np.rint(x * SCALE).astype(np.int16)
-            coarse = np.round(x, 5) + 0.0  # equal vectors, also of another norm
-            d = np.array([np.frombuffer(hashlib.blake2b(r.tobytes(), digest_size=16).digest(), np.int64) for r in coarse], np.int64).reshape(-1, 2)
+            d = _digest(np.rint(x * 1e5))  # equal vectors, also of another norm; finer than the fixed point
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(at)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([r.tobytes() for r in q], pa.binary())], schema=_UNIT)
 
     return spread(df.select("vec_id", "embedding").where("vec_id is not null and size(embedding) = 64")).mapInArrow(run, "vec_id bigint, d1 bigint, d2 bigint, q binary")
@@ -99,31 +172,30 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def _codes(x: np.ndarray, ix: Index) -> np.ndarray:
     """64-bit codes of unit vectors."""
-    bits = x @ ix.rotation >= 0
-    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
+    return np.packbits(x @ ix.rotations[0] >= 0, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def _substrings(code: np.ndarray, ix: Index) -> np.ndarray:
-    """Values of the substrings, one column for each."""
-    mask = np.uint64((1 << ix.bits) - 1)
-    return np.stack([(code >> np.uint64(k * ix.bits)) & mask for k in range(ix.parts)], axis=1)
+def bucket_keys(x: np.ndarray, ix: Index) -> np.ndarray:
+    """Keys of the buckets that hold each vector, over all tables."""
+    if not ix.bits:
+        return np.zeros((len(x), 1), np.int64)
+    per, out = x.shape[1] // ix.bits, []
+    for t in range(ix.tables):
+        if t % per == 0:
+            y = x @ ix.rotations[t // per]
+        out.append(table_values(y, t, ix.bits, ix.flips) | (t << ix.bits))
+    return np.concatenate(out, axis=1)
 
 
 _CAND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
 
-def _compare(ia, xa, ca, ib, xb, cb, ix: Index, part: int, same: bool, k: int, min_sim: float):
-    """Pairs of two blocks of one bucket: within the radius, first met in this substring, and near the top k of an end."""
+def _compare(ia, xa, ca, ib, xb, cb, ix: Index, same: bool, min_sim: float):
+    """Pairs of two blocks of one bucket: within the radius, then at least ``min_sim`` by their vectors."""
     near = np.bitwise_count(ca[:, None] ^ cb[None, :]) <= ix.radius
     if same:
         near &= np.tri(len(ia), len(ib), -1, dtype=bool).T
     i, j = np.nonzero(near)
-    if part and len(i):  # report a pair only under the first substring that it shares
-        mask = np.uint64((1 << ix.bits) - 1)
-        diff, first = ca[i] ^ cb[j], np.ones(len(i), bool)
-        for p in range(part):
-            first &= ((diff >> np.uint64(p * ix.bits)) & mask) != 0
-        i, j = i[first], j[first]
     if not len(i):
         return None
     sim = np.empty(len(i))
@@ -131,7 +203,7 @@ def _compare(ia, xa, ca, ib, xb, cb, ix: Index, part: int, same: bool, k: int, m
         t = slice(s, s + 200_000)
         sim[t] = np.einsum("ij,ij->i", xa[i[t]], xb[j[t]])
     keep = sim >= min_sim - 1e-4
-    return ia[i[keep]], ib[j[keep]], sim[keep]
+    return np.minimum(ia[i[keep]], ib[j[keep]]), np.maximum(ia[i[keep]], ib[j[keep]]), sim[keep]
 
 
 def nearest(df: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
@@ -164,6 +236,8 @@ def nearest(df: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
     sim = F.round("sim", 6).alias("sim")
     ask = pairs.select(F.explode(F.array(F.struct("a", "b", sim), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), sim))).alias("x")).select("x.*").where(F.col("sim") >= min_sim)
     near = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    # a pair met in several tables is one: equal rows share a dense rank, and WindowGroupLimit keeps k ranks on the map side
+    ask = ask.withColumn("r", F.dense_rank().over(near)).where(F.col("r") <= k).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     ask = ask.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).select("a", "b", "sim")
     ids = classes.where("n > 1").select("rep", "n", "ids")
     small = classes.where((F.col("n") > 1) & (F.col("n") <= k)).select("rep", "ids")
@@ -180,70 +254,56 @@ def nearest(df: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
 
 
 def _candidates(reps: DataFrame, ix: Index, k: int, min_sim: float) -> DataFrame:
-    """Pairs (a, b, sim) of vectors that meet in a bucket within the radius."""
+    """Pairs (a, b, sim) of vectors that share a bucket within the radius; a pair may come from several tables."""
     spark = reps.sparkSession
-    coded = pa.schema([("vec_id", pa.int64()), ("code", pa.int64()), ("row", pa.binary())])
+    coded = pa.schema([("row", pa.binary()), ("vec_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def encode(batches):
         for b in batches:
             q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
             x = q / SCALE
-            code = _codes(x / np.linalg.norm(x, axis=1, keepdims=True), ix) if len(x) else np.empty(0, np.uint64)
-            rows = np.concatenate([ids[:, None].view(np.int16), code[:, None].view(np.int16), q], axis=1)  # one binary field: little else is shuffled
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], schema=coded)
-
-    base = reps.mapInArrow(encode, "vec_id bigint, code bigint, row binary").persist()
-    mask = (1 << ix.bits) - 1
-    value = F.array(*[F.shiftrightunsigned("code", p * ix.bits).bitwiseAND(F.lit(mask)) for p in range(ix.parts)])
-    ids = base.select("vec_id", F.posexplode(value).alias("part", "v"))
-    counts = {(r.part, r.v): r.n for r in ids.groupBy("part", "v").agg(F.count("*").alias("n")).collect()}  # parts * 2**bits rows at most
-    split = {key: min(math.ceil(n / BLOCK), 1023) for key, n in counts.items() if n > BLOCK}
-    full = base.select("vec_id", "row", F.posexplode(value).alias("part", "v"))
-    if split:
-        sizes = F.broadcast(spark.createDataFrame([(p, v, m) for (p, v), m in split.items()], "part int, v bigint, m int"))
-        full = full.join(sizes, ["part", "v"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("blk", F.pmod("vec_id", "m").cast("int"))
-        full = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        lo, hi, m = F.least("blk", "with"), F.greatest("blk", "with"), F.col("m")
+            keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), ix) if len(x) else np.empty((0, 1), np.int64)
+            rows = np.concatenate([ids[:, None].view(np.int16), q], axis=1)  # one binary field: little else is shuffled
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), b.column(0), lists], schema=coded)
+
+    base = reps.mapInArrow(encode, "row binary, vec_id bigint, keys array<bigint>").persist()
+    hot = base.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")).persist()
+    full = base.select("row", "vec_id", F.explode("keys").alias("key"))
+    many = hot.count()
+    if many:  # a bucket of m blocks becomes its pairs of blocks, without a limit on m
+        full = full.join(F.broadcast(hot) if many <= HOT_ROWS else hot, "key", "left")
+        blk = F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int")
+        full = full.withColumn("m", F.coalesce("m", F.lit(1))).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        full = full.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), (F.col("blk") > F.col("other")).alias("right"), "row")
+        full = full.groupBy("key", "lo", "hi")
     else:
-        lo, hi, m = F.lit(0), F.lit(0), F.lit(1)
-    # one key: substring, its value, blocks of the bucket and the pair of them
-    key = F.col("part").cast("bigint")
-    for part, width in ((F.col("v"), 16), (m, 10), (lo, 10), (hi, 10)):
-        key = F.shiftleft(key, width).bitwiseOR(part.cast("bigint"))
-    full = full.select(key.alias("key"), "row")
+        full = full.select("key", F.lit(False).alias("right"), "row").groupBy("key")
 
     def search(key, t):
-        key = key[0].as_py()
-        part, m_, lo_, hi_ = key >> 46, key >> 20 & 1023, key >> 10 & 1023, key & 1023
-        raw = np.frombuffer(b"".join(t.column("row").to_pylist()), np.int16).reshape(-1, DIM + 8)
+        raw = np.frombuffer(b"".join(t.column("row").to_pylist()), np.int16).reshape(-1, DIM + 4)
         v = np.ascontiguousarray(raw[:, :4]).view(np.int64).ravel()
-        c = np.ascontiguousarray(raw[:, 4:8]).view(np.uint64).ravel()
-        x = raw[:, 8:] / np.float32(SCALE)
+        x = raw[:, 4:] / np.float32(SCALE)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        if lo_ == hi_:
-            sides = [(np.arange(len(v)), None)]
+        c = _codes(x, ix)
+        if len(key) == 1 or key[1] == key[2]:
+            left, right = np.arange(len(v)), None
         else:
-            b = np.mod(v, m_)
-            sides = [(np.flatnonzero(b == lo_), np.flatnonzero(b == hi_))]
+            side = t.column("right").to_numpy(zero_copy_only=False).astype(bool)
+            left, right = np.flatnonzero(~side), np.flatnonzero(side)
         out = []
-        for left, right in sides:
-            for s in range(0, len(left), 1024):  # bounds the bit matrix in memory
-                u = left[s : s + 1024]
-                if right is None:
-                    for z in range(s, len(left), 1024):
-                        w = left[z : z + 1024]
-                        out.append(_compare(v[u], x[u], c[u], v[w], x[w], c[w], ix, part, s == z, k, min_sim))
-                else:
-                    for z in range(0, len(right), 1024):
-                        w = right[z : z + 1024]
-                        out.append(_compare(v[u], x[u], c[u], v[w], x[w], c[w], ix, part, False, k, min_sim))
+        for s in range(0, len(left), 1024):  # bounds the bit matrix in memory
+            u = left[s : s + 1024]
+            for z in range(s if right is None else 0, len(left if right is None else right), 1024):
+                w = (left if right is None else right)[z : z + 1024]
+                out.append(_compare(v[u], x[u], c[u], v[w], x[w], c[w], ix, right is None and s == z, min_sim))
         out = [o for o in out if o is not None and len(o[0])]
         if not out:
             return _CAND.empty_table()
         a, b, sim = (np.concatenate(c_) for c_ in zip(*out))
         return _top(a, b, sim, k)
 
-    return full.groupBy("key").applyInArrow(search, "a bigint, b bigint, sim double")
+    return full.applyInArrow(search, "a bigint, b bigint, sim double")
 
 
 def _top(a, b, sim, k) -> pa.Table:

@@ -39,14 +39,54 @@ def test_nearest_recall_copies_and_unusable(spark):
 
 
 def test_hot_bucket_blocks_lose_nothing(spark, monkeypatch):
+    """Split into pairs of blocks, a bucket gives the same pairs as whole, and here they are all."""
     r = np.random.default_rng(1)
     c = r.normal(size=64)
     rows = [(i, (c + 0.1 * r.normal(size=64)).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    monkeypatch.setattr(vectors, "BLOCK", 64)
-    got = {tuple(x) for x in vectors.nearest(df).collect()}
+    whole = {tuple(x) for x in vectors.nearest(df).collect()}
+    sample = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    ix = vectors.Index(vectors.fit(sample, 300).rotations, 0, 1, 0, 64, 1.0)
+    monkeypatch.setattr(vectors, "fit", lambda *a, **k: ix)
+    monkeypatch.setattr(vectors, "BLOCK", 37)
+    split = {tuple(x) for x in vectors.nearest(df).collect()}
+    want = brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
+    assert whole == split and len(split ^ want) <= 0.01 * len(want)  # fixed point can swap equals
+
+
+def test_several_tables_and_probes_give_each_pair_once(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.repeat(r.normal(size=(40, 64)), 9, axis=0) + 0.3 * r.normal(size=(360, 64)))]
+    sample = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    monkeypatch.setattr(vectors, "COPY_COST", 0.0)
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    ix = vectors.fit(sample, 100_000)
+    assert ix.bits > 1 and ix.tables > 1
+    monkeypatch.setattr(vectors, "fit", lambda *a, **k: ix)
+    got = [tuple(x) for x in vectors.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()]
     want = brute([(i, np.array(v, np.float32).tolist()) for i, v in rows])
-    assert len(got & want) >= 0.95 * len(want)
+    assert len(got) == len(set(got)) and len(want & set(got)) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("rows", [20_000, 1_000_000, 60_000_000])
+def test_pairs_meet_at_every_size(rows):
+    """Pairs that the choice of the index did not see, at the least similarity, share a bucket and lie within the radius."""
+    r = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    ix = vectors.fit(unit(r.normal(size=(6000, 64))), rows)
+    x, z = unit(r.normal(size=(3000, 64))), r.normal(size=(3000, 64))
+    y = 0.85 * x + np.sqrt(1 - 0.85**2) * unit(z - (x * z).sum(1, keepdims=True) * x)
+    met = np.array([bool(np.intersect1d(a, b).size) for a, b in zip(vectors.bucket_keys(x, ix), vectors.bucket_keys(y, ix))])
+    within = np.bitwise_count(vectors._codes(x, ix) ^ vectors._codes(y, ix)) <= ix.radius
+    assert (met & within).mean() >= 0.93
+
+
+def test_an_index_that_cannot_reach_the_target_is_refused(monkeypatch):
+    monkeypatch.setattr(vectors, "TABLES", 1)
+    monkeypatch.setattr(vectors, "FLIPS", 0)
+    x = np.random.default_rng(0).normal(size=(500, 64))
+    with pytest.raises(ValueError):
+        vectors.fit(x / np.linalg.norm(x, axis=1, keepdims=True), 10**9, min_sim=0.3)
 
 
 def test_fold_hash_and_compare():
