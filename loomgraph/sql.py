@@ -142,7 +142,40 @@ _VEC = """v AS (SELECT vec_id, any_value(id) AS id, any_value(embedding) AS embe
 u AS (SELECT * FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)"""
 _GNEAR = f"gn AS (SELECT a.id AS src, b.id AS dst, n.score FROM ({_near('u', 'vec_id', 10, True)}) n JOIN u a ON a.vec_id = n.query_id JOIN u b ON b.vec_id = n.id)"
 
+_P7 = r"""WITH mu AS (SELECT id, any_value(paragraphs) AS ps, any_value(answer_aliases) AS al FROM musique WHERE id IS NOT NULL GROUP BY id),
+par AS (SELECT id AS record_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM mu),
+ali AS (SELECT id AS record_id, unnest(al) AS x, unnest(range(len(al))) AS pos FROM mu),
+raws AS (SELECT id::VARCHAR AS id, any_value(g_raw) AS raw FROM eval_dump WHERE id IS NOT NULL GROUP BY id),
+once AS (SELECT id, raw::JSON AS g FROM raws WHERE json_valid(raw)),
+twice AS (SELECT id, CASE WHEN json_type(g) <> 'VARCHAR' THEN g WHEN json_valid(g ->> '$') THEN (g ->> '$')::JSON END AS g FROM once),
+tree0 AS (SELECT t.id AS rid, j.* FROM twice t, json_tree(t.g) j WHERE t.g IS NOT NULL),
+within AS (SELECT rid, id AS at, (value ->> '$')::JSON AS g FROM tree0 WHERE type = 'VARCHAR' AND NOT regexp_matches(fullkey, '\.(nodes|edges|links)([.\[]|$)') AND regexp_matches(value ->> '$', '^[{\[]') AND json_valid(value ->> '$')),
+tree AS (SELECT rid, -1 AS at, * EXCLUDE (rid) FROM tree0 UNION ALL SELECT w.rid, w.at, j.* FROM within w, json_tree(w.g) j),
+obj AS (SELECT c.rid, c.value AS v, c.type, c.key, regexp_matches(c.fullkey, '\.nodes(\[[0-9]+\])*$') AS in_nodes, p.value AS pv, p.type AS pt, p.key AS pk, regexp_matches(p.fullkey, '\.nodes(\[[0-9]+\])*$') AS p_nodes, q.type AS qt,
+        regexp_matches(q.fullkey, '\.(edges|links)(\[[0-9]+\])*$') AS q_edges, regexp_matches(p.fullkey, '\.(edges|links)(\[[0-9]+\])*$') AS p_edges
+    FROM tree c LEFT JOIN tree p ON p.rid = c.rid AND p.at = c.at AND p.id = c.parent LEFT JOIN tree q ON q.rid = p.rid AND q.at = p.at AND q.id = p.parent),
+node AS (SELECT rid, v ->> '$.id' AS k FROM obj WHERE in_nodes AND type = 'OBJECT' AND json_type(v, '$.id') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE')
+    UNION ALL SELECT rid, key FROM obj WHERE p_nodes AND pt = 'OBJECT' AND type = 'OBJECT' AND NOT list_has_any(json_keys(pv), ['id', 'nodes', 'edges', 'links', 'source'])),
+ends AS (SELECT rid, CASE WHEN json_type(v, '$.source') = 'OBJECT' THEN v ->> '$.source.id' ELSE v ->> '$.source' END AS a, CASE WHEN json_type(v, '$.target') = 'OBJECT' THEN v ->> '$.target.id' ELSE v ->> '$.target' END AS b,
+        coalesce(v ->> '$.label', CASE WHEN pt = 'ARRAY' AND qt = 'OBJECT' AND q_edges THEN pk WHEN pt = 'OBJECT' AND p_edges THEN key END, '') AS label
+    FROM obj WHERE type = 'OBJECT' AND NOT in_nodes AND list_has_all(json_keys(v), ['source', 'target'])),
+edge AS (SELECT rid, a || '>' || b || '>' || label AS k FROM ends WHERE a IS NOT NULL AND b IS NOT NULL)
+"""
+
+
+def _blank(c: str) -> str:
+    return f"coalesce(regexp_replace({c}, '[\\s\\p{{Z}}\\x{{200B}}\\x{{FEFF}}]+', '', 'g'), '') = ''"
+
+
+_LACKS = "array_to_string(list_filter([CASE WHEN x.idx IS NULL THEN 'idx' END, CASE WHEN x.title IS NULL THEN 'title' END, CASE WHEN x.is_supporting IS NULL THEN 'is_supporting' END], lambda k: k IS NOT NULL), ',')"
+
+
 ORACLE: dict[str, str] = {
+    "p7_found": _P7 + f"""SELECT DISTINCT rid AS record_id, 'node' AS child, k AS child_key FROM node UNION ALL SELECT DISTINCT rid, 'edge', k FROM edge
+UNION ALL SELECT record_id, 'paragraph', pos::VARCHAR FROM par WHERE NOT {_blank("x.paragraph_text")} UNION ALL SELECT record_id, 'alias', pos::VARCHAR FROM ali WHERE NOT {_blank("x")}""",
+    "p7_paragraphs": _P7 + f"""SELECT record_id, pos::VARCHAR AS child_key, CASE WHEN {_LACKS} = '' THEN 'whole' ELSE 'without ' || {_LACKS} END AS variant, x.idx AS idx, x.title AS title, x.paragraph_text AS paragraph_text, x.is_supporting AS is_supporting
+FROM par WHERE NOT {_blank("x.paragraph_text")}""",
+    "p7_aliases": _P7 + f"SELECT record_id, pos::VARCHAR AS child_key, x AS alias FROM ali WHERE NOT {_blank('x')}",
     "doc_concat": "SELECT coalesce(book_id, -1) AS book_id, doc_id, (sum(length(coalesce(text, ''))) OVER (PARTITION BY coalesce(book_id, -1) ORDER BY doc_id) - length(coalesce(text, '')))::BIGINT AS start_pos FROM documents",
     "sentence_split": f"WITH {_SENT} SELECT doc_id, sent_no::BIGINT AS sent_no, sentence FROM s",
     "word_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_words('text')}) AS token FROM documents) GROUP BY token",

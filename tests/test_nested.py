@@ -31,6 +31,25 @@ def test_unreadable_and_odd():
         assert children(v) == set()
 
 
+def test_maps_of_lists_and_missing_attributes():
+    assert children(json.dumps({"nodes": {"T": [N[0]], "": [N[1]]}, "edges": E})) == WANT
+    assert children(json.dumps({"nodes": {"a": {"type": "T"}, "b": None}, "edges": E})) == WANT
+    groups = {r[3]: r[8] for r in nested.walk({"nodes": {"T": [N[0]], "": [N[1]]}})}
+    assert groups == {"a": "T", "b": ""}
+    g = json.dumps({"nodes": N, "edges": E})
+    for _ in range(10):
+        g = json.dumps(g)
+    assert children(g) == WANT
+
+
+def test_states_choose_the_rows(monkeypatch):
+    g = {"nodes": [{"id": "a"}, {"id": "b", "data": {"type": "S"}}], "edges": [{"source": "a", "target": {"id": "b"}}, {"source": None, "target": "b"}]}
+    got = nested.states(g)
+    assert [got[id(x)] for x in (g, g["nodes"], *g["nodes"], *g["edges"])] == ["graph", "list", "node", "wrapped", "joined", "loose"]
+    monkeypatch.setattr(nested, "object_state", lambda fields: "object")
+    assert children(json.dumps(g)) == set()
+
+
 def test_tables(spark):
     ev = spark.createDataFrame([("1", json.dumps({"nodes": N, "edges": E}), "x"), ("1", json.dumps({"nodes": N, "edges": E}), "y"), ("2", None, None), (None, "{}", None)], "id string, g_raw string, path string")
     p = "array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>"
@@ -53,5 +72,5 @@ def test_tables_hold_all_fields(spark):
     assert e.weight == 2.0 and json.loads(e.rest) == {"since": None}
     p = "array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>"
     mu = spark.createDataFrame([("m", [(4, "t", "x", True), None], ["a", " ", "b"])] * 2, f"id string, paragraphs {p}, answer_aliases array<string>")
-    assert [tuple(r) for r in nested.paragraph_table(mu).collect()] == [("m", "0", 4, "t", "x", True)]
+    assert [tuple(r) for r in nested.paragraph_table(mu).collect()] == [("m", "0", "whole", 4, "t", "x", True)]
     assert {tuple(r) for r in nested.alias_table(mu).collect()} == {("m", "0", "a"), ("m", "2", "b")}
