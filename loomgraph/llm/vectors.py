@@ -170,6 +170,12 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.int16).reshape(-1, DIM)
 
 
+def _turned(q: np.ndarray) -> np.ndarray:
+    """Unit vectors of fixed-point ones; always in double precision, so that a vector has the same keys wherever they are computed."""
+    x = q / SCALE
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def _codes(x: np.ndarray, ix: Index) -> np.ndarray:
     """64-bit codes of unit vectors."""
     return np.packbits(x @ ix.rotations[0] >= 0, axis=1).view(">u8").astype(np.uint64).ravel()
@@ -190,8 +196,19 @@ def bucket_keys(x: np.ndarray, ix: Index) -> np.ndarray:
 _CAND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
 
-def _compare(ia, xa, ca, ib, xb, cb, ix: Index, same: bool, min_sim: float):
-    """Pairs of two blocks of one bucket: within the radius, then at least ``min_sim`` by their vectors."""
+def first_shared(ka: np.ndarray, kb: np.ndarray, key: int, ix: Index) -> np.ndarray:
+    """Whether ``key`` is the first bucket that the pairs with bucket keys ``ka`` and ``kb`` share."""
+    first, wide, own = np.ones(len(ka), bool), 1 + ix.flips, key >> ix.bits
+    for t in range(own):
+        a, b = ka[:, t * wide : (t + 1) * wide], kb[:, t * wide : (t + 1) * wide]
+        first &= ~(a[:, :, None] == b[:, None, :]).any((1, 2))
+    a, b = ka[:, own * wide : (own + 1) * wide], kb[:, own * wide : (own + 1) * wide]
+    least = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
+    return first & (least == key)
+
+
+def _compare(ia, xa, ca, ib, xb, cb, ka, kb, key: int, ix: Index, same: bool, min_sim: float):
+    """Pairs of two blocks of one bucket: within the radius, then at least ``min_sim`` by their vectors, each under the first bucket that it shares."""
     near = np.bitwise_count(ca[:, None] ^ cb[None, :]) <= ix.radius
     if same:
         near &= np.tri(len(ia), len(ib), -1, dtype=bool).T
@@ -202,7 +219,9 @@ def _compare(ia, xa, ca, ib, xb, cb, ix: Index, same: bool, min_sim: float):
     for s in range(0, len(i), 200_000):
         t = slice(s, s + 200_000)
         sim[t] = np.einsum("ij,ij->i", xa[i[t]], xb[j[t]])
-    keep = sim >= min_sim - 1e-4
+    keep = np.flatnonzero(sim >= min_sim - 1e-4)
+    if ix.bits:
+        keep = keep[first_shared(ka[i[keep]], kb[j[keep]], key, ix)]
     return np.minimum(ia[i[keep]], ib[j[keep]]), np.maximum(ia[i[keep]], ib[j[keep]]), sim[keep]
 
 
@@ -236,8 +255,6 @@ def nearest(df: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
     sim = F.round("sim", 6).alias("sim")
     ask = pairs.select(F.explode(F.array(F.struct("a", "b", sim), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), sim))).alias("x")).select("x.*").where(F.col("sim") >= min_sim)
     near = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    # a pair met in several tables is one: equal rows share a dense rank, and WindowGroupLimit keeps k ranks on the map side
-    ask = ask.withColumn("r", F.dense_rank().over(near)).where(F.col("r") <= k).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     ask = ask.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).select("a", "b", "sim")
     ids = classes.where("n > 1").select("rep", "n", "ids")
     small = classes.where((F.col("n") > 1) & (F.col("n") <= k)).select("rep", "ids")
@@ -254,17 +271,16 @@ def nearest(df: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
 
 
 def _candidates(reps: DataFrame, ix: Index, k: int, min_sim: float) -> DataFrame:
-    """Pairs (a, b, sim) of vectors that share a bucket within the radius; a pair may come from several tables."""
+    """Pairs (a, b, sim) of vectors that share a bucket within the radius."""
     spark = reps.sparkSession
     coded = pa.schema([("row", pa.binary()), ("vec_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def encode(batches):
         for b in batches:
             q, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-            x = q / SCALE
-            keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), ix) if len(x) else np.empty((0, 1), np.int64)
+            keys = bucket_keys(_turned(q), ix)
             rows = np.concatenate([ids[:, None].view(np.int16), q], axis=1)  # one binary field: little else is shuffled
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), b.column(0), lists], schema=coded)
 
     base = reps.mapInArrow(encode, "row binary, vec_id bigint, keys array<bigint>").persist()
@@ -283,20 +299,19 @@ def _candidates(reps: DataFrame, ix: Index, k: int, min_sim: float) -> DataFrame
     def search(key, t):
         raw = np.frombuffer(b"".join(t.column("row").to_pylist()), np.int16).reshape(-1, DIM + 4)
         v = np.ascontiguousarray(raw[:, :4]).view(np.int64).ravel()
-        x = raw[:, 4:] / np.float32(SCALE)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = _codes(x, ix)
+        x = _turned(raw[:, 4:])
+        c, keys, own = _codes(x, ix), bucket_keys(x, ix), key[0].as_py()
         if len(key) == 1 or key[1] == key[2]:
             left, right = np.arange(len(v)), None
         else:
             side = t.column("right").to_numpy(zero_copy_only=False).astype(bool)
             left, right = np.flatnonzero(~side), np.flatnonzero(side)
-        out = []
+        x, out = x.astype(np.float32), []
         for s in range(0, len(left), 1024):  # bounds the bit matrix in memory
             u = left[s : s + 1024]
             for z in range(s if right is None else 0, len(left if right is None else right), 1024):
                 w = (left if right is None else right)[z : z + 1024]
-                out.append(_compare(v[u], x[u], c[u], v[w], x[w], c[w], ix, right is None and s == z, min_sim))
+                out.append(_compare(v[u], x[u], c[u], v[w], x[w], c[w], keys[u], keys[w], own, ix, right is None and s == z, min_sim))
         out = [o for o in out if o is not None and len(o[0])]
         if not out:
             return _CAND.empty_table()
