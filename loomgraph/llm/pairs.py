@@ -30,42 +30,80 @@ _WORD = re.compile(r"\w+(?:[’'-]\w+)*")
 _FINAL = re.compile(r"[.!?。！？।؟]$")
 _CLOSERS = " \t\r\n\"'”’»“)]}）」』›*_`"
 
-# --- refusal grammar (fixed values: phrases of four languages) --------------------------------
-_I = r"(?:\b(?:i|we))"
-_REFUSAL = re.compile(
-    "|".join(
-        [
-            # en: a first-person subject, or a sentence without any, and a verb of answering
-            _I + r"(?:['’]m| am|['’]re| are)?(?: (?:really|very|so|truly))? (?:sorry|afraid)\b",
-            _I + r" (?:can(?:no|['’])?t|can not|could(?: not|n['’]t)|will not|won['’]t|would not|am (?:unable|not able|not allowed|not permitted)|are (?:unable|not able)|was unable|do not|don['’]t|must|have to|need to|would rather not|would only be|would be|prefer not|decline|refuse|have no (?:access|information|way|knowledge|data))\b[^.!?]{0,60}?\b(?:answer|help|determine|say|know|declin|guess|tell|provid|discuss|assist|giv|find|identif|access|confirm|infer|have enough|information|comment|refus|respond)",
-            _I + r" have no (?:access|information|way|knowledge|data)",
-            r"\b(?:as|being) an? (?:ai|(?:large )?language model|assistant|artificial)\b",
-            r"\bmy (?:guidelines|instructions|policy|policies|rules|training|programming)\b[^.!?]{0,30}\b(?:prevent|forbid|prohibit|(?:do not|don['’]t) (?:allow|permit))",
-            r"(?:^|[.!?:;,]\s+|\b(?:this|that|it|which|answer) )(?:can ?not|can['’]t|could not|couldn['’]t) be (?:determined|answered|said|established|inferred|given|known)\b",
-            r"\bno answer can be (?:given|provided|found)|\bnothing can be (?:concluded|said|determined)|\bno (?:conclusion|answer) (?:is|can be)\b",
-            r"\b(?:does|do|did)(?: not|n['’]t) (?:contain|provide|include|give|have|offer|hold|mention|allow)\b[^.!?]{0,30}\b(?:enough|sufficient|information|answer|evidence to)\b",
-            r"\b(?:insufficient|not enough|no sufficient) (?:evidence|information|context|data|details)\b",
-            r"\b(?:passages?|context|graph|documents?|sources?|nodes|text|evidence|material)\b[^.!?]{0,30}\b(?:is|are) silent\b",
-            r"\b(?:this|that|it|the question|which) (?:falls|lies|is) (?:outside|beyond) (?:of )?(?:what|my|the scope|our)\b",
-            r"\bnot possible for me\b|\bimpossible for me\b|\bhave no access to\b|\bunable to (?:answer|help|assist|determine|comment|provide|respond)\b(?! the inquiry)",
-            r"^(?:unfortunately|apologies|my apologies|sorry)\s*[,.!:;]",
-            r"\bnone of the (?:evidence|passages|documents|context|nodes|sources)\b[^.!?]{0,60}\b(?:says|say|mentions?|answers?|states?|tells?)\b",
-            r"^(?:unknown|not known|no idea|no information|not (?:stated|specified|mentioned|given|available|provided)(?: in [^.]*)?)\.?$",
-            # de
-            r"\b(?:ich|wir)\b[^.!?]{0,50}\b(?:nicht|keine?n?|leider)\b[^.!?]{0,40}\b(?:beantworten|sagen|wissen|helfen|geben|ermitteln|bestimmen|antworten|auskunft|beurteilen)",
-            r"\b(?:kann|können|darf|dürfen|möchte|weiß|will) (?:ich|wir)\b[^.!?]{0,50}\b(?:nicht|keine?n?|leider)\b|\b(?:ich|wir) (?:weiß|wissen|kann|können|darf|möchte|will|bin|habe|muss)\b[^.!?]{0,40}\b(?:nicht|keine?n?|ablehnen|außerstande|nicht in der lage)\b",
-            r"\btut mir leid\b|\bals (?:ki|sprachmodell|assistent)\b|\b(?:lässt|lassen|läßt) sich\b[^.!?]{0,40}\bnicht (?:ermitteln|beantworten|sagen|bestimmen|feststellen|entnehmen|klären)",
-            r"\b(?:keine|nicht genügend|nicht genug|unzureichende) (?:ausreichenden? )?(?:informationen|angaben|belege|hinweise|antwort möglich)\b|\breich(?:t|en)\b[^.!?]{0,40}\bnicht aus\b|\bmeine (?:richtlinien|vorgaben)\b|^leider\b[^.!?]{0,60}\b(?:nicht|keine?)\b",
-            # fr
-            r"\bje (?:ne|n['’]|suis (?:désolé|navré|dans l['’]incapacité)|préfère ne pas|refuse|regrette|dois décliner)|\b(?:désolée?|navrée?)\b[^.!?]{0,20}[,.]|\bne (?:me )?permet(?:tent)? pas de (?:répondre|le dire|déterminer|conclure)",
-            r"\b(?:il|cela) (?:ne )?m['’]est (?:pas possible|impossible)|\bimpossible de (?:répondre|déterminer|le dire|le savoir)|\ben tant que? (?:modèle|ia|assistant)|\bmalheureusement\b[^.!?]{0,80}\b(?:pas|aucune?)\b|\b(?:pas|aucune) (?:assez d['’]|suffisamment d['’])?informations?\b",
-            # es
-            r"\blo siento\b|\b(?:lamento|lamentablemente|desgraciadamente|por desgracia)\b|\bno (?:puedo|podemos|sé|sabría|tengo|dispongo|estoy)\b|\bno (?:me )?es posible\b|\b(?:me )?es imposible\b|\bcomo (?:modelo|ia|asistente)\b",
-            r"\bno (?:contiene|ofrece|incluye|permite|hay|basta)\b[^.!?]{0,40}\b(?:información|responder|suficiente|datos|determinar|saber)|\bprefiero no\b|\bno se puede (?:determinar|responder|saber|decir)|\bmis (?:normas|directrices|instrucciones)\b",
-        ]
-    ),
-    re.I,
-)
+# --- refusal grammar ---------------------------------------------------------------------------
+# Productions by language. A word in <> is a nonterminal of the same language, ~n a gap of up to n characters
+# within the sentence, ^ the beginning of a sentence or clause, $ its end; anything else is a regular expression of one word or more.
+GRAMMAR: dict[str, dict[str, list[str]]] = {
+    "en": {
+        "refusal": [
+            "<speaker><be>? <truly>?<sorry>", "<speaker> <cannot> ~60 <answering>", "<speaker> have no <matter>", "<speaking as> <machine>", "my <rules> ~30 <forbid>",
+            "<opening><not able> be <answered>", "no answer can be (?:given|provided|found)", "nothing can be (?:concluded|said|determined)", "no conclusion (?:is|can be)", "no answer (?:is|can be)",
+            "(?:does|do|did)(?: not|n['’]t) <hold> ~30 <basis>", "<too little> <matter of proof>", "<source> ~30 (?:is|are) silent", "<topic> (?:falls|lies|is) (?:outside|beyond)(?: of)? <remit>",
+            "(?:not possible|impossible) for me", "have no access to", "<first>unable to <help>", "^(?:unfortunately|apologies|my apologies|sorry)\\s*[,.!:;]",
+            "none of the <source> ~60 (?:says?|mentions?|answers?|states?|tells?)", "^(?:unknown|not known|no idea|no information|not <given>(?: in [^.]*)?)\\.?$",
+        ],
+        "speaker": ["i", "we"], "be": ["['’]m", " am", "['’]re", " are"], "truly": ["(?:really|very|so|truly) "], "sorry": ["sorry", "afraid"],
+        "cannot": ["can(?:no|['’])?t", "can not", "could(?: not|n['’]t)", "will not", "won['’]t", "would not", "am <unfit>", "are (?:unable|not able)", "was unable", "do not", "don['’]t", "must", "have to", "need to", "would rather not", "would only be", "would be", "prefer not", "decline", "refuse", "have no <matter>"],
+        "unfit": ["unable", "not able", "not allowed", "not permitted"], "matter": ["access", "information", "way", "knowledge", "data"],
+        "answering": ["(?:answer|help|determine|say|know|declin|guess|tell|provid|discuss|assist|giv|find|identif|access|confirm|infer|information|comment|refus|respond)\\w*", "have enough"],
+        "speaking as": ["as an?", "being an?"], "machine": ["ai", "(?:large )?language model", "assistant", "artificial"],
+        "rules": ["guidelines", "instructions", "policy", "policies", "rules", "training", "programming"], "forbid": ["prevent\\w*", "forbid\\w*", "prohibit\\w*", "(?:do not|don['’]t) (?:allow|permit)"],
+        "opening": ["^", "(?:this|that|it|which|answer) "], "not able": ["can ?not", "can['’]t", "could not", "couldn['’]t"], "answered": ["determined", "answered", "said", "established", "inferred", "given", "known"],
+        "hold": ["contain", "provide", "include", "give", "have", "offer", "hold", "mention", "allow"], "basis": ["enough", "sufficient", "information", "answer", "evidence to"],
+        "too little": ["insufficient", "not enough", "no sufficient"], "matter of proof": ["evidence", "information", "context", "data", "details"],
+        "source": ["passages?", "context", "graph", "documents?", "sources?", "nodes", "text", "evidence", "material"], "topic": ["this", "that", "it", "the question", "which"], "remit": ["what", "my", "the scope", "our"],
+        "first": ["^", "(?:i|we) (?:am|are|was|were|remain) ", "(?:i['’]m|we['’]re) ", "currently ", "regret "], "help": ["answer", "help", "assist", "determine", "comment", "provide", "respond"], "given": ["stated", "specified", "mentioned", "given", "available", "provided"],
+    },
+    "de": {
+        "refusal": [
+            "<speaker> ~50 <negation> ~40 <answering>", "<can> <speaker> ~50 <negation>", "<speaker> <am or can> ~40 <denial>", "tut mir leid", "als <machine>", "(?:lässt|lassen|läßt) sich ~40 nicht <found>",
+            "<too little> (?:ausreichenden? )?(?:informationen|angaben|belege|hinweise|antwort möglich)", "reich(?:t|en) ~40 nicht aus", "meine (?:richtlinien|vorgaben)", "^leider ~60 (?:nicht|keine?)",
+        ],
+        "speaker": ["ich", "wir"], "negation": ["nicht", "keine?n?", "leider"], "answering": ["(?:beantworten|sagen|wissen|helfen|geben|ermitteln|bestimmen|antworten|auskunft|beurteilen)\\w*"],
+        "can": ["kann", "können", "darf", "dürfen", "möchte", "weiß", "will"], "am or can": ["weiß", "wissen", "kann", "können", "darf", "möchte", "will", "bin", "habe", "muss"],
+        "denial": ["nicht", "keine?n?", "ablehnen", "außerstande", "nicht in der lage"], "machine": ["ki", "sprachmodell", "assistent"], "found": ["(?:ermitteln|beantworten|sagen|bestimmen|feststellen|entnehmen|klären)\\w*"],
+        "too little": ["keine", "nicht genügend", "nicht genug", "unzureichende"],
+    },
+    "fr": {
+        "refusal": [
+            "je (?:ne|suis (?:désolé|navré|dans l['’]incapacité)|préfère ne pas|refuse|regrette|dois décliner)\\w*", "je n['’]\\w+", "(?:désolée?|navrée?) ~20 [,.]", "ne (?:me )?permet(?:tent)? pas de <answering>",
+            "(?:il|cela) (?:ne )?m['’]est (?:pas possible|impossible)", "impossible de (?:répondre|déterminer|le dire|le savoir)", "en tant? que? <machine>", "malheureusement ~80 <none>", "<none> (?:assez d['’]|suffisamment d['’])?informations?",
+        ],
+        "answering": ["répondre", "le dire", "déterminer", "conclure"], "machine": ["modèle", "ia", "assistant"], "none": ["pas", "aucune?"],
+    },
+    "es": {
+        "refusal": [
+            "lo siento", "(?:lamento|lamentablemente|desgraciadamente|por desgracia)", "no <can>", "no (?:me )?es posible", "(?:me )?es imposible", "como <machine>", "no <hold> ~40 <basis>",
+            "prefiero no", "no se puede <answering>", "mis (?:normas|directrices|instrucciones)",
+        ],
+        "can": ["puedo", "podemos", "sé", "sabría", "tengo", "dispongo", "estoy"], "machine": ["modelo", "ia", "asistente"], "hold": ["contiene", "ofrece", "incluye", "permite", "hay", "basta"],
+        "basis": ["(?:información|responder|suficiente|datos|determinar|saber)\\w*"], "answering": ["determinar", "responder", "saber", "decir"],
+    },
+}
+
+
+def derive(grammar: dict[str, list[str]], symbol: str, open_: tuple[str, ...] = ()) -> str:
+    """Regular expression of all that ``symbol`` derives; the grammar has no recursion, so the language is regular."""
+    if symbol in open_:
+        raise ValueError(f"{symbol} derives itself")
+    out = []
+    for production in grammar[symbol]:
+        x = re.sub(r"<([^<>]+)>", lambda m: derive(grammar, m.group(1), (*open_, symbol)), production)
+        x = re.sub(r" ?~(\d+) ", r"\\b[^.!?]{0,\1}?(?<!\\w)", x)
+        if x.startswith("^"):
+            x = r"(?:\A|(?<=[.!?:;,]\s))" + x[1:]
+        out.append(x[:-1] + r"\Z" if x.endswith("$") else x)
+    return f"(?:{'|'.join(out)})"
+
+
+_REFUSALS = [re.compile(rf"(?<!\w){derive(g, 'refusal')}(?!\w)", re.I) for g in GRAMMAR.values()]
+
+
+def refuses(content: str) -> bool:
+    """Whether a sentence of the refusal grammar stands in the text."""
+    s = " ".join(content.split())
+    return any(r.search(s) for r in _REFUSALS)
+
 
 # How a question asks for an answer in another language.
 _CALLS = [
@@ -83,12 +121,21 @@ _CALLS = [
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）"}
 
 
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>")
+_VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}  # fixed values: tags that hold nothing
+_MARK = re.compile(r"(?m)^[^\S\n]*(?:[-*•]|\d{1,3}[.)])(?:[^\S\n]+|$)")
+
+
 def open_structure(s: str) -> str | None:
-    """Pushdown parser over fences, brackets, quotations, emphasis and tags: what the text leaves open, or None.
+    """Pushdown parser over fences, brackets, quotations, emphasis, tags and list items: what the text leaves open, or None.
 
-    A closing mark without its opener is ignored; an apostrophe opens nothing.
+    A closing mark without its opener is ignored; an apostrophe opens nothing; a void
+    tag and a self-closing one hold nothing; the mark of a list item closes the emphasis
+    and quotation that the item before left open, and leaves the item open if nothing
+    follows it.
     """
     stack: list[str] = []
+    items = {m.start(): m.end() for m in _MARK.finditer(s)}
     i, n = 0, len(s)
     while i < n:
         if s.startswith("```", i):
@@ -101,6 +148,12 @@ def open_structure(s: str) -> str | None:
         if stack and stack[-1] == "```":
             i += 1
             continue
+        if i in items:
+            if "item" in stack:
+                del stack[stack.index("item") :]
+            stack.append("item")
+            i = items[i]
+            continue
         if s.startswith("**", i):
             if "**" in stack:
                 del stack[stack.index("**") :]
@@ -109,6 +162,19 @@ def open_structure(s: str) -> str | None:
             i += 2
             continue
         ch = s[i]
+        if ch == "<":
+            m = _TAG.match(s, i)
+            if m:
+                tag = f"</{m.group(2).lower()}>"
+                if m.group(1):
+                    if tag in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+                elif not m.group(3) and m.group(2).lower() not in _VOID:
+                    stack.append(tag)
+                i = m.end()
+                continue
+            if re.match(r"</?[A-Za-z][^<>]*$", s[i:]):
+                return "<"  # cut inside a tag
         if ch == "\\":
             i += 2
             continue
@@ -124,9 +190,19 @@ def open_structure(s: str) -> str | None:
         elif ch in ")]}”»」』）" and ch in stack:
             del stack[len(stack) - 1 - stack[::-1].index(ch) :]
         i += 1
+    if stack and stack[-1] == "item":  # the last item is open if it is empty
+        stack.pop() if not s.rstrip() == s[: max(items.values())].rstrip() else None
     return stack[-1] if stack else None
 
 
+def list_items(s: str) -> list[str]:
+    """The items of a text that is a list and nothing else; none otherwise."""
+    at = [(m.start(), m.end()) for m in _MARK.finditer(s)]
+    if len(at) < 2 or s[: at[0][0]].strip():
+        return []
+    return [s[e : at[k + 1][0] if k + 1 < len(at) else len(s)].strip() for k, (_, e) in enumerate(at)]
+
+
 def unwrap(a: str) -> tuple[str, bool]:
     """(content, broken): the answer without wrappers; broken if a wrapper was never closed."""
     s, broken = _INVISIBLE.sub("", a).strip(), False
@@ -167,24 +243,42 @@ def words(s: str) -> list[str]:
 
 
 def tiles(a: list[str], q: list[str], least: int = 2) -> list[bool]:
-    """Greedy string tiling: which words of ``a`` lie in maximal tiles shared with ``q``; a word of ``q`` may serve each repetition of it."""
-    covered = [False] * len(a)
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(q):
-        at.setdefault(w, []).append(j)
-    i = 0
-    while i < len(a):
-        best = 0
-        for j in at.get(a[i], ()):
-            k = 0
-            while i + k < len(a) and j + k < len(q) and a[i + k] == q[j + k]:
-                k += 1
-            best = max(best, k)
-        if best >= min(least, len(q)):
-            covered[i : i + best] = [True] * best
-            i += best
-        else:
-            i += 1
+    """Greedy string tiling: which words of ``a`` lie in tiles shared with ``q``.
+
+    In rounds of decreasing length the longest matches of unmarked words are found and
+    both their sides marked, until none of ``least`` words is left. Where ``a`` repeats
+    ``q``, what is left is tiled against the whole of ``q`` again.
+    """
+    covered, least = [False] * len(a), min(least, len(q))
+    while least:
+        used, gained = [False] * len(q), False
+        while True:
+            longest, found = least, []
+            at: dict[str, list[int]] = {}
+            for j, w in enumerate(q):
+                if not used[j]:
+                    at.setdefault(w, []).append(j)
+            for i in range(len(a)):
+                if covered[i]:
+                    continue
+                for j in at.get(a[i], ()):
+                    if i and j and not covered[i - 1] and not used[j - 1] and a[i - 1] == q[j - 1]:
+                        continue  # part of a match that began before
+                    k = 0
+                    while i + k < len(a) and j + k < len(q) and a[i + k] == q[j + k] and not covered[i + k] and not used[j + k]:
+                        k += 1
+                    if k > longest:
+                        longest, found = k, [(i, j)]
+                    elif k == longest:
+                        found.append((i, j))
+            if not found:
+                break
+            for i, j in found:
+                if not any(covered[i : i + longest]) and not any(used[j : j + longest]):
+                    covered[i : i + longest] = used[j : j + longest] = [True] * longest
+                    gained = True
+        if not gained:
+            break
     return covered
 
 
@@ -249,7 +343,14 @@ def unfinished(content: str, query: str = "") -> bool:
     w = _WORD.findall(core)
     if len(w) < 2:
         return False
-    if core[-1] in ",;:-–—(" or "\n" in core.strip() and len(w) > 8:
+    if core[-1] in ",;:-–—(":
+        return True
+    items = list_items(core)
+    if items:  # the last item is judged by its siblings: those without a final mark are names
+        if any(_FINAL.search(x.rstrip(_CLOSERS)) for x in items[:-1]):
+            return True
+        return unfinished(items[-1], query)
+    if "\n" in core.strip() and len(w) > 8:
         return True
     small = [x for x in w if x.islower() and x in langid._WEIGHT]
     name_like = sum(x[0].isupper() or x[0].isdigit() for x in w)
@@ -261,7 +362,7 @@ def unfinished(content: str, query: str = "") -> bool:
     said = {(a, b) for a, b in zip(q, q[1:]) if a.islower() and b.islower()}
     if len(w) > 3 and any((a, b) in said for a, b in zip(w, w[1:])):
         return True
-    if len(w) > 3 and any(a not in ("fever", "chronic") for a, _ in re.findall(r"(?<!\w)([^\W\d_A-Z]+) (?=([^\W\d_A-Z]+)(?!\w))", core)):
+    if len(w) > 3 and any(re.findall(r"(?<!\w)[^\W\d_A-Z]+ (?=[^\W\d_A-Z]+(?!\w))", core)):
         return True  # two words in small letters in a row: more than a name
     if re.search(r"[.!?]\s", core) and not re.fullmatch(r"(?:(?:[A-ZÀ-Ý]|St|Dr)\.\s*)+\S+(?:\s\S+)*", core):
         return True
@@ -283,7 +384,7 @@ def defect(query: str | None, answer: str | None, lang: str | None) -> str | Non
         return "empty" if not broken or not letters else "truncated"
     if is_echo(content, query):
         return "echo"
-    if _REFUSAL.search(" ".join(_LABEL.sub("", content).split())):
+    if refuses(_LABEL.sub("", content)):
         return "refusal"
     if wrong_language(content, query, lang):
         return "wrong_language"
