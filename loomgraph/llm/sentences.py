@@ -2,8 +2,8 @@
 
 Corpus statistics are learned unsupervised per language in one distributed pass:
 word types with and without a final period, and what follows a period. Log-likelihood
-ratios over these counts give abbreviations, sentence starters and number
-collocations; each period is then classified with them. Other scripts use their own
+ratios over these counts give abbreviations, sentence starters, and collocations of an
+abbreviation with a word or a number; each period is then classified with them. Other scripts use their own
 marks, and scripts without marks their spaces.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm import langid
 from loomgraph.plans.runtime import ship, spread
 
-#: A pair count below this is no evidence.
-MIN_COUNT = 3
+#: A count below this is no evidence, and a list that reaches the driver holds only entries with at least this share of
+#: what it is drawn from: it has at most 1 / SHARE entries a language, whatever the number of texts.
+MIN_COUNT, SHARE = 3, 2e-5
+#: Distinct entries that a counting task holds before it hands them on.
+HELD = 400_000
 #: Thresholds of the log-likelihood ratios (Dunning): starters, collocations, abbreviations.
 STARTER_LLR, COLLOCATION_LLR, ABBREVIATION_SCORE = 10.0, 8.0, 0.3
 #: Least share of a word's occurrences that follow a certain sentence end, for a starter.
@@ -55,18 +58,12 @@ def count_text(text: str, tok: Counter, pairs: Counter) -> None:
     """Add one text's tokens and period contexts."""
     tok.update(_TOKEN.findall(text))
     for x in _NEXT.finditer(text):
-        a, b = _left(text, max(0, x.start() - 40), x.start()), x.group(1)
+        a, b = _left(text, 0, x.start()), x.group(1)
         if not a:
             continue
         if b[0].isdigit():
             b = "##"
-        if _NUMBER.match(a):
-            a = "##"
-        elif len(a) > 1 and "." not in a and len(a) > 7:
-            a = "*"
-        else:
-            a = a.lower()
-        pairs[a, b] += 1
+        pairs["##" if _NUMBER.match(a) else a.lower(), b] += 1
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
@@ -81,6 +78,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = language(text, lang)
                 if k not in _UNSPACED:
                     count_text(text, tok.setdefault(k, Counter()), pairs.setdefault(k, Counter()))
+        if sum(map(len, tok.values())) + sum(map(len, pairs.values())) > HELD:
+            yield from _rows(tok, pairs)
+            tok, pairs = {}, {}
+    yield from _rows(tok, pairs)
+
+
+def _rows(tok: dict[str, Counter], pairs: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     for k in tok:
         t, p = tok[k], pairs[k]
         types: Counter = Counter()
@@ -105,10 +109,25 @@ def llr(k11, n1, k, n):
 
 
 class Model(dict):
-    """Per language: ``starters`` (set), ``ends`` (type -> probability that its period ends a sentence), ``ordinal`` (words bound to a number before them), ``numbered`` (types bound to a number behind them)."""
+    """Per language: ``starters`` (set), ``ends`` (type -> probability that its period ends a sentence), ``ordinal`` (words bound to a number before them), ``numbered`` (types bound to a number behind them), ``pairs`` (type and the word bound to it)."""
 
     def of(self, lang: str) -> dict:
-        return self.get(lang) or {"starters": frozenset(), "ends": {}, "ordinal": frozenset(), "numbered": frozenset()}
+        return self.get(lang) or {"starters": frozenset(), "ends": {}, "ordinal": frozenset(), "numbered": frozenset(), "pairs": frozenset()}
+
+
+def enough(n, total):
+    """Whether a count is evidence and has the least share of its total."""
+    return (n >= MIN_COUNT) & (n >= total * SHARE)
+
+
+def _collocations(pairs: DataFrame, flagged: DataFrame, starters: DataFrame) -> DataFrame:
+    """(lang, a, b): abbreviation and next word that go together more often than chance."""
+    d = F.col
+    total = pairs.groupBy("lang").agg(F.sum("n").alias("tot"))
+    left, right = pairs.groupBy("lang", "a").agg(F.sum("n").alias("m")), pairs.groupBy("lang", "b").agg(F.sum("n").alias("k"))
+    c = pairs.where("b <> '##' and a <> '##'").join(flagged.select("lang", "a"), ["lang", "a"]).join(F.broadcast(total), "lang").where(enough(d("n"), d("tot")))
+    c = c.join(starters, ["lang", "b"], "left_anti").join(left, ["lang", "a"]).join(right, ["lang", "b"])
+    return c.where((d("n") / d("m") > d("k") / d("tot")) & (llr(d("n"), d("m"), d("k"), d("tot")) >= COLLOCATION_LLR)).select("lang", "a", "b")
 
 
 def _numbers(c: DataFrame, pairs: DataFrame, starters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,15 +138,15 @@ def _numbers(c: DataFrame, pairs: DataFrame, starters: DataFrame) -> tuple[DataF
     by_type = pairs.groupBy("lang", "a").agg(digit.alias("k"), F.sum("n").alias("m"))
     share = by_type.where("a <> '##'").groupBy("lang").agg(F.sum("k").alias("kt"), F.sum("m").alias("mt"))
     numbered = (
-        by_type.where((d("a") != "*") & (d("k") >= MIN_COUNT) & (d("k") >= 0.8 * d("m"))).join(F.broadcast(share), "lang")
-        .where(llr(d("k"), d("m"), d("kt"), d("mt")) >= COLLOCATION_LLR).select("lang", "a")
+        by_type.where((d("a") != "##") & (d("k") >= 0.8 * d("m"))).join(F.broadcast(share), "lang")
+        .where(enough(d("k"), d("kt")) & (llr(d("k"), d("m"), d("kt"), d("mt")) >= COLLOCATION_LLR)).select("lang", "a")
     )
     nums = c.where("kind = 'pair' and a = '##'").select("lang", "b", "n")
     n_num = nums.groupBy("lang").agg(F.sum("n").alias("nn"))
     after = c.where("kind = 'pair'").groupBy("lang", "b").agg(F.sum("n").alias("k"))
     n_pair = c.where("kind = 'pair'").groupBy("lang").agg(F.sum("n").alias("tot"))
     ordinal = (
-        nums.where((d("n") >= MIN_COUNT) & (d("b") != "##")).join(after, ["lang", "b"]).join(F.broadcast(n_num), "lang").join(F.broadcast(n_pair), "lang")
+        nums.where(d("b") != "##").join(F.broadcast(n_num), "lang").where(enough(d("n"), d("nn"))).join(after, ["lang", "b"]).join(F.broadcast(n_pair), "lang")
         .where((d("n") / d("nn") > d("k") / d("tot")) & (d("n") >= 0.7 * d("k")) & (llr(d("n"), d("nn"), d("k"), d("tot")) >= COLLOCATION_LLR))
         .join(starters, ["lang", "b"], "left_anti").select("lang", "b")
     )
@@ -135,7 +154,7 @@ def _numbers(c: DataFrame, pairs: DataFrame, starters: DataFrame) -> tuple[DataF
 
 
 def learn(texts: DataFrame, ends_only: bool = False) -> Model:
-    """Learn from all rows of ``texts`` (text, lang); only lists that pass the tests reach the driver.
+    """Learn from all rows of ``texts`` (text, lang); only lists that pass the tests and have a least share reach the driver.
 
     ``ends_only`` leaves out what only the classification of numbers needs.
     """
@@ -147,7 +166,7 @@ def learn(texts: DataFrame, ends_only: bool = False) -> Model:
     types = (
         c.where("kind in ('t','p')").groupBy("lang", F.lower("a").alias("a"))
         .agg(F.sum(F.when(d("kind") == "p", d("n")).otherwise(0.0)).alias("cp"), F.sum(F.when(d("kind") == "t", d("n")).otherwise(0.0)).alias("ct"), F.sum(F.when((d("kind") == "p") & (d("a") == F.lower("a")), d("n")).otherwise(0.0)).alias("cl"))
-        .where(d("cp") >= MIN_COUNT).join(F.broadcast(n_all), "lang")
+        .where(d("cp") >= MIN_COUNT).join(F.broadcast(n_all), "lang").where(enough(d("cp"), d("NP")))
     )
     p0, k, n = F.least(F.greatest(d("NP") / d("tot"), F.lit(1e-9)), F.lit(1 - 1e-9)), d("cp"), d("cp") + d("ct")
     lam = 2 * (k * F.log(F.lit(0.99) / p0) + d("ct") * F.log(F.lit(0.01) / (1 - p0)))
@@ -156,14 +175,14 @@ def learn(texts: DataFrame, ends_only: bool = False) -> Model:
     # in a script without case, a word of four letters or more is none: it may end every sentence it is in
     uncased = (F.lower("a") == F.upper("a")) & (F.length("a") >= 4)
     flagged = types.where((score >= ABBREVIATION_SCORE) & (n > 0) & ~uncased).select("lang", "a", (d("cl") >= 0.9 * d("cp")).alias("small")).persist()
-    # a period behind any other type is a certain end ('*' stands for types too long for an abbreviation)
+    # a period behind any other type is a certain end
     pairs = c.where("kind = 'pair'").select("lang", "a", "b", "n")
-    sure = pairs.where("a <> '##' and (a = '*' or length(a) > 1)").join(flagged.select("lang", "a"), ["lang", "a"], "left_anti")
+    sure = pairs.where("a <> '##' and length(a) > 1").join(flagged.select("lang", "a"), ["lang", "a"], "left_anti")
     n_sure = sure.groupBy("lang").agg(F.sum("n").alias("n1"))
     total = c.where("kind in ('t','p')").groupBy("lang", d("a").alias("b")).agg(F.sum("n").alias("k"))
     starters = (
-        sure.where("b <> '##'").groupBy("lang", "b").agg(F.sum("n").alias("n")).where(d("n") >= MIN_COUNT)
-        .join(total, ["lang", "b"]).join(F.broadcast(n_all), "lang").join(F.broadcast(n_sure), "lang")
+        sure.where("b <> '##'").groupBy("lang", "b").agg(F.sum("n").alias("n")).join(F.broadcast(n_sure), "lang").where(enough(d("n"), d("n1")))
+        .join(total, ["lang", "b"]).join(F.broadcast(n_all), "lang")
         .where((d("n") / d("k") >= STARTER_SHARE) & (d("n") / d("n1") > d("k") / d("tot")) & (llr(d("n"), d("n1"), d("k"), d("tot")) >= STARTER_LLR))
         .select("lang", "b")
     )
@@ -179,15 +198,18 @@ def learn(texts: DataFrame, ends_only: bool = False) -> Model:
         .agg((hit / F.sum("n")).alias("r"), (F.sum(F.when(d("b").rlike(r"^\p{Lu}"), d("n")).otherwise(0.0)) / F.sum("n")).alias("up"))
         .join(F.broadcast(base), "lang", "left").select("lang", "a", F.when(word, F.lit(1.0)).otherwise(F.least(F.lit(1.0), d("r") / F.greatest(F.coalesce(d("r0"), F.lit(0.5)), F.lit(0.05)))).alias("p"))
     )
-    lists = starters.selectExpr("lang", "'s'", "b", "1.0D").union(ends.selectExpr("lang", "'e'", "a", "p"))
+    lists = starters.selectExpr("lang", "'s' kind", "b a", "'' b", "1.0D p").unionByName(ends.selectExpr("lang", "'e' kind", "a", "'' b", "p"))
     if not ends_only:
         ordinal, numbered = _numbers(c, pairs, starters)
-        lists = lists.union(ordinal.selectExpr("lang", "'o'", "b", "1.0D")).union(numbered.selectExpr("lang", "'n'", "a", "1.0D"))
+        lists = lists.unionByName(ordinal.selectExpr("lang", "'o' kind", "b a", "'' b", "1.0D p")).unionByName(numbered.selectExpr("lang", "'n' kind", "a", "'' b", "1.0D p"))
+        lists = lists.unionByName(_collocations(pairs, flagged, starters).selectExpr("lang", "'c' kind", "a", "b", "1.0D p"))
     out = Model()
-    for lang, kind, a, p in lists.collect():
-        m = out.setdefault(lang, {"starters": set(), "ends": {}, "ordinal": set(), "numbered": set()})
+    for lang, kind, a, b, p in lists.collect():
+        m = out.setdefault(lang, {"starters": set(), "ends": {}, "ordinal": set(), "numbered": set(), "pairs": set()})
         if kind == "e":
             m["ends"][a] = p
+        elif kind == "c":
+            m["pairs"].add((a, b))
         else:
             m[{"s": "starters", "o": "ordinal", "n": "numbered"}[kind]].add(a)
     c.unpersist()
@@ -332,6 +354,8 @@ def _breaks(s, lo, hi, start, pos, ch, e, k, n, opener, lang, m) -> bool:
         return True
     if nw in m["starters"]:
         return p >= 0.1
+    if (word.lower(), nw) in m["pairs"]:
+        return False
     return p >= 0.4 and not nxt.islower()
 
 
