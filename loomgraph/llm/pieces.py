@@ -3,7 +3,9 @@
 Recursive bisection: a span over the limit is cut at the strongest boundary near its
 middle (blank line, sentence end, whitespace, then anywhere between two code points),
 and the halves are cut again until each fits the limit minus the overlap; the overlap
-is attached afterwards, moved inward to a natural boundary.
+is attached afterwards, moved inward to a natural boundary. The same bisection without
+overlap, free to cut anywhere in a span, tells the coarsest boundary that suffices: it
+is the weakest one that it had to use.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from loomgraph.plans.runtime import ship, spread
 LIMIT, OVERLAP = 2000, 200
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _SPACE = re.compile(r"\s+")
-_SOLID = re.compile(r"\S+")
 LEVELS = ("paragraph", "sentence", "word", "none")
 
 
@@ -41,14 +42,24 @@ class Cuts:
             e += 1
         return e
 
-    def best(self, lo: int, hi: int, reach: int) -> int:
-        """The strongest boundary within ``reach`` of the middle of [lo, hi), else the middle."""
+    def best(self, lo: int, hi: int, reach: int) -> tuple[int, int]:
+        """(offset, level) of the strongest boundary within ``reach`` of the middle of the span, else anywhere in it, else the middle."""
         mid = (lo + hi) // 2
-        for at in self.by:
-            a, b = bisect_right(at, max(lo, mid - reach)), bisect_left(at, min(hi, mid + reach))
-            if a < b:
-                return min(at[a:b], key=lambda x: (abs(x - mid), x))
-        return mid
+        for r in (reach, hi - lo):
+            for k, at in enumerate(self.by):
+                a, b = bisect_right(at, max(lo, mid - r)), bisect_left(at, min(hi, mid + r))
+                if a < b:
+                    m = bisect_left(at, mid, a, b)
+                    return min(at[max(a, m - 1) : min(b, m + 1)], key=lambda x: (abs(x - mid), x)), k
+        return mid, len(self.by)
+
+    def length(self, lo: int, hi: int) -> int:
+        """Length of a span without the blanks at its ends."""
+        while lo < hi and self.text[lo].isspace():
+            lo += 1
+        while hi > lo and self.text[hi - 1].isspace():
+            hi -= 1
+        return hi - lo
 
     def overlap(self, lo: int, cut: int, width: int) -> int:
         """Start of the repeated tail before ``cut``: ``width`` long at most, at the strongest boundary in its first half, else the first one."""
@@ -62,39 +73,33 @@ class Cuts:
         return far
 
 
-def cut(text: str, ends: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """Pieces (start, own_start, end): text[start:own_start] repeats the piece before."""
-    if len(text) <= limit:
-        return [(0, 0, len(text))] if text else []
-    c, room, todo, own = Cuts(text, ends), limit - overlap, [(0, len(text))], []
+def bisect_spans(c: Cuts, fits, reach: float) -> tuple[list[tuple[int, int]], int]:
+    """(spans, weakest level used): spans that do not fit are cut at the strongest boundary within ``reach`` (a share of the span) of the middle, and their halves again."""
+    todo, own, weakest = [(0, len(c.text))], [], 0
     while todo:
         lo, hi = todo.pop()
-        if hi - lo <= (limit if lo == 0 else room):
+        if fits(lo, hi):
             own.append((lo, hi))
         else:
-            x = c.best(lo, hi, (hi - lo) // 4)
+            x, k = c.best(lo, hi, int((hi - lo) * reach))
+            weakest = max(weakest, k)
             todo += [(x, hi), (lo, x)]
-    out = []
-    for i, (lo, hi) in enumerate(own):
-        out.append((c.overlap(own[i - 1][0], lo, overlap) if i else lo, lo, hi))
-    return out
-
-
-def level(text: str, ends: list[int] | None, limit: int = LIMIT) -> str:
-    """The coarsest boundary that suffices; ``ends`` None: ask again with sentence ends."""
-    if all(len(p.strip()) <= limit for p in _BLANK.split(text)):
-        return "paragraph"
-    lo = 0
-    for e in ends:
-        a = lo
-        while a < e and text[a].isspace():
-            a += 1
-        if e - a > limit:
-            break
-        lo = e
-    else:
-        return "sentence"
-    return "word" if all(x.end() - x.start() <= limit for x in _SOLID.finditer(text)) else "none"
+    return own, weakest
+
+
+def cut(text: str, ends: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """Pieces (start, own_start, end): text[start:own_start] repeats the piece before."""
+    if len(text) <= limit:
+        return [(0, 0, len(text))] if text else []
+    c = Cuts(text, ends)
+    own, _ = bisect_spans(c, lambda lo, hi: hi - lo <= (limit if lo == 0 else limit - overlap), 0.25)
+    return [(c.overlap(own[i - 1][0], lo, overlap) if i else lo, lo, hi) for i, (lo, hi) in enumerate(own)]
+
+
+def level(text: str, ends: list[int], limit: int = LIMIT) -> str:
+    """The coarsest boundary that suffices: the weakest that the bisection without overlap has to use."""
+    c = Cuts(text, ends)
+    return LEVELS[bisect_spans(c, lambda lo, hi: c.length(lo, hi) <= limit, 1.0)[1]]
 
 
 def _long(df: DataFrame, limit: int) -> DataFrame:

@@ -11,8 +11,13 @@ from loomgraph.llm import foldcopies, mixing, packing, pairs, pieces, scans, sen
 from loomgraph.sources.tables import table
 
 
+def _unscanned(chunks: DataFrame) -> DataFrame:
+    """The chunks without page noise: the model of sentence ends is learned from them alone."""
+    return chunks.where("origin is null or origin <> 'scan'")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunked_output").where("origin is null or origin <> 'scan'")
+    chunks = _unscanned(table(spark, sf_dir, "chunked_output"))
     return sentences.split_sentences(chunks, sentences.learn(chunks))
 
 
@@ -34,12 +39,12 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunked_output")
-    return pieces.cut_levels(chunks, sentences.learn(chunks))
+    return pieces.cut_levels(chunks, sentences.learn(_unscanned(chunks)))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunked_output")
-    return pieces.cut_pieces(chunks, sentences.learn(chunks))
+    return pieces.cut_pieces(chunks, sentences.learn(_unscanned(chunks)))
 
 
 def _p6(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -139,6 +139,41 @@ def test_pairs_rows(spark):
     assert pairs.broken_pairs(df.limit(0)).count() == 0
 
 
+def test_tiling_marks_and_repeats():
+    assert pairs.tiles("what is it what is it".split(), "what is it".split()) == [True] * 6
+    # the longest tile comes first; its words cannot serve a shorter one
+    assert pairs.tiles("a b c a b x".split(), "a b c".split()) == [True, True, True, True, True, False]
+    assert pairs.tiles("c b a".split(), "a b c".split()) == [False] * 3
+    assert pairs.tiles([], ["a"]) == [] and pairs.tiles(["a"], []) == [False] and pairs.tiles(["a"], ["a"]) == [True]
+
+
+def test_parser_of_tags_and_lists():
+    left_open = {"<b>bold": "</b>", "<b>x</b>": None, "a < b": None, "x <br> y": None, "<i/>": None, "see <a href='": "<", "- one\n- ": "item", "- one\n- two": None, "1. “a\n2. b": None, "<ul><li>x</li>": "</ul>"}
+    assert {x: pairs.open_structure(x) for x in left_open} == left_open
+    assert pairs.list_items("- a\n- b c") == ["a", "b c"] and pairs.list_items("a - b") == [] and pairs.list_items("Text:\n- a\n- b") == []
+    assert not pairs.unfinished("- Ann Bee\n- Besi Nara") and pairs.unfinished("- It is good.\n- It is") and pairs.unfinished("- alpha\n- beta of the")
+
+
+def test_refusal_grammar():
+    assert pairs.refuses("I was unable to say.") and pairs.refuses("It is late. Unable to answer.") and not pairs.refuses("Ann was unable to answer the inquiry.")
+    with pytest.raises(ValueError):
+        pairs.derive({"a": ["x <b>"], "b": ["<a>"]}, "a")
+
+
+def test_collocations_keep_a_period_inside():
+    m = {"starters": frozenset(), "ends": {"univ": 0.9}, "ordinal": frozenset(), "numbered": frozenset(), "pairs": {("univ", "Press")}}
+    model = sentences.Model(en=m)
+    assert sentences.boundaries("At the Univ. Press it is. So.", "en", model) == [25, 29]
+    assert sentences.boundaries("At the Univ. Staff left. So.", "en", model) == [12, 24, 28]
+
+
+def test_cut_level_comes_from_the_bisection(monkeypatch):
+    t = "a" * 15 + " " + "b" * 15 + ".\n\n" + "c" * 12
+    assert pieces.level(t, [32, 46], 40) == "paragraph" and pieces.level("x y. " * 10, list(range(4, 50, 5)), 20) == "sentence" and pieces.level(t, [32, 46], 20) == "word" and pieces.level(t, [32, 46], 14) == "none"
+    monkeypatch.setattr(pieces.Cuts, "best", lambda self, lo, hi, reach: ((lo + hi) // 2, 3))
+    assert pieces.level(t, [32, 46], 40) == "none"
+
+
 def test_tiling():
     assert pairs.tiles("a b c x".split(), "a b c".split()) == [True, True, True, False]
     assert pairs.open_structure("a (b") == ")" and pairs.open_structure("a “b” (c)") is None and pairs.open_structure("```\nx") == "```"
