@@ -14,15 +14,24 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFra
     ``sizes`` has ``keys`` and ``n``, the rows of ``left`` per key. A key with more
     than 1/``hot`` of all rows is hot; there can be at most ``hot`` of them, which
     is the proven bound of what is broadcast. All other keys are joined by shuffle.
-    ``how`` is inner or left.
+    Rows with a NULL key match nothing and are not shuffled. ``how`` is inner or left.
     """
+    missing = F.lit(False)
+    for k in keys:
+        missing |= F.col(k).isNull()
+    sizes, whole = sizes.where(~missing), left
+    left = left.where(~missing)
+
+    def rest(joined: DataFrame) -> DataFrame:
+        return joined if how == "inner" else joined.unionByName(whole.where(missing), allowMissingColumns=True)
+
     total = sizes.agg(F.sum("n")).first()[0] or 0
     keys_hot = [tuple(r) for r in sizes.where(F.col("n") > max(total / hot, 10_000)).select(*keys).collect()]
     if not keys_hot:
-        return left.join(right, keys, how)
+        return rest(left.join(right, keys, how))
     spark = left.sparkSession
     hot_df = spark.createDataFrame(keys_hot, sizes.select(*keys).schema)
     small = right.join(F.broadcast(hot_df), keys, "left_semi")
     a = left.join(F.broadcast(hot_df), keys, "left_semi").join(F.broadcast(small), keys, how)
     b = left.join(F.broadcast(hot_df), keys, "left_anti").join(right, keys, how)
-    return a.unionByName(b)
+    return rest(a.unionByName(b))
