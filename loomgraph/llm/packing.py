@@ -1,15 +1,18 @@
 """Problem 8: filling fixed-capacity containers, by bin completion.
 
-Texts are spread at random over groups of bounded size; each group is packed by
-branch and bound: the largest text left opens a container, undominated fillings are
-tried best first, a branch ends when its waste exceeds what a better solution may
-waste, and best-fit decreasing gives the first incumbent.
+Texts are spread at random over groups of bounded size; each group is packed by branch
+and bound. Best-fit decreasing is the first incumbent; where it uses more containers
+than a lower bound proves necessary, the containers with the most room are opened and
+their texts packed again into one container less: the largest text left opens a
+container, its undominated fillings are tried fullest first, and a branch ends when its
+waste exceeds what the goal leaves. Every success is the next incumbent; the set that
+is opened grows up to the whole group.
 """
 
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +24,10 @@ from loomgraph.plans.runtime import ship
 CAPACITY = 2048
 #: Texts of a group (on average) and nodes of its search; then the incumbent stands.
 GROUP, NODES = 3000, 20_000
+#: Items that are tried as the largest, or as the next, of a filling: the enumeration of one node is at most WIDTH * WIDTH fillings.
+WIDTH = 24
+#: Containers opened at first, and the factor by which their number grows after a failure.
+OPENED, GROWTH = 8, 1.6
 
 
 def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
@@ -72,91 +79,138 @@ class _Stock:
         return self.order[at] if at >= 0 else 0
 
 
-def fillings(stock: _Stock, room: int, most: int = 3, tries: int = 40) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: of equal fill, the one with fewer and larger items dominates."""
-    best: dict[int, tuple[int, ...]] = {}
+def dominates(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
+    """Whether the items of ``a`` can be packed into containers of the sizes of ``b``: then ``b`` is never the worse filling."""
+    if sum(a) > sum(b):
+        return False
+
+    def place(k: int, rooms: tuple[int, ...]) -> bool:
+        if k == len(a):
+            return True
+        return any(r >= a[k] and place(k + 1, rooms[:i] + (r - a[k],) + rooms[i + 1 :]) for i, r in enumerate(rooms))
+
+    return place(0, b)
 
-    def note(f: tuple[int, ...]) -> None:
-        s = sum(f)
-        if s not in best or len(f) < len(best[s]):
-            best[s] = f
 
+def fillings(stock: _Stock, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, fullest first.
+
+    Tried are the ``width`` largest items that fit, alone or with each of the ``width``
+    largest that fit beside them, completed greedily: all maximal fillings of one and
+    two items within that width, and of more items those that begin so.
+    """
     one = stock.below(room)
     if not one:
         return [()]
-    note((one,))
-    at = bisect_right(stock.order, room) - 1
-    for a in stock.order[max(0, at - tries) : at + 1][::-1]:
-        f = (a,)
-        left = room - a
-        while left > 0:  # complete greedily, every step with the largest that fits
-            b = stock.below(left, f)
-            if not b:
-                break
-            f += (b,)
-            left -= b
-        note(f)
-        if not left:
-            break
-        b = stock.below(room - a, (a,))
-        for _ in range(6):  # other second items leave other rooms for a third
+    if one == room:
+        return [(one,)]  # dominates all
+    found: set[tuple[int, ...]] = set()
+
+    def finish(f: tuple[int, ...], left: int) -> None:
+        while left > 0:
+            b = stock.below(min(left, f[-1]), f)
             if not b:
                 break
-            c = stock.below(room - a - b, (a, b))
-            note((a, b, c) if c else (a, b))
-            b = stock.below(b - 1, (a,))
-    return [best[s] for s in sorted(best, reverse=True)[:most]]
+            f, left = (*f, b), left - b
+        found.add(f)
 
+    at = bisect_right(stock.order, room) - 1
+    for a in stock.order[max(0, at - width + 1) : at + 1][::-1]:
+        b, tried = stock.below(min(room - a, a), (a,)), 0
+        if not b:
+            found.add((a,))
+        while b and tried < width:
+            finish((a, b), room - a - b)
+            b, tried = stock.below(b - 1, (a,)), tried + 1
+    out: list[tuple[int, ...]] = []
+    for f in sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
+        if not any(dominates(g, f) for g in out[:width]):
+            out.append(f)
+    return out
 
-def complete(sizes: list[int], cap: int, nodes: int = NODES) -> list[list[int]]:
-    """Indices of the items of each container; no more containers than best-fit decreasing needs."""
-    incumbent = best_fit(sizes, cap)
-    total = sum(sizes)
-    bound = -(-total // cap)
-    if len(incumbent) <= bound:
-        return incumbent
-    stock, chosen, budget = _Stock(sizes), [], [nodes]
-    best: list[list[tuple[int, ...]]] = [[]]
-    goal = [len(incumbent) - 1]  # containers that an improvement may use
-
-    def search(waste: int) -> bool:
-        if not stock.order:
-            best[0], goal[0] = list(chosen), len(chosen) - 1
-            return goal[0] < bound
-        if budget[0] <= 0:
-            return True
+
+def least_containers(sizes: list[int], cap: int) -> int:
+    """Lower bound of the number of containers (Martello and Toth's L2), over all thresholds."""
+    order = sorted(sizes)
+    total = [0]
+    for x in order:
+        total.append(total[-1] + x)
+    best, half = -(-total[-1] // cap), bisect_right(order, cap // 2)
+    for k in {0, *order[:half]}:
+        lo, hi = bisect_left(order, k), bisect_right(order, cap - k)
+        middle = max(hi - half, 0)  # over half the capacity: one container each, with room for items of at least k
+        room = middle * cap - (total[half + middle] - total[half])
+        small = total[half] - total[min(lo, half)]
+        best = max(best, len(order) - half + max(0, -(-(small - room) // cap)))
+    return best
+
+
+def search(sizes: list[int], cap: int, goal: int, budget: list[int]) -> list[list[int]] | None:
+    """Containers (of sizes) of a packing into at most ``goal``, or None: none exists, or the budget of nodes is spent."""
+    total, stock = sum(sizes), _Stock(sizes)
+    if least_containers(sizes, cap) > goal:
+        return None
+    done: list[tuple[int, ...]] = []
+    # one frame per container: its fillings that are left to try, and the waste before it
+    frames: list[list] = []
+
+    def open_(waste: int) -> None:
         x = stock.order[-1]
         stock.take(x)
-        for f in fillings(stock, cap - x):
-            w = waste + (cap - x - sum(f) if stock.total > sum(f) else 0)
-            if w > goal[0] * cap - total or len(chosen) + 1 > goal[0]:
-                continue
-            budget[0] -= 1
-            for s in f:
-                stock.take(s)
-            chosen.append((x, *f))
-            done = search(w)
-            chosen.pop()
-            for s in f:
-                stock.put(s)
-            if done:
-                stock.put(x)
-                return True
-        stock.put(x)
-        return False
+        frames.append([x, iter(fillings(stock, cap - x)), waste, None])
 
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 4 * len(incumbent) + 1000))
-    try:
-        search(0)
-    finally:
-        sys.setrecursionlimit(limit)
-    if not best[0]:
-        return incumbent
-    by: dict[int, list[int]] = {}
-    for i in range(len(sizes) - 1, -1, -1):
-        by.setdefault(sizes[i], []).append(i)
-    return [[by[s].pop() for s in b] for b in best[0]]
+    if not sizes:
+        return []
+    open_(0)
+    while frames:
+        frame = frames[-1]
+        x, left, waste, f = frame
+        if f is not None:  # take the last choice back
+            done.pop()
+            for y in f:
+                stock.put(y)
+            frame[3] = None
+        f = next(left, None) if budget[0] > 0 else None
+        if f is None:
+            stock.put(x)
+            frames.pop()
+            continue
+        budget[0] -= 1
+        w = waste + cap - x - sum(f)
+        if w > goal * cap - total or len(done) + 1 > goal:
+            continue
+        for y in f:
+            stock.take(y)
+        done.append((x, *f))
+        frame[3] = f
+        if not stock.order:
+            return [list(c) for c in done]
+        open_(w)
+    return None
+
+
+def complete(sizes: list[int], cap: int, nodes: int = NODES) -> list[list[int]]:
+    """Indices of the items of each container; no more containers than best-fit decreasing needs, and fewer where the search finds them."""
+    bins = best_fit(sizes, cap)
+    bound, budget, opened = least_containers(sizes, cap), [nodes], OPENED
+    while len(bins) > bound and budget[0] > 0:
+        bins.sort(key=lambda c: (sum(sizes[i] for i in c), c))  # those with the most room first
+        items = [i for c in bins[:opened] for i in c]
+        tried = [min(budget[0], max(nodes // 20, 1))] if opened < len(bins) else budget
+        before = tried[0]
+        got = search([sizes[i] for i in items], cap, min(opened, len(bins)) - 1, tried)
+        if tried is not budget:
+            budget[0] -= max(before - tried[0], 1)
+        if got is not None:
+            by: dict[int, list[int]] = {}
+            for i in sorted(items, reverse=True):
+                by.setdefault(sizes[i], []).append(i)
+            bins = [[by[x].pop() for x in c] for c in got] + bins[opened:]
+        elif opened >= len(bins):
+            break
+        else:
+            opened = int(opened * GROWTH) + 1
+    return bins
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP, nodes: int = NODES) -> DataFrame:
