@@ -20,20 +20,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.runtime import ship, spread
+from loomgraph.plans.skew import skew_join
 
 #: Lengths to either side that count as neighbours, the false-discovery rate, the least expected count.
 NEIGHBOURS, FDR, FLOOR = 40, 0.01, 0.25
 #: A word kept in a line's skeleton makes up at least this share of all words.
 FREQUENT = 1e-4
-#: A line's skeleton is that of a complete line if it stands in mid-document this often.
-KNOWN = 3
+#: A line's skeleton is that of a complete line if it stands in mid-document this often, and has this share of all such lines.
+KNOWN, KNOWN_SHARE = 3, 1e-6
+#: A word is one, not a part of one, if it has this share of all words (once, in less than a billion words).
+SEEN_SHARE = 1e-9
 #: A title is one line of at most so many characters; a source of titles has at least so many texts.
 TITLE, TITLES = 120, 20
+#: Distinct entries that a counting task holds before it hands them on.
+HELD = 400_000
 
-_FINAL = re.compile(r"""[.!?。！？।؟][\s"'”’»“)\]）」』›*_]*$""")
-_APPENDED = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\(…\)|\[\.\.\.\])+$")
-_CITED = re.compile(r"\s*\[\d{1,4}\]$")
-_SIGNED = re.compile(r"\n[^\S\n]*(?:—|–|--|/)[^\S\n]*\S[^\n]{0,60}$")
+_CLOSERS = " \t\n\r\f\v\u00a0\u3000\"'”’»“)]）」』›*_"
+_APPENDED = ("…", "...", "[…]", "(…)", "[...]")
+_CITED = re.compile(r"\[\d{1,4}\]\Z")
+_SIGNED = re.compile(r"[^\S\n]*(?:—|–|--|/)[^\S\n]*\S[^\n]{0,60}\Z")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+|[^\W_A-Za-zÀ-ɏ]+")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[|:=•*/—–-]")
 _BULLET = re.compile(r"\s*(?:[-*•]|\d{1,3}[.)])\s+\S")
@@ -49,6 +54,7 @@ _CJK = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
 _CJK_MARK = re.compile("[。，、！？；：,.]")
 _INITIAL = re.compile(r"(?:^|[\s(“„«\"])[A-ZÀ-Ý]\.$")
 _PAIRED = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
+_STRUCTURE = re.compile(r"""["“”„«»「」『』()（）\[\]]""")
 
 
 def source_key(c):
@@ -57,20 +63,46 @@ def source_key(c):
     return F.when(F.length(k) > 0, k)
 
 
+def final(t: str) -> bool:
+    """Whether the text ends with a final mark, closing marks aside."""
+    return t.rstrip(_CLOSERS)[-1:] in tuple(".!?。！？।؟")
+
+
+def unappended(text: str) -> str:
+    """The text without blanks and ellipses at its end; only the end is looked at."""
+    t = text.rstrip()
+    while t.endswith(_APPENDED):
+        t = next(t[: -len(x)] for x in sorted(_APPENDED, key=len, reverse=True) if t.endswith(x)).rstrip()
+    return t
+
+
 def body(text: str) -> str:
     """The text without what was put behind it: blanks, an ellipsis, a citation mark, a signature line."""
-    t = _APPENDED.sub("", text)
-    for rx in (_CITED, _SIGNED):
-        u = rx.sub("", t)
-        if u != t:
-            t = u.rstrip()
+    t = unappended(text)
+    m = _CITED.search(t, max(0, len(t) - 6))
+    if m:
+        t = t[: m.start()].rstrip()
+    k = t.rfind("\n")
+    if k >= 0 and _SIGNED.match(t, k + 1):
+        t = t[:k].rstrip()
+    return t
+
+
+def last_paragraph(t: str) -> str:
+    """What follows the last blank line."""
+    k = t.rfind("\n")
+    while k >= 0:
+        j = t.rfind("\n", 0, k)
+        if j >= 0 and not t[j + 1 : k].strip():
+            return t[k + 1 :].lstrip()
+        k = j
     return t
 
 
 def unclosed(par: str) -> bool:
     """Whether the last paragraph leaves a quotation mark or bracket open."""
     stack = []
-    for ch in par:
+    for ch in _STRUCTURE.findall(par):
         if stack and ch == stack[-1]:
             stack.pop()
         elif ch in _PAIRED:
@@ -114,13 +146,13 @@ def complete_lines(text: str) -> list[str]:
         last = k == len(paragraphs) - 1
         listed = len(lines) > 1 and all(_BULLET.match(x) or _FIELD.match(x) for x in lines)
         if listed:
-            items = [x.strip() for x in (lines[:-1] if last else lines) if not _FINAL.search(x)]
+            items = [x.strip() for x in (lines[:-1] if last else lines) if not final(x)]
             out += items
             items_end += [_ITEM + _WORD.findall(x)[-1].lower() for x in items if _BULLET.match(x) and _WORD.search(x)]
         elif _THAI.search(p):
             units = p.split()
             out += [u for u in (units[:-1] if last else units)]
-        elif len(lines) == 1 and not last and not _FINAL.search(lines[0]):
+        elif len(lines) == 1 and not last and not final(lines[0]):
             out.append(lines[0].strip())
     return out + items_end
 
@@ -154,32 +186,47 @@ _DOC = pa.schema(
 _DDL = "doc_id bigint, src string, n bigint, n_own bigint, b bigint, b_own bigint, state string, skel string, word string, line string, title boolean"
 
 
+def _batches(counts: Counter, names: list[str]):
+    items = list(counts.items())
+    for i in range(0, len(items), 50_000):
+        w, n = zip(*items[i : i + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=names)
+
+
 def _vocabulary(batches):
     """(word, n, closing): how often a word stands in the texts, and whether it ends a clause or line; each text's last word left out."""
     words: Counter = Counter()
     closing: set = set()
+
+    def held():
+        items = list(words.items())
+        for i in range(0, len(items), 50_000):
+            w, n = zip(*items[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array([x in closing for x in w], pa.bool_())], names=["word", "n", "closing"])
+
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
                 w = _WORD.findall(t)
                 words.update(w[:-1])
                 closing.update(_CLOSING.findall(t[: t.rindex(w[-1])]) if w else ())
-    items = list(words.items())
-    for i in range(0, len(items), 50_000):
-        w, n = zip(*items[i : i + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64()), pa.array([x in closing for x in w])], names=["word", "n", "closing"])
+        if len(words) > HELD:
+            yield from held()
+            words.clear()
+            closing.clear()
+    yield from held()
 
 
 def ending(t: str, frequent: frozenset, abbreviations: frozenset) -> tuple[str, str | None, str | None]:
     """(state, skeleton, last word) of a body: 'whole' or 'cut' where the marks tell, else 'open' with what decides it."""
     if not t:
         return "whole", None, None
-    paragraph = _BLANK.split(t)[-1]
-    if _FINAL.search(t):
+    paragraph = last_paragraph(t)
+    if final(t):
         w = t.rsplit(None, 1)[-1].strip("([“„«\"")
         if unclosed(paragraph):
             return "cut", None, None
-        if _INITIAL.search(t) or w.rstrip(".").lower() in abbreviations and w.endswith("."):
+        if _INITIAL.search(t[-8:]) or w.rstrip(".").lower() in abbreviations and w.endswith("."):
             return "cut", None, None
         return "whole", None, None
     if unclosed(paragraph):
@@ -205,7 +252,7 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
     """
     ship(docs.sparkSession)
     docs = spread(docs.select("doc_id", source_key(F.col("source")).alias("src"), "text"))
-    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word string, n bigint, closing boolean").groupBy("word").agg(F.sum("n").alias("n"), F.max("closing").alias("closing")).persist()
+    vocabulary = docs.select("text").where("text is not null").mapInArrow(_vocabulary, "word string, n bigint, closing boolean").groupBy("word").agg(F.sum("n").alias("n"), F.max("closing").alias("closing")).persist()
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     # at most 1 / FREQUENT words can have this share, which bounds what is collected
     frequent = frozenset(r.w for r in vocabulary.groupBy(F.lower("word").alias("w")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(total * FREQUENT, 3)).select("w").collect())
@@ -216,8 +263,10 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
             for t in b.column(0).to_pylist():
                 if t:
                     got.update(_evidence(t, frequent))
-        items = list(got.items()) or [("", 0)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in items]), pa.array([x[1] for x in items], pa.int64())], names=["skel", "k"])
+            if len(got) > HELD:
+                yield from _batches(got, ["skel", "k"])
+                got.clear()
+        yield from _batches(got, ["skel", "k"])
 
     def look(batches):
         for b in batches:
@@ -225,13 +274,15 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
             for i, s, t in zip(*(c.to_pylist() for c in b.columns)):
                 t = t or ""
                 u = body(t)
-                own = _APPENDED.sub("", t)
+                own = unappended(t)
                 state, skel, word = ending(u, frequent, abbreviations)
                 line = exact(last_line(u)) if state == "open" else None
                 out.append((i, s, len(t), len(own), len(t.encode()), len(own.encode()), state, skel, word, line, title_shaped(u, abbreviations)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _DOC)] if out else [pa.array([], f.type) for f in _DOC], schema=_DOC)
 
-    known = docs.select("text").mapInArrow(lines, "skel string, k bigint").groupBy("skel").agg(F.sum("k").alias("k")).where((F.col("k") >= KNOWN) | F.col("skel").startswith(_EXACT))
+    shapes = docs.select("text").where("text is not null").mapInArrow(lines, "skel string, k bigint").groupBy("skel").agg(F.sum("k").alias("k")).persist()
+    least = max(KNOWN, (shapes.where(~F.col("skel").startswith(_EXACT)).agg(F.sum("k")).first()[0] or 0) * KNOWN_SHARE)
+    known = shapes.where((F.col("k") >= least) | F.col("skel").startswith(_EXACT))
     looked = docs.mapInArrow(look, _DDL).dropDuplicates(["doc_id"]).persist()
     limits = significant_lengths(looked)
     judged = looked.where("state <> 'open'").select("doc_id", "src", "n", "n_own", "b", "b_own", "state")
@@ -240,8 +291,12 @@ def analyse(docs: DataFrame, abbreviations: frozenset = frozenset()) -> tuple[Da
     top = limits.groupBy(F.col("src").alias("lsrc")).agg(F.max("n").alias("most"))
     titles = looked.groupBy("src").agg(F.avg(((F.col("state") == "open") & F.col("title")).cast("double")).alias("p"), F.count("*").alias("texts")).where((F.col("p") >= 0.9) & (F.col("texts") >= TITLES))
     titles = titles.join(top, F.col("src").eqNullSafe(F.col("lsrc")), "left").where("coalesce(most, 0) * 2 < texts").select(F.col("src").alias("tsrc"), F.lit(True).alias("titled"))
-    open_ = at_limit(looked.where("state = 'open'"), limits).join(known, "skel", "left").join(known.select(F.col("skel").alias("line"), F.lit(True).alias("proven")), "line", "left").join(vocabulary.withColumnRenamed("n", "wn"), "word", "left").join(titles, F.col("src").eqNullSafe(F.col("tsrc")), "left")
-    seen = F.col("word").isNull() | (F.coalesce("wn", F.lit(0)) > 0)
+    ends = looked.where("state = 'open'")
+    open_ = at_limit(ends, limits)
+    for key, right in (("skel", known), ("line", known.select(F.col("skel").alias("line"), F.lit(True).alias("proven"))), ("word", vocabulary.withColumnRenamed("n", "wn"))):
+        open_ = skew_join(open_, right, [key], ends.groupBy(key).agg(F.count("*").alias("n")), "left")  # a shape such as one rare word is common
+    open_ = open_.join(F.broadcast(titles), F.col("src").eqNullSafe(F.col("tsrc")), "left")  # one row per source
+    seen = F.col("word").isNull() | (F.coalesce("wn", F.lit(0)) >= max(1, total * SEEN_SHARE))
     titled = F.coalesce("titled", F.lit(False)) & F.col("title")
     shaped = F.col("k").isNotNull() | (F.col("skel") == "|")
     whole = seen & (titled | shaped & (~F.col("limited") | F.coalesce("proven", F.lit(False)) | F.coalesce("closing", F.lit(False)) & ~F.col("line").rlike(r"\s")))
@@ -265,9 +320,16 @@ def significant_lengths(looked: DataFrame) -> DataFrame:
     h = h.withColumn("p", F.when(F.col("n") > F.col("expected"), F.exp(-(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected")))).otherwise(F.lit(1.0)))
     h = h.persist()
     m = max(h.count(), 1)
-    small = h.where(F.col("p") <= FDR)  # no other can pass; few lengths, whatever the number of texts
-    passed = small.withColumn("i", F.row_number().over(Window.orderBy("p"))).where(F.col("p") <= F.col("i") / m * FDR).agg(F.max("p")).first()[0]
-    return h.where(F.col("p") <= (passed if passed is not None else -1.0)).select("src", "unit", "len", "n", "expected", "p")
+    small = h.where(F.col("p") <= FDR).select("p").persist()  # no other can pass
+    # the procedure's threshold is the largest t with t = FDR * (number of p <= t) / m, reached from above by iteration: no sort of all lengths
+    t, seen = FDR, -1
+    while True:
+        n = small.where(F.col("p") <= t).count()
+        if n == seen:
+            break
+        t, seen = FDR * n / m, n
+    small.unpersist()
+    return h.where((F.col("p") <= t) & F.lit(seen > 0)).select("src", "unit", "len", "n", "expected", "p")
 
 
 def at_limit(judged: DataFrame, limits: DataFrame) -> DataFrame:
