@@ -1,8 +1,10 @@
 """Problem 9: mixing sources to target weights, by Pareto order sampling.
 
 Each source is to give its share of all tokens. The largest total that every source
-with texts can meet within its repeats is used; a source's texts are then all taken
-floor(e) times (e: copies of each that its target needs), and the rest is sampled:
+with texts can meet within its repeats is used. Within a source a text's expected
+copies are in proportion to its weight and at most the repeats allowed; the factor is
+calibrated so that they add up to the source's tokens. The whole copies are certain;
+for what is left of each expectation, its inclusion probability, a sample is drawn:
 texts are ranked by random odds divided by inclusion odds and taken until the tokens
 that are missing are reached.
 """
@@ -14,13 +16,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.tokens import VOCABULARY, token_counts
 from loomgraph.llm.truncation import source_key
+from loomgraph.plans.skew import skew_join
 
 #: Ranks are cut at the border by a histogram of this many bins, so that no task sorts a whole source.
 BINS = 4096
+#: Rows of (source, weight) that may be broadcast; more are joined by shuffle.
+WEIGHTS = 500_000
 
 
 def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: supply, copies that all texts get, share of texts that get one more."""
+    """One row per target source: its share, the total of the mixture, and the tokens that the source is to give (``need``)."""
     t = targets.select(source_key(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     t = t.where("src is not null").groupBy("src").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     supply = sized.groupBy("src").agg(F.sum("tokens").cast("double").alias("supply"), F.count("*").alias("documents"))
@@ -29,8 +34,31 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     one = Window.partitionBy(F.lit(0))  # one row per target source
     p = p.withColumn("share", F.when(live, F.col("target_share")).otherwise(0.0)).withColumn("share", F.coalesce(F.try_divide(F.col("share"), F.sum("share").over(one)), F.lit(0.0)))
     p = p.withColumn("total", F.min(F.when(live, F.try_divide(F.col("supply") * F.col("max_repeats"), F.col("share")))).over(one))
-    e = F.when(live, F.least(F.try_divide(F.col("share") * F.col("total"), F.col("supply")), F.col("max_repeats"))).otherwise(0.0)
-    return p.withColumn("e", e).withColumn("whole", F.floor(F.col("e") + 1e-9)).withColumn("part", F.greatest(F.col("e") - F.col("whole"), F.lit(0.0)))
+    return p.withColumn("need", F.when(live, F.least(F.col("share") * F.col("total"), F.col("supply") * F.col("max_repeats"))).otherwise(0.0))
+
+
+def calibrate(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(src, w, whole, part): per source and weight the certain copies of a text and the probability of one more.
+
+    The expected copies are least(max_repeats, c w) with the c for which they give
+    ``need`` tokens: from the largest weight down, texts are capped until c w falls
+    below the cap. One row per source and weight; weights have three digits.
+    """
+    b = sized.groupBy("src", "w").agg(F.sum("tokens").cast("double").alias("t")).join(F.broadcast(plan.where("need > 0").select("src", "need", "max_repeats")), "src")
+    down = Window.partitionBy("src").orderBy(F.desc("w"))
+    b = b.withColumn("above", F.sum("t").over(down) - F.col("t")).withColumn("rest", F.sum(F.col("w") * F.col("t")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    b = b.withColumn("c", F.greatest((F.col("need") - F.col("max_repeats") * F.col("above")) / F.col("rest"), F.lit(0.0)))
+    c = b.where(F.col("c") * F.col("w") <= F.col("max_repeats") * (1 + 1e-12)).groupBy("src").agg(F.max_by("c", "w").alias("c"))
+    e = F.coalesce(F.least(F.col("c") * F.col("w"), F.col("max_repeats").cast("double")), F.col("max_repeats").cast("double"))
+    b = b.drop("c").join(F.broadcast(c), "src", "left").withColumn("e", e).withColumn("whole", F.floor(F.col("e") + 1e-9))  # c has one row per source
+    return b.select("src", "w", "t", "whole", F.greatest(F.col("e") - F.col("whole"), F.lit(0.0)).alias("part"), "max_repeats")
+
+
+def rarity(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``rarity``: 1 / times its text stands in the table, so that a text delivered under several ids counts as one."""
+    key = docs.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.length("text"))
+    n = key.select("doc_id", "_h", "_n").distinct().groupBy("_h", "_n").agg(F.count("*").alias("n"))
+    return skew_join(key, n.select("_h", "_n", (1 / F.col("n")).alias("rarity")), ["_h", "_n"], n, "left").drop("_h", "_n")
 
 
 def mix(docs: DataFrame, targets: DataFrame, weight: str | None = None, vocabulary: str = VOCABULARY, seed: int = 11, bins: int = BINS) -> DataFrame:
@@ -39,22 +67,28 @@ def mix(docs: DataFrame, targets: DataFrame, weight: str | None = None, vocabula
     Sources are compared in one spelling; texts of sources without a target, of
     unknown source, empty or NULL take no part; target sources without texts give
     nothing and the others' shares are scaled up. ``weight`` names a positive column
-    to which a text's inclusion odds are proportional (NULL counts as 1); without it
-    they are equal within a source. A doc_id counts once.
+    to which a text's expected copies are in proportion, up to max_repeats (NULL, NaN
+    and what is not positive count as 1); without it they are equal within a source.
+    A doc_id counts once.
     """
-    w = docs.select("doc_id", source_key(F.col("source")).alias("src"), "text", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("doc_id is not null and src is not null")
+    x = F.col(weight).cast("double") if weight else F.lit(1.0)
+    x = F.when((x > 0) & (x < float("inf")), x).otherwise(1.0)
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
+    w = docs.select("doc_id", source_key(F.col("source")).alias("src"), "text", (F.round(x / scale) * scale).alias("w")).where("doc_id is not null and src is not null")
     sized = token_counts(w, "doc_id", "text", ("src", "w"), vocabulary).dropDuplicates(["doc_id"]).where("tokens > 0").persist()
     plan = _plan(sized, targets).persist()
-    rows = sized.join(F.broadcast(plan.where("e > 0").select("src", "whole", "part", "max_repeats")), "src")  # one row per target source
+    rates = calibrate(sized, plan).persist()
+    few = rates.count() <= WEIGHTS
+    rows = sized.join(F.broadcast(rates.drop("t")) if few else rates.drop("t"), ["src", "w"])
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    odds = F.when(F.col("part") > 0, F.col("part") / F.greatest(1 - F.col("part"), F.lit(1e-12)) * F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(1e-12)))
+    odds = F.when(F.col("part") > 0, F.col("part") / F.greatest(1 - F.col("part"), F.lit(1e-12)))
     q = u / (1 - u) / odds
     rows = rows.withColumn("rank", q / (1 + q)).withColumn("bin", F.floor(F.col("rank") * bins).cast("int"))
     can = rows.where((F.col("part") > 0) & (F.col("whole") < F.col("max_repeats")))
-    hist = can.groupBy("src", "bin").agg(F.sum("tokens").alias("t"), F.first("part").alias("part"))
+    hist = can.groupBy("src", "bin").agg(F.sum("tokens").alias("t"))
     up = Window.partitionBy("src").orderBy("bin")
-    need = plan.select("src", (F.col("part") * F.col("supply")).alias("need"))
-    hist = hist.withColumn("below", F.sum("t").over(up) - F.col("t")).join(F.broadcast(need), "src")
+    need = rates.groupBy("src").agg(F.sum(F.col("part") * F.col("t")).alias("need"))
+    hist = hist.withColumn("below", F.sum("t").over(up) - F.col("t")).join(F.broadcast(need), "src")  # one row per target source
     border = hist.where("below < need").groupBy("src").agg(F.max("bin").alias("border"), F.max(F.struct("bin", (F.col("need") - F.col("below")).alias("left"))).alias("s")).select("src", "border", F.col("s.left").alias("left"))
     rows = rows.join(F.broadcast(border), "src", "left")  # one row per target source
     inside = F.coalesce(F.col("bin") < F.col("border"), F.lit(False)) & (F.col("part") > 0)

@@ -142,6 +142,37 @@ def test_bin_completion():
     assert len(packing.complete([6, 6, 5, 5, 5, 3, 3, 3, 2, 2, 2, 2, 2, 2, 2], 10)) == 5
 
 
+def test_bin_completion_is_exact_on_small_groups_and_beats_best_fit():
+    rnd = random.Random(4)
+
+    def fewest(sizes, cap):
+        best = [len(sizes)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(rooms)
+                return
+            for k, r in enumerate(rooms):
+                if r >= sizes[i]:
+                    place(i + 1, rooms[:k] + [r - sizes[i]] + rooms[k + 1 :])
+            place(i + 1, [*rooms, cap - sizes[i]])
+
+        place(0, [])
+        return best[0]
+
+    for _ in range(60):
+        cap = rnd.randint(10, 40)
+        sizes = sorted((rnd.randint(1, cap) for _ in range(rnd.randint(1, 9))), reverse=True)
+        want = fewest(sizes, cap)
+        assert packing.least_containers(sizes, cap) <= want == len(packing.complete(sizes, cap))
+    sizes = [rnd.randint(300, 1500) for _ in range(600)]
+    got, best, bound = len(packing.complete(sizes, 2048)), len(packing.best_fit(sizes, 2048)), packing.least_containers(sizes, 2048)
+    assert bound <= got < best
+    assert packing.dominates((5,), (3, 2)) and not packing.dominates((4, 1), (3, 2)) and packing.dominates((4, 3), (3, 2, 2))
+
+
 def test_pack_rows(spark):
     rows = [(i, "word " * (i % 50 + 1)) for i in range(200)] + [(500, "word " * 300), (501, None), (502, ""), (0, "word "), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("g", F.lit(1))
@@ -171,6 +202,30 @@ def test_mix_meets_shares_and_repeats(spark):
     assert mixing.mix(df.limit(0), t).count() == 0
 
 
+def test_inclusion_follows_the_weights(spark):
+    """Expected copies are in proportion to the weight and capped; over many seeds the copies drawn have that mean, and the tokens are met every time."""
+    rows = [(i, "token " * (i % 7 + 3), "s", [1.0, 2.0, 6.0][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, w double")
+    t = spark.createDataFrame([("s", 0.5, 2), ("t", 0.5, 1)], "source string, target_share double, max_repeats int")
+    df = df.unionByName(spark.createDataFrame([(1000 + i, "token " * 6, "t", None) for i in range(150)], df.schema)).persist()
+    sizes = {r.doc_id: (r.source, r.tokens, r.copies) for r in mixing.mix(df, t, "w").collect()}
+    assert all(c <= 2 for s, _, c in sizes.values() if s == "s")
+    total, mean, runs = [], [0.0] * 3, 5
+    for seed in range(runs):
+        m = [r for r in mixing.mix(df, t, "w", seed=seed).collect() if r.source == "s"]
+        total.append(sum(r.tokens * r.copies for r in m))
+        for r in m:
+            mean[r.doc_id % 3] += r.copies / 100 / runs
+    assert max(total) - min(total) <= 10  # tokens of one text
+    assert abs(mean[1] / mean[0] - 2) < 0.25 and abs(mean[2] - min(2, 6 * mean[0])) < 0.2
+
+
+def test_rarity(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (1, "a")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.rarity) for r in mixing.rarity(df).collect() if r.doc_id != 4) == [(1, 0.5), (1, 0.5), (2, 0.5), (3, 1.0)]
+    assert mixing.rarity(df).count() == 5 and mixing.rarity(df.limit(0)).count() == 0
+
+
 def test_boosting_learns():
     r = np.random.default_rng(0)
     x = r.normal(size=(600, 3))
