@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from loomgraph.llm.boost import Boosted
 from loomgraph.plans.runtime import ship, spread
 
-#: Clean texts from which training pages are made, and words from which training errors are.
-TRAIN_TEXTS, TRAIN_WORDS = 1200, 4000
+#: Bounds of what the models are trained on: clean texts (of 200 to 3,000 characters) from which pages are made, words and
+#: compounds from which errors are (three times as many are fetched, as look-alikes), and books. All counts and the search cover everything.
+TRAIN_TEXTS, TRAIN_WORDS, TRAIN_BOOKS = 1200, 4000, 2000
+#: A sound-looking word that no clean text has may itself be a correction if it is met this often in the scans, and has this share of their words.
+TRUSTED, TRUSTED_SHARE = 3, 1e-6
 #: A word with at least this share of all clean words is never looked up.
 FREQUENT = 1e-5
 Q, TAU = 3, 1
@@ -353,7 +356,7 @@ def learn(clean: DataFrame, books: DataFrame, vocab: DataFrame) -> Models:
     some = vocab.where("n >= 2 and length(word) <= 40").orderBy(F.xxhash64("word"))
     words = {r.word: r.n for r in some.where("not compound").limit(3 * TRAIN_WORDS).collect()}
     compounds = {r.word: r.n for r in some.where("compound").limit(TRAIN_WORDS).collect()}
-    shelf = [(r.title or "", r.author_line or "", r.n_pages or 0) for r in books.select("title", "author_line", "n_pages").orderBy(F.xxhash64("title")).limit(2000).collect()]
+    shelf = [(r.title or "", r.author_line or "", r.n_pages or 0) for r in books.select("title", "author_line", "n_pages").orderBy(F.xxhash64("title")).limit(TRAIN_BOOKS).collect()]
     m = train(texts, shelf, words, compounds)
     total = vocab.where("not compound").agg(F.sum("n")).first()[0] or 0
     m.frequent = frozenset(r.word for r in vocab.where("not compound").where(F.col("n") >= max(total * FREQUENT, 3)).select("word").collect())
@@ -421,8 +424,12 @@ def _grams(s: str) -> list[str]:
     return [s[i : i + Q] for i in range(max(1, len(s) - Q + 1))]
 
 
-def _gram_rows(kind: str, weight: dict[str, int]):
-    """Prefix filter: two folded spellings within TAU edits share one of their first Q * TAU + 1 grams in any one order (here rarest first)."""
+def _gram_rows(kind: str, weight: dict[str, int], probe: bool):
+    """Prefix filter: two folded spellings within TAU edits share one of their first Q * TAU + 1 grams in any one order (here rarest first).
+
+    A common gram is keyed with the length of the spelling, and the probing side asks
+    for all lengths within TAU: no pair is lost, and no key holds all words of a gram.
+    """
     schema = pa.schema([("gram", pa.string()), (kind, pa.string()), (f"f_{kind}", pa.string()), (f"n_{kind}", pa.int64())])
 
     def run(batches):
@@ -431,7 +438,11 @@ def _gram_rows(kind: str, weight: dict[str, int]):
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = fold(w)
                 g = sorted(set(_grams(f)), key=lambda x: (weight.get(x, 0), x))[: Q * TAU + 1]
-                out += [(x, w, f, n) for x in g]
+                for x in g:
+                    if x in weight:
+                        out += [(f"{x}{k}", w, f, n) for k in (range(len(f) - TAU, len(f) + TAU + 1) if probe else (len(f),))]
+                    else:
+                        out.append((x, w, f, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out else [pa.array([], t.type) for t in schema], schema=schema)
 
     return run, f"gram string, {kind} string, f_{kind} string, n_{kind} bigint"
@@ -440,11 +451,12 @@ def _gram_rows(kind: str, weight: dict[str, int]):
 def correct_words(words: DataFrame, vocab: DataFrame, models: Models) -> DataFrame:
     """(word) -> (word, fix) of the words judged misrecognised; ``fix`` is the best candidate, NULL where none explains the odd characters."""
     clean = vocab.where("not compound").select("word", "n")
-    types = words.groupBy("word").agg(F.count("*").alias("n"))
+    types = words.groupBy("word").agg(F.count("*").alias("n")).persist()
+    often = max(TRUSTED, (types.agg(F.sum("n")).first()[0] or 0) * TRUSTED_SHARE)
     lower = clean.select(F.lower("word").alias("lw")).distinct()
-    unseen = types.join(clean.select("word"), "word", "left_anti").withColumn("lw", F.lower("word")).join(lower, "lw", "left_anti").select("word", "n").where(F.length("word") <= 64).persist()
+    unseen = types.join(clean.select("word"), "word", "left_anti").withColumn("lw", F.lower("word")).join(lower, "lw", "left_anti").select("word", "n").persist()
     is_odd = F.col("word").rlike(_ODD)
-    trusted = clean.where("n >= 2 and length(word) between 2 and 64").unionByName(unseen.where("n >= 3").where(~is_odd))
+    trusted = clean.where("n >= 2 and length(word) >= 2").unionByName(unseen.where(F.col("n") >= often).where(~is_odd))
     good = clean.select(F.col("word").alias("v"), F.lit(True).alias("clean"))
 
     def count_grams(batches):
@@ -458,8 +470,8 @@ def correct_words(words: DataFrame, vocab: DataFrame, models: Models) -> DataFra
     grams = trusted.select("word").mapInArrow(count_grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).persist()
     top = (grams.agg(F.sum("n")).first()[0] or 0) * 0.0002
     weight = {r.gram: r.n for r in grams.where(F.col("n") >= top).collect()}
-    run_w, ddl_w = _gram_rows("w", weight)
-    run_v, ddl_v = _gram_rows("v", weight)
+    run_w, ddl_w = _gram_rows("w", weight, True)
+    run_v, ddl_v = _gram_rows("v", weight, False)
     left = unseen.select("word", "n").mapInArrow(run_w, ddl_w)
     right = trusted.mapInArrow(run_v, ddl_v)
     pairs = left.join(right, "gram").where("w <> v and abs(length(f_w) - length(f_v)) <= 1").where(F.levenshtein("f_w", "f_v", TAU) >= 0).select("w", "n_w", "v", "n_v").distinct()

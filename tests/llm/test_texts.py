@@ -179,6 +179,26 @@ def test_tiling():
     assert pairs.open_structure("a (b") == ")" and pairs.open_structure("a “b” (c)") is None and pairs.open_structure("```\nx") == "```"
 
 
+def test_gram_keys_lose_no_pair():
+    """All spellings within one edit share a key, whether their grams are common or not, and however long they are."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abst") for _ in range(rnd.randint(1, 9))) for _ in range(200)] + ["ab" * 60, "ab" * 60 + "s"]
+    weight = {g: 5 for w in words[:40] for g in scans._grams(scans.fold(w))}
+    import pyarrow as pa
+
+    def keys(probe):
+        run, _ = scans._gram_rows("x", weight, probe)
+        out = {}
+        for b in run([pa.RecordBatch.from_arrays([pa.array(words), pa.array([1] * len(words))], names=["w", "n"])]):
+            for g, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out.setdefault(w, set()).add(g)
+        return out
+
+    asks, has = keys(True), keys(False)
+    near = [(a, b) for a in words for b in words if a != b and scans.close(scans.fold(a), scans.fold(b), 1)]
+    assert near and all(asks[a] & has[b] for a, b in near)
+
+
 def test_scan_parts():
     assert scans.fold("m0dern") == scans.fold("rnodern") and scans.fold("clay") == scans.fold("day")
     assert scans.page_value("— 12 —")[1] == 12 and scans.page_value("l7l")[1] == 171 and scans.page_value("40 mg")[0] == -1
