@@ -429,7 +429,9 @@ def _gram_rows(kind: str, weight: dict[str, int], probe: bool):
 
     A common gram is keyed with the length of the spelling, and the probing side asks
     for all lengths within TAU: no pair is lost, and no key holds all words of a gram.
+    Spellings too short for the filter are keyed by themselves and without each letter.
     """
+    short = Q * TAU + 1
     schema = pa.schema([("gram", pa.string()), (kind, pa.string()), (f"f_{kind}", pa.string()), (f"n_{kind}", pa.int64())])
 
     def run(batches):
@@ -443,6 +445,8 @@ def _gram_rows(kind: str, weight: dict[str, int], probe: bool):
                         out += [(f"{x}{k}", w, f, n) for k in (range(len(f) - TAU, len(f) + TAU + 1) if probe else (len(f),))]
                     else:
                         out.append((x, w, f, n))
+                if len(f) <= short:
+                    out += [(f"\x04{x}", w, f, n) for x in {f, *(f[:k] + f[k + 1 :] for k in range(len(f)))}]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out else [pa.array([], t.type) for t in schema], schema=schema)
 
     return run, f"gram string, {kind} string, f_{kind} string, n_{kind} bigint"
