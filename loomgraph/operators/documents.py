@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,9 +73,54 @@ class OfflineModel:
     def summary(self, text: str) -> str:
         return " ".join(text.split()[:50])
 
+    def attributes(self, entity: str, text: str) -> str:
+        """What the sentences that name the entity say, in 50 words at most."""
+        said = [s for s in re.split(r"(?<=[.!?])\s+", text) if entity and entity in s]
+        return " ".join(" ".join(said).split()[:50])
+
+    def answer(self, prompt: str) -> str:
+        """The evidence line that shares most words with the question, the first at a tie."""
+        evidence, _, asked = prompt.partition("\n\nQuestion: ")
+        want = set(re.findall(r"\w+", asked.lower().removesuffix("answer:")))
+        lines = [x.partition("] ")[2] for x in evidence.split("\n") if x.startswith("[") and not x.startswith("[EDGE")]
+        return max(lines, key=lambda x: len(want & set(re.findall(r"\w+", x.lower()))), default="")
+
+
+def call(method, *args, tries: int = 3, wait: float = 0.0):
+    """One call of a model: tried again after ``wait`` seconds, doubled each time, on any error; None when all ``tries`` failed."""
+    for k in range(tries):
+        try:
+            return method(*args)
+        except Exception:  # a client may raise anything; a failed row is retried by a later round
+            if k + 1 < tries and wait:
+                time.sleep(wait * 2**k)
+    return None
+
+
+def ask_model(df: DataFrame, model: type, method: str, args: list[str], out: str, tries: int = 3) -> DataFrame:
+    """``df`` with the text that ``method`` of the model gives for the columns ``args``; NULL where an argument is or all tries failed."""
+    ship(df.sparkSession)
+    keep = df.drop(out)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + f", `{out}` string"
+
+    def run(batches):
+        m = model()
+        for b in batches:
+            rows = zip(*(b.column(b.schema.get_field_index(a)).to_pylist() for a in args))
+            got = [None if None in r else call(getattr(m, method), *r, tries=tries) for r in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, out])
+
+    return keep.mapInArrow(run, ddl)
+
+
+def entity_attributes(chunks: DataFrame, model: type = OfflineModel) -> DataFrame:
+    """(id, entity, attributes) of every named entity of every chunk."""
+    e = chunks.where("text is not null").select("id", "text", F.explode(F.array_distinct("entities")).alias("entity")).where("trim(coalesce(entity, '')) <> ''")
+    return ask_model(e, model, "attributes", ["entity", "text"], "attributes").select("id", "entity", "attributes")
+
 
 def enrich(chunks: DataFrame, model: type = OfflineModel, text: str = "text") -> DataFrame:
-    """Adds summary, entities and relations by a model that each worker builds once per task."""
+    """Adds summary, entities and relations by a model that each worker builds once per task; a field whose calls all failed is NULL."""
     ship(chunks.sparkSession)
     keep = chunks.drop("summary", "entities", "relations")
     rel = pa.list_(pa.struct([("Source", pa.string()), ("Relationship", pa.string()), ("Destination", pa.string())]))
@@ -84,9 +130,10 @@ def enrich(chunks: DataFrame, model: type = OfflineModel, text: str = "text") ->
         m = model()
         for b in batches:
             t = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-            e = [m.entities(x) for x in t]
-            r = [[dict(zip(("Source", "Relationship", "Destination"), y)) for y in m.relations(x, z)] for x, z in zip(t, e)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.summary(x) for x in t], pa.string()), pa.array(e, pa.list_(pa.string())), pa.array(r, rel)], names=[*b.schema.names, "summary", "entities", "relations"])
+            e = [call(m.entities, x) for x in t]
+            got = [call(m.relations, x, z) if z is not None else None for x, z in zip(t, e)]
+            r = [None if y is None else [dict(zip(("Source", "Relationship", "Destination"), z)) for z in y] for y in got]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([call(m.summary, x) for x in t], pa.string()), pa.array(e, pa.list_(pa.string())), pa.array(r, rel)], names=[*b.schema.names, "summary", "entities", "relations"])
 
     return keep.mapInArrow(run, ddl)
 

@@ -10,20 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import answer_f1, normalize_answer
+from loomgraph.functions.tokens import VOCABULARY, token_counts
 from loomgraph.plans.runtime import ship, spread
 
 
-def load_questions(qa: DataFrame) -> DataFrame:
+def load_questions(qa: DataFrame, max_samples: int | None = None) -> DataFrame:
     """(id, question, answers, context): answerable rows (a missing flag counts as yes), once per id.
 
     Answers: the answer and its aliases, trimmed, non-blank, distinct, sorted; context: the
-    non-blank paragraph texts, trimmed, joined by a space.
+    non-blank paragraph texts, trimmed, joined by a space. ``max_samples`` keeps the
+    first so many of them by id.
     """
     tidy = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     answers = F.array_sort(F.array_distinct(tidy(F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))))))
     texts = F.transform(F.coalesce("paragraphs", F.array().cast("array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>")), lambda p: p["paragraph_text"])
     q = qa.where("id is not null and coalesce(answerable, true)").select("id", "question", answers.alias("answers"), F.array_join(tidy(texts), " ").alias("context"))
-    return q.dropDuplicates(["id"])
+    q = q.dropDuplicates(["id"])
+    return q if max_samples is None else q.orderBy("id").limit(max_samples)
 
 
 def predictions(dump: DataFrame) -> DataFrame:
@@ -70,28 +73,30 @@ def bleu(pred: list[str], ref: list[str], weights: tuple[float, ...], smooth: fl
     return short * math.exp(logs)
 
 
+def common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits: a row of the table is one number, so a word costs a few operations on len(b) bits."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
 def rouge_l(pred: list[str], ref: list[str]) -> float:
     """F1 of the longest common subsequence."""
-    if not pred or not ref:
-        return 0.0
-    row = [0] * (len(ref) + 1)
-    for x in pred:
-        diag = 0
-        for j, y in enumerate(ref, 1):
-            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
-    n = row[-1]
+    n = common(pred, ref) if pred and ref else 0
     return 2 * n / (len(pred) + len(ref)) if n else 0.0
 
 
 def meteor(pred: list[str], ref: list[str]) -> float:
     """Exact-match METEOR: unigram F (recall weighted 9 to 1) less a fragmentation penalty."""
-    used, at = [False] * len(ref), []
-    for i, x in enumerate(pred):
-        for j, y in enumerate(ref):
-            if not used[j] and x == y:
-                used[j] = True
-                at.append((i, j))
-                break
+    free: dict[str, list[int]] = {}
+    for j in range(len(ref) - 1, -1, -1):
+        free.setdefault(ref[j], []).append(j)
+    at = [(i, free[x].pop()) for i, x in enumerate(pred) if free.get(x)]
     if not at:
         return 0.0
     m = len(at)
@@ -121,3 +126,17 @@ def text_scores(pairs: DataFrame) -> DataFrame:
 
     ddl = "uid string, gold string, " + ", ".join(f"{m} double" for m in _TEXT_METRICS)
     return spread(pairs.select("uid", "prediction", "gold")).mapInArrow(run, ddl)
+
+
+def full_summary(dump: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row: questions, the mean of every metric over the questions, and avg_tokens of prompt and answer.
+
+    Each metric is the best over a question's references by itself; questions without
+    references count for avg_tokens alone.
+    """
+    pairs = predictions(dump)
+    one = score(pairs).join(text_scores(pairs).dropDuplicates(["uid", "gold"]), ["uid", "gold"])
+    metrics = ("f1", "precision", "recall", "exact_match", "accuracy", *_TEXT_METRICS)
+    asked = dump.where("id is not null and answer is not null").select("id", F.concat(F.coalesce("prompt", F.lit("")), "answer").alias("x")).dropDuplicates(["id"])
+    tokens = token_counts(asked, "id", "x", vocabulary=vocabulary).agg(F.round(F.avg("tokens"), 6).alias("avg_tokens"))
+    return summary(best(one, metrics), metrics).crossJoin(F.broadcast(tokens))  # one row each

@@ -49,14 +49,15 @@ class Attention:
         return z / z.sum()
 
 
-def gnn_scores(features: DataFrame, edges: DataFrame, queries: DataFrame, seed: int = 0) -> DataFrame:
-    """(uid, id, p): features (uid, id, x), edges (uid, src, dst), queries (uid, q). An evidence graph is a few nodes."""
+def gnn_scores(features: DataFrame, edges: DataFrame, queries: DataFrame, seed: int = 0, weights: Attention | None = None) -> DataFrame:
+    """(uid, id, p) by ``weights``, else by seeded ones: features (uid, id, x), edges (uid, src, dst), queries (uid, q). An evidence graph is a few nodes."""
     ship(features.sparkSession)
     schema = pa.schema([("uid", pa.string()), ("id", pa.string()), ("p", pa.float64())])
     e = edges.groupBy("uid").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
     g = features.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("n")).join(e, "uid", "left").join(queries, "uid")
 
     def run(batches):
+        nets: dict[tuple[int, int], Attention] = {}  # built once a task
         for b in batches:
             out = []
             for u, n, e_, q in zip(*(c.to_pylist() for c in b.columns)):
@@ -64,7 +65,11 @@ def gnn_scores(features: DataFrame, edges: DataFrame, queries: DataFrame, seed:
                 at = {i: k for k, i in enumerate(ids)}
                 pairs = np.array([(at[r["src"]], at[r["dst"]]) for r in e_ or () if r["src"] in at and r["dst"] in at], np.int64).reshape(-1, 2)
                 x = np.array([r["x"] for r in n])
-                out += zip([u] * len(ids), ids, np.round(Attention(x.shape[1], len(q), seed=seed).scores(x, pairs, np.array(q)), 9).tolist())
+                shape = (x.shape[1], len(q))
+                if shape not in nets:
+                    nets[shape] = weights or Attention(*shape, seed=seed)
+                net = nets[shape]
+                out += zip([u] * len(ids), ids, np.round(net.scores(x, pairs, np.array(q)), 9).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return g.select("uid", "n", "e", "q").mapInArrow(run, "uid string, id string, p double")

@@ -136,12 +136,27 @@ def semantic_groups(points: DataFrame) -> DataFrame:
     return p.join(many, ["cluster", "community"]).select(F.concat_ws("/", "cluster", "community").alias("group_id"), "id")
 
 
-def g5_edges(edges: DataFrame, near: DataFrame, communities: DataFrame) -> DataFrame:
-    """Graph after the nearest-neighbour step.
+def final_nodes(nodes: DataFrame, ho: DataFrame) -> DataFrame:
+    """G1 nodes with the H and O nodes of the communities behind them in order."""
+    seq = F.struct(F.concat(F.lit("~"), "id").alias("c"), F.lit(6).alias("p"), F.lit(0).alias("i"), F.lit(0).alias("s")).alias("seq")
+    return nodes.unionByName(ho.select("id", "type", "text", seq))
+
+
+def dominant_axis(vec) -> object:
+    """Deterministic cluster of a vector: the position of its largest coordinate by size, from 1."""
+    size = F.transform(vec, lambda x: F.abs(x))
+    return F.array_position(size, F.array_max(size))
+
+
+def g5_edges(edges: DataFrame, near: DataFrame, communities: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(src, dst, label, weight): the graph after the nearest-neighbour step.
 
     A pair (src, dst) counts if both communities are equal, NULL equalling NULL. Where
     it has edges, all its parallels gain weight 1 (a missing one counting 1); else an
-    edge semantic_hnsw of weight 1 is new.
+    edge semantic_hnsw of weight 1 is new. ``groups`` (group_id, id) holds the edges
+    semantically_related, which lead from each member to those behind it by id: such
+    a pair has an edge, so it comes out with that label and weight 2; the pairs of a
+    group that are not near keep weight 1 and stay in the membership alone.
     """
     c = communities.select("id", "community")
     p = near.where("src <> dst").select("src", "dst").distinct()
@@ -149,8 +164,14 @@ def g5_edges(edges: DataFrame, near: DataFrame, communities: DataFrame) -> DataF
     p = p.where(F.col("ca").eqNullSafe(F.col("cb"))).select("src", "dst")
     up = edges.join(p.withColumn("hit", F.lit(1)), ["src", "dst"], "left")
     up = up.select("src", "dst", "label", F.when(F.col("hit").isNotNull(), F.coalesce("weight", F.lit(1)) + 1).otherwise(F.col("weight")).cast("int").alias("weight"))
-    new = p.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit("semantic_hnsw").alias("label"), F.lit(1).alias("weight"))
-    return up.unionByName(new)
+    new = p.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    out = up
+    if groups is not None:
+        g = groups.select("group_id", "id").distinct()
+        related = p.where("src < dst").join(g.select(F.col("id").alias("src"), "group_id"), "src").join(g.select(F.col("id").alias("dst"), "group_id"), ["dst", "group_id"]).select("src", "dst").distinct()
+        out = up.unionByName(related.select("src", "dst", F.lit("semantically_related").alias("label"), F.lit(2).alias("weight")))
+        new = new.join(related, ["src", "dst"], "left_anti")
+    return out.unionByName(new.select("src", "dst", F.lit("semantic_hnsw").alias("label"), F.lit(1).alias("weight")))
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -165,12 +186,21 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of the JSON lines form: (kind, json), one object per node and edge."""
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "text")).alias("json"))
-    e = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label", "weight")).alias("json"))
+    """Rows of the JSON lines form: (kind, json), one object per node and edge, NULL fields included; ``seq`` is kept where the inputs have it."""
+    keep, full = (["seq"] if "seq" in nodes.columns and "seq" in edges.columns else []), {"ignoreNullFields": "false"}
+    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "text"), full).alias("json"), *keep)
+    e = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "label", "weight"), full).alias("json"), *keep)
     return n.unionByName(e)
 
 
+def from_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the rows of ``to_json``; of a pair's edges the last one wins, by ``seq`` where the rows have it."""
+    n = rows.where("kind = 'node'").select(F.from_json("json", "id string, type string, text string").alias("x")).select("x.*")
+    order = F.col("seq") if "seq" in rows.columns else F.col("json")
+    e = rows.where("kind = 'edge'").select(F.from_json("json", "source string, target string, label string, weight int").alias("x"), order.alias("seq"))
+    return n, collapse_parallel(e.select(F.col("x.source").alias("src"), F.col("x.target").alias("dst"), "x.label", "x.weight", "seq"))
+
+
 def collapse_parallel(edges: DataFrame) -> DataFrame:
     """Edges after a round trip through a graph without parallels: the last attributes of a pair win."""
     return edges.groupBy("src", "dst").agg(F.max_by(F.struct("label", "weight"), "seq").alias("x")).select("src", "dst", "x.label", "x.weight")

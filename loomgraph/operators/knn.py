@@ -19,7 +19,7 @@ def _blocks(df: DataFrame, key: str, vec: str, dim: int, parts: int) -> DataFram
     rows = ok.select(F.col(key).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("v"))
 
     def run(key_, t):
-        x = np.array(t.column("v").to_pylist(), np.float64).reshape(-1, dim)
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         n = np.sqrt((x * x).sum(1))
         keep = n > 0
         x = x[keep] / n[keep, None]
@@ -30,16 +30,34 @@ def _blocks(df: DataFrame, key: str, vec: str, dim: int, parts: int) -> DataFram
     return g.groupBy("b").applyInArrow(run, "ids array<string>, flat binary")
 
 
+def build_index(data: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    """(ids, flat): all usable vectors of ``data`` in blocks of unit vectors; what ``search`` reads."""
+    ship(data.sparkSession)
+    return _blocks(data, key, vec, dim, max(1, -(-data.count() // BLOCK)))
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Write an index as parquet, so that later sessions need not embed or normalise again."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def top_k(queries: DataFrame, q_key: str, q_vec: str, data: DataFrame, key: str, vec: str, k: int, dim: int, skip_self: bool = False) -> DataFrame:
     """(query_id, id, rank, score): the ``k`` nearest by cosine (rounded to 6 decimals, ties to the smaller id as text).
 
     Blocks of queries meet blocks of data; each meeting keeps ``k`` per query, so what
     is shuffled is queries x blocks x k, never queries x rows.
     """
-    ship(data.sparkSession)
-    nd, nq = data.count(), queries.count()
-    d = _blocks(data, key, vec, dim, max(1, -(-nd // BLOCK)))
-    q = _blocks(queries, q_key, q_vec, dim, max(1, -(-nq // BLOCK))).select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
+    return search(build_index(data, key, vec, dim), queries, q_key, q_vec, k, dim, skip_self)
+
+
+def search(index: DataFrame, queries: DataFrame, q_key: str, q_vec: str, k: int, dim: int, skip_self: bool = False) -> DataFrame:
+    """The same against an index that is built already."""
+    ship(index.sparkSession)
+    d, q = index, build_index(queries, q_key, q_vec, dim).select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
     schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
 
     def run(batches):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import hit_count, jaccard, words
 from loomgraph.operators.graph import induced
+from loomgraph.plans.skew import skew_join
 
 TYPES = ("T", "S", "H", "R")
 
@@ -14,21 +15,27 @@ TYPES = ("T", "S", "H", "R")
 def lexical_hits(questions: DataFrame, nodes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(uid, id, score) of N and O nodes whose token Jaccard with the question exceeds the threshold.
 
-    Prefix filter: two sets that similar share one of the first |x| - ceil(t |x|) + 1
-    tokens of either in one order, here by rarity among the nodes. Only those tokens
-    are joined, so a common word joins nothing.
+    Prefix filter: the shared tokens number at least floor(t (|x| + dot)) + 1 of either
+    set x, where dot is 1 unless the set has the token "." itself, so two such sets
+    share one of the first |x| - floor(t (|x| + dot)) tokens of each, in one order,
+    here by rarity among the nodes; and neither set is smaller than that number of
+    the other. Only these tokens are joined. A token of many nodes is split by ``skew_join``
+    where its rank is looked up.
     """
     q = questions.select("uid", F.array_distinct(words(F.lower("question"))).alias("qt")).where("size(qt) > 0")
     n = nodes.where("type in ('N', 'O')").select("id", F.array_distinct(words(F.lower("text"))).alias("nt")).where("size(nt) > 0")
-    freq = n.select(F.explode("nt").alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
+    freq = n.select(F.explode("nt").alias("tok")).groupBy("tok").agg(F.count("*").alias("f")).persist()
 
     def prefix(df: DataFrame, key: str, toks: str) -> DataFrame:
-        e = df.select(key, F.explode(toks).alias("tok"), F.size(toks).alias("len")).join(freq, "tok", "left")
+        size = F.size(toks)
+        least = F.floor(F.lit(threshold) * (size + F.when(F.array_contains(toks, "."), 0).otherwise(1))) + 1
+        e = df.select(key, F.explode(toks).alias("tok"), size.alias("len"), least.alias("least"))
+        e = skew_join(e, freq, ["tok"], freq.withColumnRenamed("f", "n"), "left")
         w = Window.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "tok")
-        e = e.withColumn("r", F.row_number().over(w))
-        return e.where(F.col("r") <= F.col("len") - F.ceil(F.col("len") * F.lit(threshold)) + 1).select(key, "tok")
+        e = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("len") - F.col("least") + 1)
+        return e.select(key, "tok", F.col("len").alias(f"len_{key}"), F.col("least").alias(f"least_{key}"))
 
-    pairs = prefix(q, "uid", "qt").join(prefix(n, "id", "nt"), "tok").select("uid", "id").distinct()
+    pairs = prefix(q, "uid", "qt").join(prefix(n, "id", "nt"), "tok").where("len_uid >= least_id and len_id >= least_uid").select("uid", "id").distinct()
     s = pairs.join(q, "uid").join(n, "id").select("uid", "id", jaccard(F.col("qt"), F.col("nt")).alias("score"))
     return s.where(F.col("score") > threshold).withColumn("score", F.round("score", 6))
 
@@ -81,17 +88,21 @@ def evidence(entry: DataFrame, top: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def evidence_edges(ev: DataFrame, edges: DataFrame) -> DataFrame:
-    """(uid, src, dst, label, seq): edges between nodes of one question's evidence, parallels kept."""
+    """(uid, src, dst, label): edges between nodes of one question's evidence, parallels kept."""
     e = induced(edges, ev)
     a = ev.select("uid", F.col("id").alias("src")).join(e, "src")
-    return a.join(ev.select("uid", F.col("id").alias("dst")), ["uid", "dst"], "left_semi").select("uid", "src", "dst", "label", "seq")
+    return a.join(ev.select("uid", F.col("id").alias("dst")), ["uid", "dst"], "left_semi").select("uid", "src", "dst", "label")
+
+
+def reasoning_hits(ev: DataFrame, chains: DataFrame) -> DataFrame:
+    """(uid, id, hits, p_reason): how often each node's text stands in the reasoning, and its share after smoothing."""
+    h = ev.join(chains.select("uid", "chain"), "uid").withColumn("hits", hit_count(F.col("chain"), F.col("text")))
+    return h.withColumn("p_reason", F.round((F.col("hits") + 1e-6) / F.sum(F.col("hits") + 1e-6).over(Window.partitionBy("uid")), 9))
 
 
 def align(ev: DataFrame, ev_edges: DataFrame, chains: DataFrame, n: int = 5) -> DataFrame:
     """(uid, id, p_reason): the ``n`` nodes that the reasoning mentions most, and their direct successors."""
-    h = ev.join(chains.select("uid", "chain"), "uid").withColumn("hits", hit_count(F.col("chain"), F.col("text")))
-    w = Window.partitionBy("uid")
-    h = h.withColumn("p_reason", F.round((F.col("hits") + 1e-6) / F.sum(F.col("hits") + 1e-6).over(w), 9))
+    h, w = reasoning_hits(ev, chains), Window.partitionBy("uid")
     top = h.withColumn("r", F.row_number().over(w.orderBy(F.desc("p_reason"), "seq"))).where(F.col("r") <= n)
     nxt = top.select("uid", F.col("id").alias("src")).join(ev_edges, ["uid", "src"]).select("uid", F.col("dst").alias("id"))
     keep = top.select("uid", "id").unionByName(nxt).distinct()
