@@ -78,6 +78,10 @@ class OfflineModel:
         said = [s for s in re.split(r"(?<=[.!?])\s+", text) if entity and entity in s]
         return " ".join(" ".join(said).split()[:50])
 
+    def reasoning(self, prompt: str) -> str:
+        """The context of a reasoning prompt, as its own chain of reasons."""
+        return " ".join(prompt.partition("\n\nContext:\n")[2].rpartition("\n\n")[0].split("\n"))
+
     def answer(self, prompt: str) -> str:
         """The evidence line that shares most words with the question, the first at a tie."""
         evidence, _, asked = prompt.partition("\n\nQuestion: ")

@@ -105,13 +105,13 @@ def meteor(pred: list[str], ref: list[str]) -> float:
     return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
 
-_TEXT_METRICS = ("bleu_1", "bleu_4", "bleu_1_smooth", "bleu_4_smooth", "meteor", "rouge_l")
+TEXT_METRICS = ("bleu_1", "bleu_4", "bleu_1_smooth", "bleu_4_smooth", "meteor", "rouge_l")
 
 
 def text_scores(pairs: DataFrame) -> DataFrame:
     """(uid, gold, bleu_1, bleu_4, bleu_1_smooth, bleu_4_smooth, meteor, rouge_l) over white-space words, in Arrow batches."""
     ship(pairs.sparkSession)
-    schema = pa.schema([("uid", pa.string()), ("gold", pa.string()), *((m, pa.float64()) for m in _TEXT_METRICS)])
+    schema = pa.schema([("uid", pa.string()), ("gold", pa.string()), *((m, pa.float64()) for m in TEXT_METRICS)])
     one, four = (1.0,), (0.25,) * 4
 
     def run(batches):
@@ -121,10 +121,10 @@ def text_scores(pairs: DataFrame) -> DataFrame:
             for x, y in zip(p, g):
                 a, r = x.split(), y.split()
                 rows.append([round(v, 6) for v in (bleu(a, r, one), bleu(a, r, four), bleu(a, r, one, 0.1), bleu(a, r, four, 0.1), meteor(a, r), rouge_l(a, r))])
-            cols = list(zip(*rows)) if rows else [()] * len(_TEXT_METRICS)
+            cols = list(zip(*rows)) if rows else [()] * len(TEXT_METRICS)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(g, pa.string()), *(pa.array(c, pa.float64()) for c in cols)], schema=schema)
 
-    ddl = "uid string, gold string, " + ", ".join(f"{m} double" for m in _TEXT_METRICS)
+    ddl = "uid string, gold string, " + ", ".join(f"{m} double" for m in TEXT_METRICS)
     return spread(pairs.select("uid", "prediction", "gold")).mapInArrow(run, ddl)
 
 
@@ -136,7 +136,7 @@ def full_summary(dump: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     pairs = predictions(dump)
     one = score(pairs).join(text_scores(pairs).dropDuplicates(["uid", "gold"]), ["uid", "gold"])
-    metrics = ("f1", "precision", "recall", "exact_match", "accuracy", *_TEXT_METRICS)
+    metrics = ("f1", "precision", "recall", "exact_match", "accuracy", *TEXT_METRICS)
     asked = dump.where("id is not null and answer is not null").select("id", F.concat(F.coalesce("prompt", F.lit("")), "answer").alias("x")).dropDuplicates(["id"])
     tokens = token_counts(asked, "id", "x", vocabulary=vocabulary).agg(F.round(F.avg("tokens"), 6).alias("avg_tokens"))
     return summary(best(one, metrics), metrics).crossJoin(F.broadcast(tokens))  # one row each

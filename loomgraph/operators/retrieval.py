@@ -47,6 +47,19 @@ def entry_points(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return u.join(n, "uid").select("uid", "id", (F.lit(1.0) / F.col("n")).alias("weight"))
 
 
+def reached(entry: DataFrame, edges: DataFrame, steps: int = 2) -> DataFrame:
+    """The edges that ``steps`` steps from the entry points can use: those out of the entry points and of what these lead to.
+
+    A source keeps all its edges, so its probabilities stay the same.
+    """
+    front = entry.select("id").distinct()
+    seen = front
+    for _ in range(steps - 1):
+        front = edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        seen = seen.unionByName(front)
+    return edges.join(seen.distinct().withColumnRenamed("id", "src"), "src", "left_semi")
+
+
 def transitions(edges: DataFrame, direction: str = "out") -> DataFrame:
     """(src, dst, p): weights of parallel edges summed, over the source's total; 'both' also walks edges backwards."""
     e = edges.select("src", "dst", F.coalesce("weight", F.lit(1)).cast("double").alias("w"))

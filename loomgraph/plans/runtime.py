@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of path, length and time of change of all files of some tables."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the store in the shared folder: read where it is complete, else built and written.
+
+    ``key`` names the state of the inputs (``fingerprint``), so a changed input gives
+    another table. The table is written beside its place and then renamed, so readers
+    never see a part of it; of two writers one wins.
+    """
+    where = f"{shared_dir(spark)}/loomgraph-store/{key}/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(f"{where}/_SUCCESS")):
+        new = f"{where}-{uuid.uuid4().hex}"
+        build().write.parquet(new)
+        if not fs.rename(path(new), path(where)) or fs.exists(path(f"{where}/{path(new).getName()}")):
+            fs.delete(path(f"{where}/{path(new).getName()}"), True)  # another writer was first
+            fs.delete(path(new), True)
+    return spark.read.parquet(where)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not see its folder."""
     sc = spark.sparkContext

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import parse_entities, parse_relations, words
 from loomgraph.functions.tokens import token_counts
 from loomgraph.operators import community, documents, evaluation, gnn, graph, knn, nested, retrieval
-from loomgraph.plans.runtime import cut
+from loomgraph.plans import pipeline
+from loomgraph.plans.runtime import cut, fingerprint, stored
+from loomgraph.sources.io import chunk_range
 from loomgraph.sources.tables import table
 from loomgraph.sql import ORACLE
 
@@ -36,6 +38,11 @@ class _Tables:
     def chunks(self) -> DataFrame:
         return graph.unique_chunks(self.t("chunked_output"))
 
+    @cached_property
+    def key(self) -> str:
+        """State of the tables that the graph is built from."""
+        return fingerprint(self.spark, [f"{self.dir}/{t}.parquet" for t in ("chunked_output", "graph_embeddings")])
+
     @cached_property
     def nodes(self) -> DataFrame:
         return graph.nodes_g1(self.t("chunked_output"))
@@ -46,9 +53,8 @@ class _Tables:
 
     @cached_property
     def kept(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges, written once."""
-        self.nodes, self.edges = cut(self.nodes), cut(self.edges)
-        return self.nodes, self.edges
+        """G1, from the store."""
+        return stored(self.spark, "g1_nodes", self.key, lambda: self.nodes), stored(self.spark, "g1_edges", self.key, lambda: self.edges)
 
     @cached_property
     def snr(self) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +63,19 @@ class _Tables:
 
     @cached_property
     def communities(self) -> DataFrame:
-        return community.label_propagation(*self.snr, rounds=2)
+        """A fixed number of rounds, so that SQL can follow."""
+        return stored(self.spark, "communities", self.key, lambda: community.label_propagation(*self.snr, rounds=2))
+
+    @cached_property
+    def axes(self) -> DataFrame:
+        """(id, cluster) of the stored vectors' nodes: a stand-in for KMeans that SQL can follow."""
+        one = self.vectors.where("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x)) and exists(embedding, x -> x <> 0)")
+        return one.groupBy("id").agg(F.min_by(graph.dominant_axis(F.col("embedding")), "vec_id").alias("cluster"))
+
+    @cached_property
+    def final(self) -> pipeline.Graph:
+        """The whole graph, G1 to G5, and its index: built once and stored."""
+        return pipeline.build(self.spark, self.t("chunked_output"), self.key, _graph_near(self), self.axes, lambda n, e: community.label_propagation(n, e, rounds=2))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -66,27 +84,28 @@ class _Tables:
         return q.where("cast(nullif(regexp_extract(uid, '([0-9]+)$', 1), '') as bigint) % 100 = 0")
 
     @cached_property
+    def retrieved(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        return pipeline.retrieve(self.final, self.questions)
+
+    @property
     def entry(self) -> DataFrame:
-        nodes, q = self.kept[0], self.questions
-        data = knn.sparse_embed(nodes.where("type in ('T', 'S', 'H')"), "id", "text")
-        near = knn.top_k(knn.sparse_embed(q, "uid", "question"), "uid", "vec", data, "id", "vec", 10, 384)
-        return cut(retrieval.entry_points(retrieval.lexical_hits(q, nodes), near.select(F.col("query_id").alias("uid"), "id")))
+        return self.retrieved[0]
 
-    @cached_property
+    @property
     def scores(self) -> DataFrame:
-        return cut(retrieval.shallow_ppr(self.entry, retrieval.transitions(self.kept[1])))
+        return self.retrieved[1]
 
-    @cached_property
+    @property
     def top(self) -> DataFrame:
-        return retrieval.top_per_type(self.scores, self.kept[0])
+        return retrieval.top_per_type(self.scores, self.final.nodes)
 
-    @cached_property
+    @property
     def evidence(self) -> DataFrame:
-        return cut(retrieval.evidence(self.entry, self.top, self.kept[0]))
+        return self.retrieved[2]
 
-    @cached_property
+    @property
     def evidence_edges(self) -> DataFrame:
-        return cut(retrieval.evidence_edges(self.evidence, self.kept[1]))
+        return self.retrieved[3]
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -103,6 +122,18 @@ def _doc_concat(t: _Tables) -> DataFrame:
     return graph.offsets(d, "book_id", "doc_id", F.length(F.coalesce("text", F.lit("")))).select("book_id", "doc_id", "start_pos")
 
 
+def _page_text(t: _Tables) -> DataFrame:
+    """A book's documents as its pages, numbered from 0 in the order of their ids."""
+    d = t.t("documents").where("book_id is not null").select("doc_id", "book_id", "text")
+    return graph.offsets(d, "book_id", "doc_id", F.lit(1)).select("book_id", F.col("start_pos").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _graph_embedding(t: _Tables) -> DataFrame:
+    """(uid, pos, mean): the mean of the embedded evidence texts of each question."""
+    ev = t.evidence.where("text is not null").select(F.concat_ws("|", "uid", "id").alias("k"), "uid", "text")
+    return knn.mean_pool(knn.sparse_embed(ev, "k", "text").join(ev.select("k", "uid"), "k"), "uid", "vec")
+
+
 def _embeddings_knn(t: _Tables, k: int, skip: bool) -> DataFrame:
     e = t.t("embeddings").select(F.col("vec_id"), "embedding")
     r = knn.top_k(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", k, 64, skip)
@@ -117,12 +148,6 @@ def _graph_near(t: _Tables) -> DataFrame:
     return n.join(ids.select(F.col("v").alias("query_id"), F.col("node").alias("src")), "query_id").join(ids.select(F.col("v").alias("id"), F.col("node").alias("dst")), "id").select("src", "dst", "rank", "score")
 
 
-def _g5(t: _Tables) -> DataFrame:
-    nodes, g1 = t.kept
-    edges = g1.unionByName(graph.g4_edges(t.t("chunked_output"), nodes))
-    return graph.g5_edges(edges, _graph_near(t), t.communities)
-
-
 def _context(t: _Tables) -> DataFrame:
     return cut(community.community_context(*t.kept, t.communities))
 
@@ -177,6 +202,9 @@ _QUERIES: dict[str, Query] = {
     "word_tokens": _q(lambda t: documents.word_counts(t.t("documents"))),
     "chunk": _q(lambda t: documents.chunk_rows(t.t("documents"))),
     "chunk_stats": _q(lambda t: documents.chunk_rows(t.t("documents")).select("doc_id", "chunk_no", "n_words")),
+    "chunk_range": _q(lambda t: chunk_range(documents.chunk_rows(t.t("documents")), "chunk_no", 1, 3).select("doc_id", "chunk_no", "n_words")),
+    "page_text": _q(_page_text),
+    "entity_attributes": _q(lambda t: documents.entity_attributes(t.chunks)),
     "enrich": _q(lambda t: documents.enrich(documents.chunk_rows(t.t("documents"))).select("chunk_id", "summary", F.size("entities").alias("entities"), F.size("relations").alias("relations"))),
     "parse_entities": _q(lambda t: t.t("relations").where("raw is not null").select("rel_id", F.explode(parse_entities(F.col("raw"))).alias("entity")).distinct()),
     "parse_relations": _q(lambda t: t.t("relations").where("raw is not null").select("rel_id", F.explode(parse_relations(F.col("raw"))).alias("x")).select("rel_id", "x.*").distinct()),
@@ -193,7 +221,10 @@ _QUERIES: dict[str, Query] = {
     "g4_edges": _q(lambda t: graph.g4_edges(t.t("chunked_output"), t.kept[0]).select("src", "dst", "label")),
     "upsert_edges": _q(lambda t: graph.upsert_edges(t.kept[1], graph.g4_edges(t.t("chunked_output"), t.kept[0]))),
     "collapse_parallel": _q(lambda t: graph.collapse_parallel(t.edges).select("src", "dst", "label")),
-    "graph_json": _q(lambda t: graph.to_json(t.nodes, t.edges)),
+    "graph_json": _q(lambda t: graph.to_json(t.nodes, t.edges).select("kind", "json")),
+    "json_graph": _q(lambda t: graph.from_json(graph.to_json(t.nodes, t.edges))[1].select("src", "dst", "label")),
+    "communities": _q(lambda t: community.communities(*t.snr)),
+    "communities_modularity": _q(lambda t: community.modularity(t.snr[1], cut(community.communities(*t.snr)))),
     "components": _q(lambda t: community.components(*t.snr)),
     "label_propagation": _q(lambda t: t.communities),
     "modularity": _q(lambda t: community.modularity(t.snr[1], t.communities)),
@@ -205,14 +236,19 @@ _QUERIES: dict[str, Query] = {
     "knn": _q(lambda t: _embeddings_knn(t, 10, False)),
     "vector_topk": _q(lambda t: _embeddings_knn(t, 30, True)),
     "graph_knn": _q(lambda t: _graph_near(t).select("src", "dst", "score")),
-    "g5_edges": _q(lambda t: _g5(t).withColumn("weight", F.coalesce("weight", F.lit(1)))),
+    "g5_edges": _q(lambda t: t.final.edges.withColumn("weight", F.coalesce("weight", F.lit(1)))),
     "mean_pool": _q(lambda t: knn.mean_pool(t.t("embeddings"), "label", "embedding").select("label", F.col("pos").cast("bigint").alias("pos"), "mean")),
     "token_jaccard": _q(lambda t: retrieval.lexical_hits(t.t("musique").where("id is not null and question is not null").select(F.col("id").alias("uid"), "question").dropDuplicates(["uid"]), t.nodes)),
     "entry_points": _q(lambda t: t.entry.select("uid", "id", F.round("weight", 6).alias("weight"))),
     "ppr": _q(lambda t: t.scores.select("uid", "id", F.round("score", 6).alias("score"))),
     "topm_per_type": _q(lambda t: t.top.select("uid", "id", "type", "rank")),
     "induced_subgraph": _q(lambda t: t.evidence_edges.select("uid", "src", "dst", "label")),
+    "reasoning_hits": _q(lambda t: retrieval.reasoning_hits(t.evidence, _chains(t, t.evidence)).select("uid", "id", F.col("hits").cast("bigint").alias("hits"), "p_reason")),
     "align": _q(_align),
+    "answers": _q(lambda t: pipeline.answer(t.final, t.questions).select("uid", "prompt", "answer")),
+    "gnn_features": _q(lambda t: t.final.nodes.select("id", gnn.one_hot(F.col("type")).alias("x"))),
+    "g3_groups": _q(lambda t: graph.semantic_groups(pipeline.clusters(t.final.nodes).join(t.communities, "id"))),
+    "graph_embedding": _q(_graph_embedding),
     "gnn_align": _q(_gnn),
     "textualize": _q(_graph_text),
     "prompt": _q(lambda t: retrieval.prompt(t.questions, _graph_text(t))),
@@ -224,6 +260,11 @@ _QUERIES: dict[str, Query] = {
     "qa_substring": _q(lambda t: _scores(t).select("uid", "gold", "accuracy").distinct()),
     "qa_best": _q(lambda t: evaluation.best(_scores(t))),
     "qa_summary": _q(lambda t: evaluation.summary(evaluation.best(_scores(t)))),
+    "qa_samples": _q(lambda t: evaluation.load_questions(t.t("musique"), 50).select("id", "question")),
+    "qa_bleu": _q(lambda t: evaluation.text_scores(evaluation.predictions(t.t("eval_dump"))).select("uid", "gold", *[c for c in evaluation.TEXT_METRICS if c.startswith("bleu")]).distinct()),
+    "qa_meteor": _q(lambda t: evaluation.text_scores(evaluation.predictions(t.t("eval_dump"))).select("uid", "gold", "meteor").distinct()),
+    "qa_rouge_l": _q(lambda t: evaluation.text_scores(evaluation.predictions(t.t("eval_dump"))).select("uid", "gold", "rouge_l").distinct()),
+    "qa_full_summary": _q(lambda t: evaluation.full_summary(t.t("eval_dump"))),
     "qa_text_metrics": _q(lambda t: evaluation.text_scores(evaluation.predictions(t.t("eval_dump")))),
     "token_count": _q(_token_count),
     "answer_words": _q(lambda t: t.t("eval_dump").where("answer is not null").select("id", F.size(words(F.col("answer"))).alias("n")).distinct()),

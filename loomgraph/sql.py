@@ -66,9 +66,9 @@ ho AS (SELECT community, hl_summary, title FROM hl JOIN ttl USING (community) WH
 _QUESTIONS = """q AS (SELECT id AS uid, any_value(question) AS question FROM musique WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY id)"""
 
 
-def _jaccard(q: str) -> str:
+def _jaccard(q: str, nodes: str = "nodes") -> str:
     return f"""qt AS (SELECT uid, list_distinct({_words("lower(question)")}) AS qt FROM {q}),
-nt AS (SELECT id, list_distinct({_words("lower(text)")}) AS nt FROM nodes WHERE type IN ('N', 'O')),
+nt AS (SELECT id, list_distinct({_words("lower(text)")}) AS nt FROM {nodes} WHERE type IN ('N', 'O')),
 lex AS (SELECT uid, id, len(list_intersect(qt, nt)) / len(list_distinct(list_concat(list_concat(qt, nt), ['.']))) AS score FROM qt, nt WHERE len(list_intersect(qt, nt)) > 0)"""
 
 
@@ -77,11 +77,35 @@ def _embed(name: str, src: str, key: str, text: str) -> str:
 {name} AS (SELECT k, b, n / sqrt(sum(n * n) OVER (PARTITION BY k)) AS x FROM {name}_n)"""
 
 
-_ENTRY = f"""{_NODES},
+def _near(table: str, key: str, k: int, skip: bool) -> str:
+    return f"""SELECT query_id, id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM (
+    SELECT a.{key} AS query_id, b.{key} AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS score FROM {table} a, {table} b
+    WHERE a.{key} % 100 = 0{f" AND a.{key} <> b.{key}" if skip else ""})) WHERE rank <= {k}"""
+
+
+_VEC = """v AS (SELECT vec_id, any_value(id) AS id, any_value(embedding) AS embedding FROM graph_embeddings WHERE id IS NOT NULL AND vec_id IS NOT NULL GROUP BY vec_id),
+u AS (SELECT * FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)"""
+_GNEAR = f"gn AS (SELECT a.id AS src, b.id AS dst, n.score FROM ({_near('u', 'vec_id', 10, True)}) n JOIN u a ON a.vec_id = n.query_id JOIN u b ON b.vec_id = n.id)"
+
+_FINAL = f"""{_HO},
+{_VEC},
+{_GNEAR},
+fnodes AS (SELECT * FROM nodes UNION ALL SELECT 'H_' || community, 'H', hl_summary, '~H_' || community, 6, 0, 0 FROM ho UNION ALL SELECT 'O_' || community, 'O', title, '~O_' || community, 6, 0, 0 FROM ho),
+axis AS (SELECT id, arg_min(list_position(list_transform(embedding, lambda x: abs(x)), list_max(list_transform(embedding, lambda x: abs(x)))), vec_id) AS cluster FROM u GROUP BY id),
+grp AS (SELECT axis.id, cluster, community FROM axis JOIN l2 USING (id) JOIN nodes USING (id) WHERE nodes.type = 'S'),
+pr AS (SELECT DISTINCT gn.src, gn.dst FROM gn LEFT JOIN l2 a ON a.id = gn.src LEFT JOIN l2 b ON b.id = gn.dst WHERE gn.src <> gn.dst AND a.community IS NOT DISTINCT FROM b.community),
+alle AS (SELECT src, dst, label FROM edges UNION ALL SELECT src, dst, label FROM g4 UNION ALL SELECT 'O_' || community, 'H_' || community, 'overview_of' FROM ho
+    UNION ALL SELECT 'H_' || ho.community, nodes.id, 'summarizes' FROM nodes JOIN l2 USING (id) JOIN ho ON ho.community = l2.community WHERE nodes.type = 'S'),
+srel AS (SELECT pr.src, pr.dst FROM pr JOIN grp a ON a.id = pr.src JOIN grp b ON b.id = pr.dst AND b.cluster = a.cluster AND b.community = a.community WHERE pr.src < pr.dst),
+fedges AS (SELECT src, dst, label, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM pr) THEN 2 ELSE 1 END::INT AS weight FROM alle
+    UNION ALL SELECT src, dst, 'semantically_related', 2 FROM srel
+    UNION ALL SELECT src, dst, 'semantic_hnsw', 1 FROM pr WHERE (src, dst) NOT IN (SELECT (src, dst) FROM alle) AND (src, dst) NOT IN (SELECT (src, dst) FROM srel))"""
+
+_ENTRY = f"""{_FINAL},
 {_QUESTIONS},
 qs AS (SELECT * FROM q WHERE TRY_CAST(regexp_extract(uid, '([0-9]+)$', 1) AS BIGINT) % 100 = 0),
-{_jaccard("qs")},
-src_nodes AS (SELECT id, text FROM nodes WHERE type IN ('T', 'S', 'H')),
+{_jaccard("qs", "fnodes")},
+src_nodes AS (SELECT id, text FROM fnodes WHERE type IN ('T', 'S', 'H')),
 {_embed("ne", "src_nodes", "id", "text")},
 {_embed("qe", "qs", "uid", "question")},
 cosv AS (SELECT qe.k AS uid, ne.k AS id, round(sum(qe.x * ne.x), 6) AS score FROM qe JOIN ne USING (b) GROUP BY 1, 2),
@@ -89,14 +113,14 @@ near AS (SELECT uid, id FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDE
 entry0 AS (SELECT uid, id FROM near UNION SELECT uid, id FROM lex WHERE score > 0.3),
 entry AS (SELECT uid, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY uid) AS weight FROM entry0)"""
 _PPR = f"""{_ENTRY},
-w AS (SELECT src, dst, count(*)::DOUBLE AS w FROM edges GROUP BY src, dst),
+w AS (SELECT src, dst, sum(weight)::DOUBLE AS w FROM fedges GROUP BY src, dst),
 p AS (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src) + 1e-8) AS p FROM w),
 s1 AS (SELECT uid, id, sum(s) AS s FROM (SELECT uid, id, 0.5 * weight AS s FROM entry UNION ALL SELECT uid, dst, 0.5 * weight * p FROM entry JOIN p ON entry.id = p.src) GROUP BY uid, id),
 s2 AS (SELECT uid, id, round(sum(s), 9) AS score FROM (SELECT uid, id, 0.5 * weight AS s FROM entry UNION ALL SELECT uid, dst, 0.5 * s * p FROM s1 JOIN p ON s1.id = p.src) GROUP BY uid, id),
-cand AS (SELECT u.uid, nodes.id, nodes.type, coalesce(s2.score, 0) AS score, k1, k2, k3, k4 FROM (SELECT DISTINCT uid FROM s2) u CROSS JOIN (SELECT * FROM nodes WHERE type IN ('T', 'S', 'H', 'R')) nodes LEFT JOIN s2 ON s2.uid = u.uid AND s2.id = nodes.id),
+cand AS (SELECT u.uid, nodes.id, nodes.type, coalesce(s2.score, 0) AS score, k1, k2, k3, k4 FROM (SELECT DISTINCT uid FROM s2) u CROSS JOIN (SELECT * FROM fnodes WHERE type IN ('T', 'S', 'H', 'R')) nodes LEFT JOIN s2 ON s2.uid = u.uid AND s2.id = nodes.id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, type ORDER BY score DESC, k1, k2, k3, k4) AS rank FROM cand) WHERE rank <= 5),
-ev AS (SELECT DISTINCT x.uid, nodes.id, nodes.type, nodes.text, k1, k2, k3, k4 FROM (SELECT uid, id FROM entry UNION SELECT uid, id FROM top) x JOIN nodes USING (id) WHERE nodes.type IN ('T', 'S', 'H', 'R')),
-eve AS (SELECT a.uid, e.src, e.dst, e.label FROM edges e JOIN ev a ON a.id = e.src JOIN ev b ON b.id = e.dst AND b.uid = a.uid)"""
+ev AS (SELECT DISTINCT x.uid, nodes.id, nodes.type, nodes.text, k1, k2, k3, k4 FROM (SELECT uid, id FROM entry UNION SELECT uid, id FROM top) x JOIN fnodes nodes USING (id) WHERE nodes.type IN ('T', 'S', 'H', 'R')),
+eve AS (SELECT a.uid, e.src, e.dst, e.label FROM fedges e JOIN ev a ON a.id = e.src JOIN ev b ON b.id = e.dst AND b.uid = a.uid)"""
 _LINES = f"""{_PPR},
 lines AS (SELECT uid, 0 AS k, id AS o1, '' AS o2, '' AS o3, '[' || type || ': ' || id || '] ' || replace(trim(coalesce(text, '')), chr(10), ' ') AS line FROM ev
     UNION ALL SELECT uid, 1, src, dst, label, '[EDGE: ' || src || ' → ' || dst || '] ' || label FROM eve),
@@ -104,8 +128,8 @@ gt AS (SELECT uid, string_agg(line, chr(10) ORDER BY k, o1, o2, o3) AS graph_tex
 _ALIGN = f"""{_PPR},
 chain AS (SELECT uid, string_agg(text, ' ' ORDER BY id) AS chain FROM ev WHERE type = 'S' GROUP BY uid),
 hits AS (SELECT ev.*, CASE WHEN coalesce(text, '') = '' THEN length(lower(chain)) + 1 ELSE (length(lower(chain)) - length(replace(lower(chain), lower(text), ''))) // length(lower(text)) END AS hits FROM ev JOIN chain USING (uid)),
-pr AS (SELECT *, round((hits + 1e-6) / sum(hits + 1e-6) OVER (PARTITION BY uid), 9) AS p_reason FROM hits),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p_reason DESC, k1, k2, k3, k4) AS r FROM pr) WHERE r <= 5),
+prs AS (SELECT *, round((hits + 1e-6) / sum(hits + 1e-6) OVER (PARTITION BY uid), 9) AS p_reason FROM hits),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p_reason DESC, k1, k2, k3, k4) AS r FROM prs) WHERE r <= 5),
 keep AS (SELECT uid, id FROM best UNION SELECT eve.uid, eve.dst FROM best JOIN eve ON eve.uid = best.uid AND eve.src = best.id)"""
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -132,16 +156,6 @@ _SENT = rf"""s0 AS (SELECT doc_id, list_filter(string_split(regexp_replace({_TRI
 s AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS sent_no, unnest(a) AS sentence FROM s0)"""
 
 
-def _near(table: str, key: str, k: int, skip: bool) -> str:
-    return f"""SELECT query_id, id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS rank FROM (
-    SELECT a.{key} AS query_id, b.{key} AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS score FROM {table} a, {table} b
-    WHERE a.{key} % 100 = 0{f" AND a.{key} <> b.{key}" if skip else ""})) WHERE rank <= {k}"""
-
-
-_VEC = """v AS (SELECT vec_id, any_value(id) AS id, any_value(embedding) AS embedding FROM graph_embeddings WHERE id IS NOT NULL AND vec_id IS NOT NULL GROUP BY vec_id),
-u AS (SELECT * FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)"""
-_GNEAR = f"gn AS (SELECT a.id AS src, b.id AS dst, n.score FROM ({_near('u', 'vec_id', 10, True)}) n JOIN u a ON a.vec_id = n.query_id JOIN u b ON b.vec_id = n.id)"
-
 _P7 = r"""WITH mu AS (SELECT id, any_value(paragraphs) AS ps, any_value(answer_aliases) AS al FROM musique WHERE id IS NOT NULL GROUP BY id),
 par AS (SELECT id AS record_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM mu),
 ali AS (SELECT id AS record_id, unnest(al) AS x, unnest(range(len(al))) AS pos FROM mu),
@@ -162,6 +176,20 @@ ends AS (SELECT rid, CASE WHEN json_type(v, '$.source') = 'OBJECT' THEN v ->> '$
 edge AS (SELECT rid, a || '>' || b || '>' || label AS k FROM ends WHERE a IS NOT NULL AND b IS NOT NULL)
 """
 
+# the fold over sentences: word counts and texts of the open chunk's items; a chunk that is full leaves its last items, at least 40 words, as one item
+_FULL = "len(cur) > 0 AND list_sum(cur) + n > 400"
+_FROM = "len(cur) - least(len(cur), 1 + len(list_filter(range(1, len(cur) + 1), lambda j: list_sum(cur[len(cur) - j + 1:]) < 40))) + 1"
+_CHUNKED = f"""WITH RECURSIVE {_SENT},
+sw AS (SELECT doc_id, sent_no, sentence, len({_words("sentence")})::BIGINT AS n FROM s),
+f AS (SELECT doc_id, -1::BIGINT AS sent_no, []::BIGINT[] AS cur, []::VARCHAR[] AS txt, NULL::BIGINT AS done, NULL::VARCHAR AS text, 0::BIGINT AS no FROM (SELECT DISTINCT doc_id FROM sw)
+    UNION ALL SELECT f.doc_id, sw.sent_no::BIGINT,
+        CASE WHEN {_FULL} THEN [list_sum(cur[{_FROM}:])::BIGINT, n] ELSE list_append(cur, n) END,
+        CASE WHEN {_FULL} THEN [array_to_string(txt[{_FROM}:], ' '), sentence] ELSE list_append(txt, sentence) END,
+        CASE WHEN {_FULL} THEN list_sum(cur)::BIGINT END, CASE WHEN {_FULL} THEN array_to_string(txt, ' ') END, CASE WHEN {_FULL} THEN no + 1 ELSE no END
+    FROM f JOIN sw ON sw.doc_id = f.doc_id AND sw.sent_no = f.sent_no + 1)
+SELECT doc_id, no - 1 AS chunk_no, done AS n_words, text FROM f WHERE done IS NOT NULL
+UNION ALL SELECT doc_id, no, list_sum(cur)::BIGINT, array_to_string(txt, ' ') FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no DESC) AS r FROM f) WHERE r = 1 AND len(cur) > 0"""
+
 
 def _blank(c: str) -> str:
     return f"coalesce(regexp_replace({c}, '[\\s\\p{{Z}}\\x{{200B}}\\x{{FEFF}}]+', '', 'g'), '') = ''"
@@ -179,16 +207,10 @@ FROM par WHERE NOT {_blank("x.paragraph_text")}""",
     "doc_concat": "SELECT coalesce(book_id, -1) AS book_id, doc_id, (sum(length(coalesce(text, ''))) OVER (PARTITION BY coalesce(book_id, -1) ORDER BY doc_id) - length(coalesce(text, '')))::BIGINT AS start_pos FROM documents",
     "sentence_split": f"WITH {_SENT} SELECT doc_id, sent_no::BIGINT AS sent_no, sentence FROM s",
     "word_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_words('text')}) AS token FROM documents) GROUP BY token",
-    "chunk_stats": f"""WITH RECURSIVE {_SENT},
-sw AS (SELECT doc_id, sent_no, len({_words("sentence")})::BIGINT AS n FROM s),
-f AS (SELECT doc_id, -1::BIGINT AS sent_no, []::BIGINT[] AS cur, NULL::BIGINT AS done, 0::BIGINT AS no FROM (SELECT DISTINCT doc_id FROM sw)
-    UNION ALL SELECT f.doc_id, sw.sent_no::BIGINT,
-        CASE WHEN len(cur) > 0 AND list_sum(cur) + n > 400 THEN [list_sum(cur[len(cur) - least(len(cur), 1 + len(list_filter(range(1, len(cur) + 1), lambda j: list_sum(cur[len(cur) - j + 1:]) < 40))) + 1:])::BIGINT, n] ELSE list_append(cur, n) END,
-        CASE WHEN len(cur) > 0 AND list_sum(cur) + n > 400 THEN list_sum(cur)::BIGINT END,
-        CASE WHEN len(cur) > 0 AND list_sum(cur) + n > 400 THEN no + 1 ELSE no END
-    FROM f JOIN sw ON sw.doc_id = f.doc_id AND sw.sent_no = f.sent_no + 1)
-SELECT doc_id, no - 1 AS chunk_no, done AS n_words FROM f WHERE done IS NOT NULL
-UNION ALL SELECT doc_id, no, list_sum(cur)::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no DESC) AS r FROM f) WHERE r = 1 AND len(cur) > 0""",
+    "chunk_stats": f"SELECT doc_id, chunk_no, n_words FROM ({_CHUNKED})",
+    "chunk_range": f"WITH x AS ({_CHUNKED}) SELECT doc_id, chunk_no, n_words FROM x WHERE chunk_no >= 1 AND chunk_no < 3",
+    "chunk": f"SELECT md5(doc_id || '|' || chunk_no) AS chunk_id, doc_id, chunk_no, n_words, text FROM ({_CHUNKED})",
+    "page_text": "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS page_no, coalesce(text, '') AS text FROM documents WHERE book_id IS NOT NULL",
     "parse_entities": """SELECT DISTINCT rel_id, entity FROM (SELECT rel_id, unnest(regexp_extract_all(raw, '"([a-zA-Z][^"]*[a-zA-Z])"', 1)) AS entity FROM relations WHERE raw IS NOT NULL)""",
     "parse_relations": """WITH t AS (SELECT rel_id, raw, '[''"]?Source[''"]?\\s*:\\s*[''"]?([^,''"}]+)[''"]?\\s*,\\s*[''"]?Relationship[''"]?\\s*:\\s*[''"]?([^,''"}]+)[''"]?\\s*,\\s*[''"]?Destination[''"]?\\s*:\\s*[''"]?([^,''"}]+)[''"]?' AS p FROM relations WHERE raw IS NOT NULL)
 SELECT DISTINCT rel_id, unnest(regexp_extract_all(raw, p, 1)) AS "Source", unnest(regexp_extract_all(raw, p, 2)) AS "Relationship", unnest(regexp_extract_all(raw, p, 3)) AS "Destination" FROM t""",
@@ -207,6 +229,11 @@ SELECT x.task AS task, sum(x.ok)::BIGINT AS processed, sum(1 - x.ok)::BIGINT AS
     "out_degree": f"WITH {_NODES} SELECT src, count(*) AS degree FROM edges GROUP BY src",
     "g4_edges": f"WITH {_NODES} SELECT src, dst, label FROM g4",
     "upsert_edges": f"WITH {_NODES} SELECT DISTINCT src, dst, label FROM (SELECT src, dst, label FROM edges UNION ALL SELECT src, dst, label FROM g4)",
+    "json_graph": f"WITH {_NODES} SELECT src, dst, label FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS r FROM edges) WHERE r = 1",
+    "graph_json": f"WITH {_NODES} SELECT 'node' AS kind, to_json({{'id': id, 'type': type, 'text': text}})::VARCHAR AS json FROM nodes UNION ALL SELECT 'edge', to_json({{'source': src, 'target': dst, 'label': label, 'weight': NULL::INT}})::VARCHAR FROM edges",
+    "components": f"""WITH RECURSIVE {_SNR},
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM snr UNION SELECT two.b, min(cc.comp) FROM cc JOIN two ON two.a = cc.id JOIN recurring.cc r ON r.id = two.b WHERE cc.comp < r.comp GROUP BY two.b)
+SELECT id, comp AS component FROM cc""",
     "collapse_parallel": f"WITH {_NODES} SELECT src, dst, label FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS r FROM edges) WHERE r = 1",
     "label_propagation": f"WITH {_COMM} SELECT id, community FROM l2",
     "modularity": f"""WITH {_COMM}, e AS (SELECT a.community AS ca, b.community AS cb FROM snr_edges JOIN l2 a ON a.id = src JOIN l2 b ON b.id = dst), tot AS (SELECT count(*)::DOUBLE AS m FROM e),
@@ -219,18 +246,16 @@ SELECT round(sum(l / m - (d / (2 * m)) * (d / (2 * m))), 6) AS modularity FROM x
     "knn": _near("embeddings", "vec_id", 10, False),
     "vector_topk": _near("embeddings", "vec_id", 30, True),
     "graph_knn": f"WITH {_VEC}, {_GNEAR} SELECT src, dst, score FROM gn",
-    "g5_edges": f"""WITH {_COMM}, {_VEC}, {_GNEAR},
-pr AS (SELECT DISTINCT gn.src, gn.dst FROM gn LEFT JOIN l2 a ON a.id = gn.src LEFT JOIN l2 b ON b.id = gn.dst WHERE gn.src <> gn.dst AND a.community IS NOT DISTINCT FROM b.community),
-alle AS (SELECT src, dst, label FROM edges UNION ALL SELECT src, dst, label FROM g4)
-SELECT src, dst, label, CASE WHEN (src, dst) IN (SELECT (src, dst) FROM pr) THEN 2 ELSE 1 END::INT AS weight FROM alle
-UNION ALL SELECT src, dst, 'semantic_hnsw', 1 FROM pr WHERE (src, dst) NOT IN (SELECT (src, dst) FROM alle)""",
+    "g5_edges": f"WITH {_FINAL} SELECT src, dst, label, weight FROM fedges",
     "mean_pool": "SELECT label, pos::BIGINT AS pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY label, pos",
     "token_jaccard": f"WITH {_NODES}, {_QUESTIONS}, {_jaccard('q')} SELECT uid, id, round(score, 6) AS score FROM lex WHERE score > 0.3",
     "entry_points": f"WITH {_ENTRY} SELECT uid, id, round(weight, 6) AS weight FROM entry",
     "ppr": f"WITH {_PPR} SELECT uid, id, round(score, 6) AS score FROM s2",
     "topm_per_type": f"WITH {_PPR} SELECT uid, id, type, rank::INT AS rank FROM top",
     "induced_subgraph": f"WITH {_PPR} SELECT uid, src, dst, label FROM eve",
-    "align": f"WITH {_ALIGN} SELECT uid, id, p_reason FROM pr JOIN keep USING (uid, id)",
+    "reasoning_hits": f"WITH {_ALIGN} SELECT uid, id, hits::BIGINT AS hits, p_reason FROM prs",
+    "gnn_features": f"WITH {_FINAL} SELECT id, [(coalesce(type, '') = 'T')::DOUBLE, (coalesce(type, '') = 'S')::DOUBLE, (coalesce(type, '') = 'N')::DOUBLE, (coalesce(type, '') = 'R')::DOUBLE, (coalesce(type, '') = 'H')::DOUBLE, (coalesce(type, '') = 'O')::DOUBLE, 0.0::DOUBLE] AS x FROM fnodes",
+    "align": f"WITH {_ALIGN} SELECT uid, id, p_reason FROM prs JOIN keep USING (uid, id)",
     "textualize": f"WITH {_LINES} SELECT uid, graph_text FROM gt",
     "prompt": f"WITH {_LINES} SELECT uid, 'Answer the question from the evidence graph alone.' || chr(10) || chr(10) || 'Evidence:' || chr(10) || graph_text || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM gt JOIN qs USING (uid)",
     "reasoning_prompt": f"WITH {_PPR}, cx AS (SELECT uid, string_agg(text, chr(10) ORDER BY id, text) AS context FROM ev WHERE coalesce(text, '') <> '' GROUP BY uid) SELECT uid, 'Question: ' || question || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Reason step by step from the context.' AS prompt FROM cx JOIN qs USING (uid)",
@@ -243,5 +268,12 @@ SELECT id, question, array_to_string(list_sort(list_distinct(list_filter(list_tr
     "qa_substring": f"WITH {_PAIRS} SELECT DISTINCT uid, gold, accuracy FROM sc",
     "qa_best": f"WITH {_PAIRS} SELECT * FROM bst",
     "qa_summary": f"WITH {_PAIRS} SELECT count(*) AS questions, round(avg(f1), 6) AS f1, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(exact_match), 6) AS exact_match, round(avg(accuracy), 6) AS accuracy FROM bst",
+    "qa_samples": "SELECT id, any_value(question) AS question FROM musique WHERE id IS NOT NULL AND coalesce(answerable, true) GROUP BY id ORDER BY id LIMIT 50",
+    "qa_bleu": f"""WITH {_PAIRS}, bt AS (SELECT DISTINCT uid, gold, {_words("prediction")} AS a, {_words("gold")} AS r FROM pairs),
+gr AS (SELECT uid, gold, n, list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], chr(1))) AS ga, list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], chr(1))) AS gr FROM bt, range(1, 5) t(n)),
+hit AS (SELECT uid, gold, n, greatest(len(ga), 1) AS total, coalesce(list_sum(list_transform(list_distinct(ga), lambda g: least(len(list_filter(ga, lambda x: x = g)), len(list_filter(gr, lambda x: x = g))))), 0) AS h FROM gr),
+pn AS (SELECT uid, gold, max(CASE WHEN n = 1 THEN h END) AS h1, max(CASE WHEN n = 1 THEN h / total END) AS p1, avg(ln(CASE WHEN h > 0 THEN h / total ELSE 2.2250738585072014e-308 END)) AS raw, avg(ln(CASE WHEN h > 0 THEN h / total ELSE 0.1 / total END)) AS smooth FROM hit GROUP BY uid, gold),
+bp AS (SELECT uid, gold, CASE WHEN len(a) = 0 THEN 0 WHEN len(a) > len(r) THEN 1 ELSE exp(1 - len(r) / len(a)) END::DOUBLE AS bp FROM bt)
+SELECT uid, gold, CASE WHEN h1 > 0 THEN round(bp * p1, 6) ELSE 0 END AS bleu_1, CASE WHEN h1 > 0 THEN round(bp * exp(raw), 6) ELSE 0 END AS bleu_4, CASE WHEN h1 > 0 THEN round(bp * p1, 6) ELSE 0 END AS bleu_1_smooth, CASE WHEN h1 > 0 THEN round(bp * exp(smooth), 6) ELSE 0 END AS bleu_4_smooth FROM pn JOIN bp USING (uid, gold)""",
     "answer_words": f"SELECT DISTINCT id, len({_words('answer')})::INT AS n FROM eval_dump WHERE answer IS NOT NULL",
 }

@@ -56,6 +56,8 @@ def test_stream_and_retry(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), "doc_id BIGINT, text STRING", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/chunks")).collect()
+    nodes, edges = ingest.merged_graph(spark, str(tmp_path / "out"))
+    assert {r.type for r in nodes.collect()} >= {"T", "S", "N"} and edges.where("label = 'derived_from'").count() == 1
     assert [(r.doc_id, r.n_words) for r in got] == [(1, 8)] and "Bob Stone" in got[0].entities
     todo = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     done, left = ingest.retry(todo, lambda x: x.where("doc_id = 'a'"))
@@ -79,3 +81,77 @@ def test_oracles_are_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_model_calls_fail_to_null_and_are_repeated(spark):
+    seen = []
+
+    def sometimes(x):
+        seen.append(x)
+        if len(seen) < 3:
+            raise OSError
+        return x
+
+    assert documents.call(sometimes, "a") == "a" and len(seen) == 3 and documents.call(lambda: 1 / 0) is None
+
+    class Broken(documents.OfflineModel):
+        def summary(self, text):
+            raise OSError
+
+    r = documents.enrich(spark.createDataFrame([("1", "A Bo met Cy Dee.")], "id string, text string"), Broken).first()
+    assert r.summary is None and r.entities
+    e = documents.entity_attributes(spark.createDataFrame([("1", "Bo Li left. He saw Cy. Cy stayed.", ["Cy", " ", None, "Cy"]), ("2", None, ["x"])], "id string, text string, entities array<string>")).collect()
+    assert [tuple(x) for x in e] == [("1", "Cy", "He saw Cy. Cy stayed.")]
+
+
+def test_readers_and_progress(spark, tmp_path, monkeypatch):
+    g = {"nodes": [{"id": "a", "type": "T"}, {"id": "b", "community": 3}], "edges": [{"source": "a", "target": "b", "label": "x"}, {"source": "a", "target": "b", "label": "y", "weight": 2}]}
+    (tmp_path / "g.json").write_text(json.dumps(g))
+    nodes, edges = io.read_graph_json(spark, str(tmp_path / "g.json"))
+    assert nodes.count() == 2 and [(r.label, r.weight) for r in edges.collect()] == [("y", 2)]
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError):
+        io.read_graph_json(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "d.json").write_text(json.dumps({"u": {"query": "q", "answers": [["x"]], "G_raw": g, "answer": None}, "w": {"id": "w2"}}))
+    d = {r.id: r for r in io.read_eval_dump(spark, str(tmp_path / "d.json")).collect()}
+    assert set(d) == {"u", "w2"} and json.loads(d["u"].g_raw) == g and d["u"].answers == [["x"]]
+    left = spark.createDataFrame([("7",)], "doc_id string")
+    assert io.load_progress(spark, str(tmp_path / "p"), "entity")[0] == 0
+    io.save_progress(spark, str(tmp_path / "p"), "entity", 5, left)
+    n, rows = io.load_progress(spark, str(tmp_path / "p"), "entity")
+    assert n == 5 and [r.doc_id for r in rows.collect()] == ["7"]
+    io.delete_progress(spark, str(tmp_path / "p"), "entity")
+    assert io.load_progress(spark, str(tmp_path / "p"), "entity")[0] == 0
+    monkeypatch.setenv("LOOMGRAPH_DEPTH", "3")
+    assert io.settings(spark, depth="1", other="o") == {"depth": "3", "other": "o"}
+    pages = spark.createDataFrame([("f", 1, "b"), ("f", 0, "a"), ("f", 2, None)], "path string, page_no bigint, text string")
+    assert io.join_pages(pages).first().text == "ab"
+    ctx = spark.createDataFrame([("c", "summary", "s2", 2), ("c", "summary", "s1", 1), ("c", "relation", "r", 0)], "community string, kind string, text string, seq int")
+    io.write_community_map(ctx, spark.createDataFrame([("c", "h", "t")], "community string, hl_summary string, title string"), str(tmp_path / "cm"))
+    r = spark.read.json(str(tmp_path / "cm")).first()
+    assert r.summary_texts == ["s1", "s2"] and r.relation_texts == ["r"] and r.title == "t"
+
+
+def test_store_builds_once_and_pipeline_answers(spark):
+    from loomgraph.operators import evaluation as ev
+    from loomgraph.plans import pipeline
+    from loomgraph.plans.runtime import stored
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    assert stored(spark, "x", "k1", build).count() == stored(spark, "x", "k1", build).count() == 3 and len(calls) == 1
+    rows = [(str(i), 1, i, f"Ann Bo of unit {i} treats fever with drug{i}.", f"Ann Bo treats with drug{i}.", ["Ann Bo", f"Drug{i}"], [("Ann Bo", "treats with", f"Drug{i}")]) for i in range(4)]
+    chunks = spark.createDataFrame(rows, "id string, book_id bigint, chunk_no bigint, text string, summary string, entities array<string>, relations array<struct<Source:string,Relationship:string,Destination:string>>")
+    near = spark.createDataFrame([("T_0", "T_1"), ("S_0", "S_1")], "src string, dst string")
+    g = pipeline.build(spark, chunks, "test", near)
+    assert {"T", "S", "N", "R", "H", "O"} <= {r.type for r in g.nodes.select("type").distinct().collect()}
+    assert {"semantic_hnsw", "summarizes", "overview_of"} <= {r.label for r in g.edges.select("label").distinct().collect()}
+    q = spark.createDataFrame([("q1", "What does unit 2 treat fever with?", ["drug2"])], "id string, question string, answers array<string>")
+    dump, total = pipeline.evaluate(g, q)
+    r = dump.first()
+    assert r.prompt and r.reasoning_chain and r.answer and total.first().questions == 1 and total.first().avg_tokens > 0
+    assert set(ev.TEXT_METRICS) <= set(total.columns)

@@ -136,3 +136,44 @@ def test_attention_scores_sum_to_one(spark):
     q = spark.createDataFrame([("u", [1.0]), ("v", [0.5])], "uid string, q array<double>")
     got = gnn.gnn_scores(f, e, q).groupBy("uid").agg(F.round(F.sum("p"), 6).alias("s")).collect()
     assert {r.uid: r.s for r in got} == {"u": 1.0, "v": 1.0}
+
+
+def test_modularity_communities(spark):
+    """Two cliques with one edge between them fall apart where they should; the result never has less modularity than label propagation."""
+    ids = [f"n{i:02d}" for i in range(12)]
+    pairs = [(ids[a], ids[b]) for h in (0, 6) for a in range(h, h + 6) for b in range(a + 1, h + 6)] + [(ids[0], ids[6])]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "alone"]], "id string")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    c = {r.id: r.community for r in community.communities(nodes, edges).collect()}
+    assert len({c[i] for i in ids[:6]}) == len({c[i] for i in ids[6:]}) == 1 and c[ids[0]] != c[ids[6]] and c["alone"] == "alone"
+    q = lambda f: community.modularity(edges, f).first().modularity
+    assert q(community.communities(nodes, edges)) >= q(community.label_propagation(nodes, edges, 2))
+    assert community.communities(nodes, edges, part_edges=0).count() == 13 and community.communities(nodes, edges.limit(0)).count() == 13
+
+
+def test_components_that_do_not_settle_are_refused(spark):
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(30)], "id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(29)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        community.components(nodes, edges, rounds=1)
+
+
+def test_lexical_hits_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["a", "b", "c", "d", "e", ".", "f", "g"])
+    qs = [(f"q{i}", " ".join(word() for _ in range(rnd.randint(1, 8)))) for i in range(30)]
+    ns = [(f"n{i}", "N", " ".join(word() for _ in range(rnd.randint(1, 6)))) for i in range(60)]
+    got = {(r.uid, r.id) for r in retrieval.lexical_hits(spark.createDataFrame(qs, "uid string, question string"), spark.createDataFrame(ns, "id string, type string, text string")).collect()}
+    want = {(u, i) for u, a in qs for i, _, b in ns if len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()) | {"."}) > 0.3}
+    assert got == want
+
+
+def test_g5_takes_up_semantic_edges(spark):
+    none = spark.createDataFrame([], "src string, dst string, label string, weight int")
+    near = spark.createDataFrame([("S1", "S2"), ("S2", "S1"), ("S1", "S3")], "src string, dst string")
+    comm = spark.createDataFrame([(f"S{i}", "x") for i in (1, 2, 3)], "id string, community string")
+    groups = spark.createDataFrame([("g", "S1"), ("g", "S2")], "group_id string, id string")
+    got = {(r.src, r.dst): (r.label, r.weight) for r in graph.g5_edges(none, near, comm, groups).collect()}
+    assert got == {("S1", "S2"): ("semantically_related", 2), ("S2", "S1"): ("semantic_hnsw", 1), ("S1", "S3"): ("semantic_hnsw", 1)}
