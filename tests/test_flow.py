@@ -70,6 +70,13 @@ def test_skew_join_hot_and_cold(spark):
     sizes = left.groupBy("k").count().withColumnRenamed("count", "n")
     assert skew_join(left, right, ["k"], sizes).count() == left.join(right, "k").count()
     assert skew_join(left, right, ["k"], sizes, "left").count() == 50_000
+    assert skew_join(left, right, ["k"], sizes, "left").agg({"v": "sum"}).first()[0] == left.join(right, "k", "left").agg({"v": "sum"}).first()[0]
+    gone = skew_join(left, right.where("k <> 0"), ["k"], sizes)
+    assert gone.count() == left.join(right.where("k <> 0"), "k").count() and gone.columns == ["k", "id", "v"]
+    none = spark.createDataFrame([(None, 1), (2, 2), (3, 3)], "k bigint, id int")
+    n = none.groupBy("k").count().withColumnRenamed("count", "n")
+    assert sorted((r.id, r.v) for r in skew_join(none, right, ["k"], n, "left").collect() if r.v is not None) == [(2, 4)]
+    assert skew_join(none, right, ["k"], n, "left").count() == 3 and skew_join(none, right, ["k"], n).count() == 1
 
 
 def test_pending_and_progress(spark):
