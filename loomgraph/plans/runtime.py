@@ -88,7 +88,13 @@ def ship(spark: SparkSession) -> None:
     sc._loomgraph_shipped = True
 
 
+#: Tables above this size stay as they are split, however many cores there are.
+SPREAD_BYTES = 4 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small single-file input over all cores; large inputs stay as they are."""
+    """Round-robin a small input of few partitions over all cores; large inputs keep their splits, so their texts are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if df.rdd.getNumPartitions() * 2 > cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
