@@ -66,7 +66,16 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-_COMPOSE = re.compile("[̀-ͯ]")
+@cache
+def _rare() -> re.Pattern:
+    """What one character written as two, or one that folds into several, is known by."""
+    return re.compile("[\u0300-\u036f" + "".join(map(chr, tables()[2])) + "]")
+
+
+def canonical(s: str) -> str:
+    """The kept characters of a string, folded."""
+    fold, _, many = tables()
+    return "".join(many.get(c) or chr(fold[c]) for c in map(ord, unicodedata.normalize("NFC", s)) if fold[c])
 
 
 def hash_strings(items: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +83,9 @@ def hash_strings(items: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     fold, value, many = tables()
     parts = ["" if x is None else x for x in items]
     joined = "".join(parts)
-    if not joined.isascii() and (_COMPOSE.search(joined) or any(chr(c) in joined for c in many)):
-        # rare: one character written as two, or one that folds into several
-        parts = [s if s.isascii() else "".join(many.get(ord(x), x) for x in unicodedata.normalize("NFC", s)) for s in parts]
+    if not joined.isascii() and _rare().search(joined):
+        # a short string is built for the rare rows that need it, for no other
+        parts = ["".join(many.get(ord(x), x) for x in unicodedata.normalize("NFC", s)) if _rare().search(s) else s for s in parts]
         joined = "".join(parts)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -221,6 +230,12 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(ok, pa.bool_())], names=["rec_id", "keep_id", "ok"])
 
 
+def _exact(batches):
+    for b in batches:
+        c = [[canonical(x) for x in p] for p in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.list_(pa.string()))], names=["rec_id", "c"])
+
+
 def group_copies(rows: DataFrame, numeric: bool) -> DataFrame:
     """Hashed records -> (rec_id, keep_id) for every member of a group of two or more.
 
@@ -241,7 +256,7 @@ def group_copies(rows: DataFrame, numeric: bool) -> DataFrame:
     good = checked.where("ok").select("rec_id", "keep_id")
     if checked.where("not ok").limit(1).count():  # never seen with 128 bits; kept for exactness
         lost = checked.where("not ok").select("rec_id").join(rows, "rec_id")
-        exact = lost.withColumn("c", F.transform("parts", lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}\p{M}]", ""))))
+        exact = lost.select("rec_id", "parts").mapInArrow(_exact, "rec_id string, c array<string>")
         again = exact.groupBy("c").agg(F.count("*").alias("n"), F.min(order).alias("keep")).where("n > 1")
         good = good.unionByName(exact.join(again, "c").select("rec_id", F.col("keep").cast("string").alias("keep_id")))
         alone = good.groupBy("keep_id").agg(F.count("*").alias("m")).where("m = 1")

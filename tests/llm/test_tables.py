@@ -130,6 +130,14 @@ def test_copies_against_brute_force(spark):
     assert foldcopies.group_copies(foldcopies.hash_lists(lists.limit(0), "id", "entities"), False).count() == 0
 
 
+def test_colliding_hashes_are_told_apart(spark):
+    rows = [("a", 1, 1, ["Foo"]), ("b", 1, 1, ["foo."]), ("c", 1, 1, ["Straße"]), ("d", 1, 1, ["STRASSE!"]), ("e", 1, 1, ["x"]), ("f", 2, 2, ["y"])]
+    df = spark.createDataFrame(rows, "rec_id string, h1 bigint, h2 bigint, parts array<string>")
+    assert {tuple(r) for r in foldcopies.group_copies(df, False).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
+    one = spark.createDataFrame([("a", 1, 1, ["Foo"]), ("b", 1, 1, ["bar"])], df.schema)
+    assert foldcopies.group_copies(one, False).count() == 0
+
+
 def test_bin_completion():
     rnd = random.Random(9)
     for _ in range(40):
