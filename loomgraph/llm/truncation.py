@@ -47,7 +47,7 @@ _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _ROW = re.compile(r"^[^|\t\n]+(?:[|\t][^|\t\n]+){2,}$")  # a table row: three fields at least
 _ITEM = "\x01"  # marks the last word of a list item among the skeletons
 _EXACT = "\x02"  # marks a line as written among the skeletons
-_CLOSING = re.compile(r"([A-Za-zÀ-ɏ0-9]+|[^\W_A-Za-zÀ-ɏ]+)[^\S\n]*[\n.,;:!?)”»؟،]")  # a word and the end of its clause or line
+_CLOSING = re.compile(r"([A-Za-zÀ-ɏ0-9]+|[^\W_A-Za-zÀ-ɏ]+)[^\S\n]*([\n.,;:!?)”»؟،]?)")  # a word, and what ends its clause or line, if anything
 _MARK = re.compile(r"^(?:[-*•]|\d{1,3}[.)])\s+")
 _THAI = re.compile("[฀-๿]")
 _CJK = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
@@ -207,9 +207,9 @@ def _vocabulary(batches):
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                w = _WORD.findall(t)
-                words.update(w[:-1])
-                closing.update(_CLOSING.findall(t[: t.rindex(w[-1])]) if w else ())
+                found = _CLOSING.findall(t)[:-1]
+                words.update([w for w, _ in found])
+                closing.update([w for w, end in found if end])
         if len(words) > HELD:
             yield from held()
             words.clear()
