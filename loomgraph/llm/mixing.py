@@ -54,11 +54,14 @@ def calibrate(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return b.select("src", "w", "t", "whole", F.greatest(F.col("e") - F.col("whole"), F.lit(0.0)).alias("part"), "max_repeats")
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column ``rarity``: 1 / times its text stands in the table, so that a text delivered under several ids counts as one."""
-    key = docs.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.length("text"))
-    n = key.select("doc_id", "_h", "_n").distinct().groupBy("_h", "_n").agg(F.count("*").alias("n"))
-    return skew_join(key, n.select("_h", "_n", (1 / F.col("n")).alias("rarity")), ["_h", "_n"], n, "left").drop("_h", "_n")
+#: The weight 1 / times a text stands in the table, so that one delivered under several ids counts as one.
+RARITY = "1 / occurrences"
+
+
+def _rarity(sized: DataFrame) -> DataFrame:
+    """Counted rows with ``w`` by their text's occurrences; texts are compared by hash and length, so only short rows are joined."""
+    n = sized.groupBy("h", "chars").agg(F.count("*").alias("n")).persist()
+    return skew_join(sized.drop("w"), n.select("h", "chars", (1 / F.col("n")).alias("w")), ["h", "chars"], n)
 
 
 def mix(docs: DataFrame, targets: DataFrame, weight: str | None = None, vocabulary: str = VOCABULARY, seed: int = 11, bins: int = BINS) -> DataFrame:
@@ -68,14 +71,17 @@ def mix(docs: DataFrame, targets: DataFrame, weight: str | None = None, vocabula
     unknown source, empty or NULL take no part; target sources without texts give
     nothing and the others' shares are scaled up. ``weight`` names a positive column
     to which a text's expected copies are in proportion, up to max_repeats (NULL, NaN
-    and what is not positive count as 1); without it they are equal within a source.
-    A doc_id counts once.
+    and what is not positive count as 1), or is ``RARITY``; without it they are equal
+    within a source. A doc_id counts once.
     """
-    x = F.col(weight).cast("double") if weight else F.lit(1.0)
-    x = F.when((x > 0) & (x < float("inf")), x).otherwise(1.0)
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
-    w = docs.select("doc_id", source_key(F.col("source")).alias("src"), "text", (F.round(x / scale) * scale).alias("w")).where("doc_id is not null and src is not null")
-    sized = token_counts(w, "doc_id", "text", ("src", "w"), vocabulary).dropDuplicates(["doc_id"]).where("tokens > 0").persist()
+    given = F.col(weight).cast("double") if weight and weight != RARITY else F.lit(1.0)
+    t = docs.select("doc_id", source_key(F.col("source")).alias("src"), "text", F.xxhash64("text").alias("h"), F.length("text").alias("chars"), given.alias("w")).where("doc_id is not null and src is not null")
+    sized = token_counts(t, "doc_id", "text", ("src", "h", "chars", "w"), vocabulary).dropDuplicates(["doc_id"]).where("tokens > 0").persist()
+    if weight == RARITY:
+        sized = _rarity(sized)
+    w = F.when((F.col("w") > 0) & (F.col("w") < float("inf")), F.col("w")).otherwise(1.0)
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(w)) - 2)
+    sized = sized.select("doc_id", "src", "tokens", (F.round(w / scale) * scale).alias("w")).persist()
     plan = _plan(sized, targets).persist()
     rates = calibrate(sized, plan).persist()
     few = rates.count() <= WEIGHTS

@@ -71,7 +71,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.rarity(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"), weight="rarity")
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), weight=mixing.RARITY)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,10 +228,15 @@ def test_inclusion_follows_the_weights(spark):
     assert abs(mean[1] / mean[0] - 2) < 0.25 and abs(mean[2] - min(2, 6 * mean[0])) < 0.2
 
 
-def test_rarity(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (1, "a")], "doc_id bigint, text string")
-    assert sorted((r.doc_id, r.rarity) for r in mixing.rarity(df).collect() if r.doc_id != 4) == [(1, 0.5), (1, 0.5), (2, 0.5), (3, 1.0)]
-    assert mixing.rarity(df).count() == 5 and mixing.rarity(df.limit(0)).count() == 0
+def test_rarity_counts_texts_once(spark):
+    """Of a text under two ids each has half the chance of one that stands alone."""
+    rows = [(i, f"own text number {i}", "s") for i in range(200)] + [(1000 + i, f"twin text number {i // 2}", "s") for i in range(200)] + [(5000, None, "s"), (5001, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df = df.unionByName(spark.createDataFrame([(9000 + i, "other text", "t") for i in range(60)], df.schema))
+    m = mixing.mix(df, spark.createDataFrame([("s", 0.8, 1), ("t", 0.2, 1)], "source string, target_share double, max_repeats int"), mixing.RARITY)
+    got = [r.doc_id for r in m.collect() if r.source == "s"]
+    own, twins = sum(i < 1000 for i in got), sum(i >= 1000 for i in got)
+    assert 1.4 < own / twins < 2.8
 
 
 def test_boosting_learns():
