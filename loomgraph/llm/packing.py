@@ -22,10 +22,10 @@ from loomgraph.functions.tokens import VOCABULARY, token_counts
 from loomgraph.plans.runtime import ship
 
 CAPACITY = 2048
-#: Texts of a group (on average) and nodes of its search; then the incumbent stands.
-GROUP, NODES = 3000, 20_000
-#: Items that are tried as the largest, or as the next, of a filling: the enumeration of one node is at most WIDTH * WIDTH fillings.
-WIDTH = 24
+#: Texts of a group (on average) and steps of its search (items put into a filling); then the incumbent stands.
+GROUP, STEPS = 3000, 1_000_000
+#: Items that are tried as the largest, or as the next, of a filling, and fillings without room after which a node tries no more.
+WIDTH, EXACT = 24, 4
 #: Containers opened at first, and the factor by which their number grows after a failure.
 OPENED, GROWTH = 8, 1.6
 
@@ -80,20 +80,18 @@ class _Stock:
 
 
 def dominates(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
-    """Whether the items of ``a`` can be packed into containers of the sizes of ``b``: then ``b`` is never the worse filling."""
-    if sum(a) > sum(b):
-        return False
+    """Whether best-fit packs the items of ``a`` into containers of the sizes of ``b``: then ``b`` is never the worse filling."""
+    rooms = sorted(b)
+    for x in sorted(a, reverse=True):
+        k = bisect_left(rooms, x)
+        if k == len(rooms):
+            return False
+        insort(rooms, rooms.pop(k) - x)
+    return True
 
-    def place(k: int, rooms: tuple[int, ...]) -> bool:
-        if k == len(a):
-            return True
-        return any(r >= a[k] and place(k + 1, rooms[:i] + (r - a[k],) + rooms[i + 1 :]) for i, r in enumerate(rooms))
 
-    return place(0, b)
-
-
-def fillings(stock: _Stock, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first.
+def fillings(stock: _Stock, room: int, width: int = WIDTH) -> tuple[list[tuple[int, ...]], int]:
+    """(undominated fillings of ``room``, fullest first; items put in to find them).
 
     Tried are the ``width`` largest items that fit, alone or with each of the ``width``
     largest that fit beside them, completed greedily: all maximal fillings of one and
@@ -101,32 +99,36 @@ def fillings(stock: _Stock, room: int, width: int = WIDTH) -> list[tuple[int, ..
     """
     one = stock.below(room)
     if not one:
-        return [()]
+        return [()], 1
     if one == room:
-        return [(one,)]  # dominates all
+        return [(one,)], 1  # dominates all
     found: set[tuple[int, ...]] = set()
+    steps = exact = 0
 
     def finish(f: tuple[int, ...], left: int) -> None:
+        nonlocal steps, exact
         while left > 0:
             b = stock.below(min(left, f[-1]), f)
             if not b:
                 break
             f, left = (*f, b), left - b
+        exact += left == 0 and f not in found
+        steps += len(f)
         found.add(f)
 
     at = bisect_right(stock.order, room) - 1
     for a in stock.order[max(0, at - width + 1) : at + 1][::-1]:
         b, tried = stock.below(min(room - a, a), (a,)), 0
         if not b:
-            found.add((a,))
-        while b and tried < width:
+            finish((a,), 0 if a == room else room - a)
+        while b and tried < width and exact < EXACT:
             finish((a, b), room - a - b)
             b, tried = stock.below(b - 1, (a,)), tried + 1
     out: list[tuple[int, ...]] = []
     for f in sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
         if not any(dominates(g, f) for g in out[:width]):
             out.append(f)
-    return out
+    return out, steps + len(found)
 
 
 def least_containers(sizes: list[int], cap: int) -> int:
@@ -146,7 +148,7 @@ def least_containers(sizes: list[int], cap: int) -> int:
 
 
 def search(sizes: list[int], cap: int, goal: int, budget: list[int]) -> list[list[int]] | None:
-    """Containers (of sizes) of a packing into at most ``goal``, or None: none exists, or the budget of nodes is spent."""
+    """Containers (of sizes) of a packing into at most ``goal``, or None: none was found, or the budget of steps is spent."""
     total, stock = sum(sizes), _Stock(sizes)
     if least_containers(sizes, cap) > goal:
         return None
@@ -157,7 +159,9 @@ def search(sizes: list[int], cap: int, goal: int, budget: list[int]) -> list[lis
     def open_(waste: int) -> None:
         x = stock.order[-1]
         stock.take(x)
-        frames.append([x, iter(fillings(stock, cap - x)), waste, None])
+        found, steps = fillings(stock, cap - x)
+        budget[0] -= steps
+        frames.append([x, iter(found), waste, None])
 
     if not sizes:
         return []
@@ -189,14 +193,14 @@ def search(sizes: list[int], cap: int, goal: int, budget: list[int]) -> list[lis
     return None
 
 
-def complete(sizes: list[int], cap: int, nodes: int = NODES) -> list[list[int]]:
+def complete(sizes: list[int], cap: int, steps: int = STEPS) -> list[list[int]]:
     """Indices of the items of each container; no more containers than best-fit decreasing needs, and fewer where the search finds them."""
     bins = best_fit(sizes, cap)
-    bound, budget, opened = least_containers(sizes, cap), [nodes], OPENED
+    bound, budget, opened = least_containers(sizes, cap), [steps], OPENED
     while len(bins) > bound and budget[0] > 0:
         bins.sort(key=lambda c: (sum(sizes[i] for i in c), c))  # those with the most room first
         items = [i for c in bins[:opened] for i in c]
-        tried = [min(budget[0], max(nodes // 20, 1))] if opened < len(bins) else budget
+        tried = [min(budget[0], max(steps // 20, 1))] if opened < len(bins) else budget
         before = tried[0]
         got = search([sizes[i] for i in items], cap, min(opened, len(bins)) - 1, tried)
         if tried is not budget:
@@ -213,13 +217,13 @@ def complete(sizes: list[int], cap: int, nodes: int = NODES) -> list[list[int]]:
     return bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP, steps: int = STEPS) -> DataFrame:
     """(doc_id, text) -> (container_id, doc_id, piece_no, tok_start, tok_end).
 
     A text is divided only if it exceeds the capacity: into full containers and a rest
     that is packed with the others. Empty and NULL texts need no place; a doc_id
     counts once. Random groups leave at most one container of a group part empty for
-    the grouping's sake. ``nodes`` bounds the search of a group, not what is packed.
+    the grouping's sake. ``steps`` bounds the search of a group, not what is packed.
     """
     ship(docs.sparkSession)
     if capacity < 1:
@@ -242,7 +246,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
             if s - k * capacity:
                 items.append(s - k * capacity)
                 own.append((i, k, k * capacity, s))
-        for b in complete(items, capacity, nodes):
+        for b in complete(items, capacity, steps):
             out += [(f"{g}-{n}", *own[j]) for j in b]
             n += 1
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)

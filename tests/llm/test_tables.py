@@ -1,6 +1,7 @@
 """Vectors, copies, packing, mixing: brute force, exactness and edge rows."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -143,7 +144,7 @@ def test_bin_completion():
     for _ in range(40):
         cap = rnd.randint(20, 200)
         sizes = [rnd.randint(1, cap) for _ in range(rnd.randint(0, 60))]
-        bins = packing.complete(sizes, cap, 3000)
+        bins = packing.complete(sizes, cap, 100_000)
         assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in b) <= cap for b in bins)
         assert len(bins) <= len(packing.best_fit(sizes, cap))
@@ -178,6 +179,9 @@ def test_bin_completion_is_exact_on_small_groups_and_beats_best_fit():
     sizes = [rnd.randint(300, 1500) for _ in range(600)]
     got, best, bound = len(packing.complete(sizes, 2048)), len(packing.best_fit(sizes, 2048)), packing.least_containers(sizes, 2048)
     assert bound <= got < best
+    many = [rnd.randint(1, 40) for _ in range(2500)] + [rnd.randint(1000, 2048) for _ in range(300)]
+    began = time.process_time()
+    assert len(packing.complete(many, 2048)) <= len(packing.best_fit(many, 2048)) and time.process_time() - began < 60  # small items do not blow the enumeration up
     assert packing.dominates((5,), (3, 2)) and not packing.dominates((4, 1), (3, 2)) and packing.dominates((4, 3), (3, 2, 2))
 
 
