@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.tokens import VOCABULARY, token_counts
 from loomgraph.llm.truncation import source_key
+from loomgraph.plans.runtime import cut
 from loomgraph.plans.skew import skew_join
 
 #: Ranks are cut at the border by a histogram of this many bins, so that no task sorts a whole source.
@@ -81,9 +82,9 @@ def mix(docs: DataFrame, targets: DataFrame, weight: str | None = None, vocabula
         sized = _rarity(sized)
     w = F.when((F.col("w") > 0) & (F.col("w") < float("inf")), F.col("w")).otherwise(1.0)
     scale = F.pow(F.lit(10.0), F.floor(F.log10(w)) - 2)
-    sized = sized.select("doc_id", "src", "tokens", (F.round(w / scale) * scale).alias("w")).persist()
+    sized = cut(sized.select("doc_id", "src", "tokens", (F.round(w / scale) * scale).alias("w")))  # short rows; what follows reads them several times
     plan = _plan(sized, targets).persist()
-    rates = calibrate(sized, plan).persist()
+    rates = cut(calibrate(sized, plan))
     few = rates.count() <= WEIGHTS
     rows = sized.join(F.broadcast(rates.drop("t")) if few else rates.drop("t"), ["src", "w"])
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
