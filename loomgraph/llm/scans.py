@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.boost import Boosted
-from loomgraph.plans.runtime import ship, spread
+from loomgraph.plans.runtime import cut, ship, spread
 
 #: Bounds of what the models are trained on: clean texts (of 200 to 3,000 characters) from which pages are made, words and
 #: compounds from which errors are (three times as many are fetched, as look-alikes), and books. All counts and the search cover everything.
@@ -455,10 +455,10 @@ def _gram_rows(kind: str, weight: dict[str, int], probe: bool):
 def correct_words(words: DataFrame, vocab: DataFrame, models: Models) -> DataFrame:
     """(word) -> (word, fix) of the words judged misrecognised; ``fix`` is the best candidate, NULL where none explains the odd characters."""
     clean = vocab.where("not compound").select("word", "n")
-    types = words.groupBy("word").agg(F.count("*").alias("n")).persist()
+    types = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     often = max(TRUSTED, (types.agg(F.sum("n")).first()[0] or 0) * TRUSTED_SHARE)
     lower = clean.select(F.lower("word").alias("lw")).distinct()
-    unseen = types.join(clean.select("word"), "word", "left_anti").withColumn("lw", F.lower("word")).join(lower, "lw", "left_anti").select("word", "n").persist()
+    unseen = cut(types.join(clean.select("word"), "word", "left_anti").withColumn("lw", F.lower("word")).join(lower, "lw", "left_anti").select("word", "n"))
     is_odd = F.col("word").rlike(_ODD)
     trusted = clean.where("n >= 2 and length(word) >= 2").unionByName(unseen.where(F.col("n") >= often).where(~is_odd))
     good = clean.select(F.col("word").alias("v"), F.lit(True).alias("clean"))
@@ -506,10 +506,10 @@ def analyse(chunks: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame,
     scans = chunks.where("origin = 'scan'").select("id", "book_id", "text").where("id is not null").dropDuplicates(["id"])
     clean = chunks.where("origin is null or origin <> 'scan'").select("text")
     ship(chunks.sparkSession)
-    vocab = vocabulary(clean).persist()
+    vocab = cut(vocabulary(clean))  # what several steps read is written once: their plans stay short
     models = learn(clean, books, vocab)
-    found = read_scans(scans, books, models).persist()
-    joined = judge_joins(found, vocab, models).persist()
+    found = cut(read_scans(scans, books, models))
+    joined = cut(judge_joins(found, vocab, models))
     parts = _fragments(joined)
     # both lines of a divided word are candidates; the one whose own part differs from the correction is misread
     whole = parts.where("word is not null").select("id", "line_no", "word", F.length(F.substring_index("left", "-", -1)).alias("cut"), "line2")
@@ -517,7 +517,7 @@ def analyse(chunks: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame,
     words = found.where("what = 'word'").select("id", "line_no", F.col("a").alias("word"))
     words = words.unionByName(ends.select("id", "line_no", F.col("a").alias("word"))).unionByName(ends.select("id", F.col("line2").alias("line_no"), F.col("b").alias("word")))
     frequent = models.frequent
-    fixes = correct_words(words.select("word").unionByName(whole.select("word")), vocab, models).persist()
+    fixes = cut(correct_words(words.select("word").unionByName(whole.select("word")), vocab, models))
     plain = words.join(fixes, "word").select("id", "line_no", "word", "fix")
     split = whole.join(fixes, "word").withColumn("here", F.substring("word", F.lit(1), F.col("cut")) != F.coalesce(F.substring("fix", F.lit(1), F.col("cut")), F.lit("")))
     split = split.select("id", F.when(F.col("here"), F.col("line_no")).otherwise(F.col("line2")).alias("line_no"), "word", "fix")
